@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.chat import chat_digest
 from gleaner.llm.common import load
 from gleaner.llm.decontamination import leaks_digest
+from gleaner.llm.fingerprints import compare_edits
 from gleaner.llm.language_id import language_id_digest
 from gleaner.llm.line_dedup import line_dedup_digest
 from gleaner.llm.near_dup import near_dup_digest
 from gleaner.llm.packing import Limits, pack_documents, packing_digest
+from gleaner.llm.url_filter import url_filter_digest
 
 
 def vocabulary() -> str:
@@ -21,6 +24,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_edit_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(load(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(load(spark, sf_dir, "documents"))
 
@@ -29,10 +36,18 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(pack_documents(load(spark, sf_dir, "documents"), vocabulary(), Limits()))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digest(load(spark, sf_dir, "conversations"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id_digest(load(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter_digest(load(spark, sf_dir, "pages"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_digest(load(spark, sf_dir, "documents"))
 
@@ -42,9 +57,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_edit_sketches": op1_edit_sketches,
     "op3_line_dedup": op3_line_dedup,
     "op4_vector_packing": op4_vector_packing,
+    "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
+    "op7_url_filter": op7_url_filter,
     "op8_near_dup": op8_near_dup,
     "op10_decontamination": op10_decontamination,
 }
@@ -64,6 +82,19 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op7_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), rules(verdict, rule, rhost, rpath) AS (
+            VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('block', 'net/de/', 'net', '/de/'),
+                ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')
+        ), fits AS (
+            SELECT p.*, r.verdict, r.rule, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
+            FROM parts p LEFT JOIN rules r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1""",
     "op8_near_dup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
