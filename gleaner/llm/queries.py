@@ -14,6 +14,8 @@ from gleaner.llm.language_id import language_id_digest
 from gleaner.llm.line_dedup import line_dedup_digest
 from gleaner.llm.near_dup import near_dup_digest
 from gleaner.llm.packing import Limits, pack_documents, packing_digest
+from gleaner.llm.pii import pii_digest
+from gleaner.llm.toxicity import toxicity_digest
 from gleaner.llm.url_filter import url_filter_digest
 
 
@@ -28,6 +30,10 @@ def op1_edit_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(load(spark, sf_dir, "documents"))
 
 
+def op2_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(load(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(load(spark, sf_dir, "documents"))
 
@@ -52,18 +58,24 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_digest(load(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_sketches": op1_edit_sketches,
+    "op2_private_spans": op2_private_spans,
     "op3_line_dedup": op3_line_dedup,
     "op4_vector_packing": op4_vector_packing,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_near_dup": op8_near_dup,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 
