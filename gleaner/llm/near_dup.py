@@ -168,12 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = n_bands(threshold, rows)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = cut(_signatures(narrow, words, bands, rows))
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    banded = cut(classes.select("digest", "rep", F.explode("keys").alias("key")))
+    classes = cut(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
+    banded = classes.select("digest", F.explode("keys").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min("digest").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     stars = cut(banded.join(buckets, "key").where("digest <> leader").select("leader", "digest").distinct())
     wanted = stars.select("leader").unionByName(stars.select(F.col("digest").alias("leader"))).distinct()
-    sets = cut(_candidate_sets(narrow, banded, wanted, words))
+    sets = cut(_candidate_sets(narrow, classes, wanted, words))
     links = cut(_verified(stars, sets, percent))
     united = cut(connected_components(links, "leader", "digest"))
 
@@ -193,8 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _candidate_sets(narrow: DataFrame, banded: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    reps = banded.select("digest", "rep").distinct().join(wanted.withColumnRenamed("leader", "digest"), "digest", "left_semi")
+def _candidate_sets(narrow: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    reps = classes.select("digest", "rep").join(wanted.withColumnRenamed("leader", "digest"), "digest", "left_semi")
     texts = narrow.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
     return _sets(texts, words).join(reps, "digest", "left_semi").groupBy("digest").agg(F.first("ids").alias("ids"))
 

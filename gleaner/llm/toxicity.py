@@ -10,26 +10,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.words import hash_texts
-
-#: Features are hashed words; bits of their hash.
-BITS = 18
+from gleaner.llm.common import cut
+from gleaner.llm.words import MARKS, hash_texts
+
+#: Words are runs of letters and digits; their first bytes count as well, so that inflected insults share a feature.
+PREFIXES = (4, 5, 6, 7)
+#: A feature counts as present, at least twice, at least three times, and by its share of the words if at least twice.
+TIMES, SHARES = (1, 2, 3), (0.004, 0.008, 0.016, 0.03)
+LEVELS = len(TIMES) + len(SHARES)
 #: Labelled documents that the model is fitted on, the first by a hash of their text.
 FIT_ROWS = 8_000
-#: A feature needs so many fitted documents; rarer ones carry no weight.
-LEAST = 5
-RIDGE, STEPS = 1e-4, 200
-#: A text is toxic from this expected severity on: halfway to the first grade.
+#: Features enter that LEAST toxic documents have and whose z-score against the others is SCREEN or more; the FEATURES
+#: highest at most.
+LEAST, SCREEN, FEATURES = 8, 6.0, 4096
+RIDGE, STEPS = 1e-5, 400
+#: A text is toxic from this expected severity on.
 TOXIC_AT = 0.5
+_GATE = 18
 
 
 @dataclass
 class Model:
-    """P(grade > k) = sigmoid(score - threshold k), with one weight for each feature at all thresholds."""
+    """P(grade > k) = sigmoid(score - threshold k), with one weight for each feature and level at all thresholds."""
 
+    features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.gate = np.zeros(1 << _GATE, bool)
+        self.gate[self.features >> np.uint64(64 - _GATE)] = True
+
+    def score(self, hashes: np.ndarray) -> float:
+        at, level = self.levels(hashes)
+        return float(self.weights[at * LEVELS + level].sum())
+
+    def levels(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of a text, with each level that they reach."""
+        some = hashes[self.gate[hashes >> np.uint64(64 - _GATE)]]
+        if not len(some):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.features, some), len(self.features) - 1)
+        at, n = np.unique(at[self.features[at] == some], return_counts=True)
+        share = n / max(1, len(hashes))
+        reach = np.column_stack([n >= t for t in TIMES] + [(n >= 2) & (share >= s) for s in SHARES])
+        row, level = np.nonzero(reach)
+        return at[row], level
+
     def severity(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and the most probable one (the lowest of ties)."""
         above = 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
@@ -37,40 +64,60 @@ class Model:
         return above.sum(1), (edges[:, :-1] - edges[:, 1:]).argmax(1)
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    """Distinct hashed words of a text. A text has a word or not, so that an insult weighs the same in a long text."""
-    return np.unique(words >> np.uint64(64 - BITS)).astype(np.int64)
+def hashed(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    return hash_texts(texts, MARKS, PREFIXES)
+
+
+def _screened(sample: DataFrame) -> np.ndarray:
+    """Hashes of the features that enter: documents are counted within tasks, summed and ranked by Spark."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grade = np.array(batch.column(1)) > 0
+            distinct = [np.unique(h) for _, h in hashed(batch.column(0).to_pylist())]
+            keys, at = np.unique(np.concatenate([*distinct, np.zeros(0, np.uint64)]), return_inverse=True)
+            toxic = np.repeat(grade, [len(d) for d in distinct])
+            n = np.bincount(at, minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, weights=toxic, minlength=len(keys)).astype(np.int64)), pa.array(n)], names=["h", "toxic", "n"])
+
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("grade") > 0).alias("t")).first()
+    n, t = total["n"], total["t"]
+    if not t or t == n:
+        return np.zeros(0, np.uint64)
+    counted = sample.mapInArrow(task, "h long, toxic long, n long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(F.col("toxic") >= LEAST)
+    p = F.col("n") / n
+    z = (F.col("toxic") / t - (F.col("n") - F.col("toxic")) / (n - t)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / t + 1 / (n - t)))
+    top = counted.withColumn("z", z).where(F.col("z") >= SCREEN).orderBy(F.desc("z"), "h").limit(FEATURES).toPandas()
+    return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def fit(labelled: DataFrame, n_grades: int, rows: int = FIT_ROWS) -> Model:
     """A model of at most ``rows`` rows (text, grade), by Adam on the ridge-penalised likelihood.
 
-    Features are hashed by the tasks; the driver gets the bounded sample's features. Thresholds stay in order, as they
-    are a first one plus positive steps. Without rows of two grades, every text has the grade of the rows, or 0.
+    Texts stay with the tasks; the driver gets the screened features of the bounded sample. Thresholds stay in order, as
+    they are a first one plus positive steps. Without rows of two grades, every text has the grade of the rows, or 0.
     """
-    sample = labelled.select("text", "grade").where("grade is not null").orderBy(F.xxhash64("text"), "grade").limit(rows)
+    sample = cut(labelled.select("text", F.col("grade").cast("long").alias("grade")).where("grade is not null").orderBy(F.xxhash64("text"), "grade").limit(rows).repartition(8))
+    blank = Model(_screened(sample), np.zeros(0), np.zeros(0))
+    shared = sample.sparkSession.sparkContext.broadcast(blank)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(w) for _, w in hash_texts(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1).cast(pa.int64())], names=["at", "grade"])
+            found = []
+            for _, h in hashed(batch.column(0).to_pylist()):
+                at, level = shared.value.levels(h)
+                found.append(at * LEVELS + level)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], names=["at", "grade"])
 
-    got = sample.repartition(8).mapInArrow(task, "at array<long>, grade long").toPandas()
+    got = sample.mapInArrow(task, "at array<long>, grade long").toPandas()
     grade = np.clip(got["grade"].to_numpy(np.int64), 0, n_grades - 1)
-    weights = np.zeros(1 << BITS)
+    size = len(blank.features) * LEVELS
     if len(set(grade.tolist())) < 2:
         only = int(grade[0]) if len(grade) else 0
-        return Model(weights, np.where(np.arange(n_grades - 1) < only, -20.0, 20.0))
+        return Model(blank.features, np.zeros(size), np.where(np.arange(n_grades - 1) < only, -20.0, 20.0))
     at = np.concatenate([np.asarray(x, np.int64) for x in got["at"]])
     row = np.repeat(np.arange(len(got)), [len(x) for x in got["at"]])
-    seen = np.bincount(at, minlength=1 << BITS)
-    own = np.flatnonzero(seen >= LEAST)
-    place = np.full(1 << BITS, -1)
-    place[own] = np.arange(len(own))
-    keep = place[at] >= 0
-    at, row = place[at[keep]], row[keep]
-    weights[own], thresholds = _ascend(at, row, grade, len(own), n_grades)
-    return Model(weights, thresholds)
+    return Model(blank.features, *_ascend(at, row, grade, size, n_grades))
 
 
 def _thresholds(x: np.ndarray) -> np.ndarray:
@@ -101,7 +148,7 @@ def _ascend(at: np.ndarray, row: np.ndarray, grade: np.ndarray, size: int, n_gra
         gradient = np.concatenate((np.bincount(at, to_score[row], size) / n - RIDGE * w, tail[:1] / n, tail[1:] * np.exp(x[size + 1 :]) / n))
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
-        x = x + 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        x = x + 0.2 * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return x[:size], _thresholds(x[size:])
 
 
@@ -119,8 +166,8 @@ def grade_texts(docs: DataFrame, model: Model, text_col: str = "text", toxic_at:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for i, w in hash_texts(batch.column(len(keep)).to_pylist()):
-                score[i] = shared.value.weights[features(w)].sum()
+            for i, h in hashed(batch.column(len(keep)).to_pylist()):
+                score[i] = shared.value.score(h)
             severity, grade = shared.value.severity(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(severity), pa.array(grade.astype(np.int64)), pa.array(severity >= toxic_at)], names=[f"c{i}" for i in range(len(keep) + 3)])
 
@@ -129,11 +176,15 @@ def grade_texts(docs: DataFrame, model: Model, text_col: str = "text", toxic_at:
 
 
 def graded_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, grade`` of the labelled documents: 0 if not toxic, 1 if toxic, 2 if toxic and of low quality besides."""
-    own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1)
-    return docs.select("doc_id", "text").join(own, "doc_id").select("text", grade.alias("grade"))
+    """``text, grade`` of the labelled documents; of repeated labels, the highest grade counts."""
+    own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("grade"))
+    return docs.select("doc_id", "text").join(own, "doc_id").select("text", "grade")
+
+
+#: Grades of the table ``labels``, whose ``toxic`` is 0 or 1.
+GRADES = 2
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return grade_texts(docs.select("doc_id", "text"), fit(graded_labels(docs, labels), 3)).select("doc_id", F.round("severity", 6).alias("severity"), "grade", "toxic")
+    model = fit(graded_labels(docs, labels), GRADES)
+    return grade_texts(docs.select("doc_id", "text"), model).select("doc_id", F.round("severity", 6).alias("severity"), "grade", "toxic")

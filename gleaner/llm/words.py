@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words: blanks, or all of ASCII that is neither letter nor digit.
+BLANKS = np.zeros(256, bool)
+BLANKS[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -31,36 +33,49 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
+def _pieces(data: bytes, between: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Cuts between words, so that memory stays bounded however long a text is."""
     start = 0
     while start < len(data):
         end = min(len(data), start + PIECE)
-        while end < len(data) and not _SPACE[data[end]]:
+        while end < len(data) and not between[data[end]]:
             end += 1
         yield start, data[start:end]
         start = end
 
 
-def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each run of bytes without blanks, A-Z taken as a-z."""
+def hash_words(data: bytes, between: np.ndarray = BLANKS, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, and first bytes, of the runs of bytes without ``between``, A-Z taken as a-z.
+
+    With ``prefixes``, the first so many bytes of each longer run are hashed too, each length in its own way; the result
+    is then sorted by first byte.
+    """
     found = []
-    for offset, piece in _pieces(data.lower()):
+    for offset, piece in _pieces(data.lower(), between):
         raw = np.frombuffer(piece, np.uint8)
-        inside = np.concatenate(([False], ~_SPACE[raw], [False]))
+        inside = np.concatenate(([False], ~between[raw], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edges[::2], edges[1::2]
         up, down = _powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        found.append((mix((total[end] - total[start]) * down[start]), start + offset, end + offset))
+        hashes, first = [mix((total[end] - total[start]) * down[start])], [start]
+        for k in prefixes:
+            a = start[end - start > k]
+            hashes.append(mix((total[a + k] - total[a]) * down[a] ^ np.uint64(k << 56)))
+            first.append(a)
+        h, at = np.concatenate(hashes), np.concatenate(first) + offset
+        if prefixes:
+            by = np.argsort(at, kind="stable")
+            h, at = h[by], at[by]
+        found.append((h, at))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def hash_texts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-    """``(index, word hashes)`` for each text; short texts share one pass of numpy."""
+def hash_texts(texts: list[str | None], between: np.ndarray = BLANKS, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
+    """``(index, hashes)`` of ``hash_words`` for each text; short texts share one pass of numpy."""
     waiting: list[tuple[int, bytes]] = []
     size = 0
     for i, text in enumerate(texts):
@@ -68,13 +83,13 @@ def hash_texts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         waiting.append((i, data))
         size += len(data) + 1
         if size >= PIECE:
-            yield from _together(waiting)
+            yield from _together(waiting, between, prefixes)
             waiting, size = [], 0
-    yield from _together(waiting)
+    yield from _together(waiting, between, prefixes)
 
 
-def _together(waiting: list[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
-    hashes, start, _ = hash_words(b"\n".join(x for _, x in waiting))
+def _together(waiting: list[tuple[int, bytes]], between: np.ndarray, prefixes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    hashes, start = hash_words(b"\n".join(x for _, x in waiting), between, prefixes)
     ends = np.cumsum([len(x) + 1 for _, x in waiting])
     cuts = np.searchsorted(start, ends)
     low = 0
