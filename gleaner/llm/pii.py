@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -82,14 +83,16 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches worth a look: numbers of at least seven digits, and the surroundings of at signs."""
+def regions(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches worth a look beside the spans that are taken: numbers, and the surroundings of at signs."""
     out = []
     if _DIGIT.search(text):
         out = [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m.group())) >= 4]
     if "@" in text or "[at]" in text or "(at)" in text:
         for m in _AT.finditer(text):
-            out.append((max(0, m.start() - REACH), min(len(text), m.end() + REACH)))
+            k = bisect.bisect_right(taken, (m.start(), len(text))) - 1
+            if k < 0 or taken[k][1] <= m.start():
+                out.append((max(0, m.start() - REACH), min(len(text), m.end() + REACH)))
     return out
 
 
@@ -258,13 +261,15 @@ def find_spans(text: str | None, model: SemiMarkov) -> tuple[list[Span], list[Sp
     if not text:
         return base, base
     taken = sorted((a, b) for _, a, b in base)
+    free = lambda a, b: not any(x < b and a < y for x, y in taken[max(0, bisect.bisect_right(taken, (a, a)) - 4) : bisect.bisect_left(taken, (b, b))])  # noqa: E731  at most one span of each kind reaches over a place
     out = list(base)
     done = -1
-    for low, high in sorted(regions(text)):
-        if any(a <= low and high <= b for a, b in taken):
+    for low, high in sorted(regions(text, taken)):
+        k = bisect.bisect_right(taken, (low, len(text))) - 1
+        if k >= 0 and high <= taken[k][1]:
             continue
         for kind, a, b in model.best(text, low, high):
-            if a >= done and all(b <= x or y <= a for x, y in taken):
+            if a >= done and free(a, b):
                 out.append((kind, a, b))
                 done = b
     return base, ordered(out)
