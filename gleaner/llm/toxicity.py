@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut
-from gleaner.llm.words import MARKS, hash_texts
+from gleaner.llm.words import MARKS, Lookup, hash_texts
 
 #: Words are runs of letters and digits; their first bytes count as well, so that inflected insults share a feature.
 PREFIXES = (4, 5, 6, 7)
@@ -26,8 +26,6 @@ LEAST, SCREEN, FEATURES = 8, 6.0, 4096
 RIDGE, STEPS = 1e-5, 400
 #: A text is toxic from this expected severity on.
 TOXIC_AT = 0.5
-_GATE = 18
-
 
 @dataclass
 class Model:
@@ -38,8 +36,7 @@ class Model:
     thresholds: np.ndarray
 
     def __post_init__(self) -> None:
-        self.gate = np.zeros(1 << _GATE, bool)
-        self.gate[self.features >> np.uint64(64 - _GATE)] = True
+        self.places = Lookup(self.features)
 
     def score(self, hashes: np.ndarray) -> float:
         at, level = self.levels(hashes)
@@ -47,11 +44,7 @@ class Model:
 
     def levels(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features of a text, with each level that they reach."""
-        some = hashes[self.gate[hashes >> np.uint64(64 - _GATE)]]
-        if not len(some):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.features, some), len(self.features) - 1)
-        at, n = np.unique(at[self.features[at] == some], return_counts=True)
+        at, n = np.unique(self.places.find(hashes)[1], return_counts=True)
         share = n / max(1, len(hashes))
         reach = np.column_stack([n >= t for t in TIMES] + [(n >= 2) & (share >= s) for s in SHARES])
         row, level = np.nonzero(reach)

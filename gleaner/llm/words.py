@@ -13,7 +13,8 @@ MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
-PIECE = 1 << 19
+#: Bytes that are hashed at once; small enough for a core's cache.
+PIECE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,3 +109,23 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * _BASE + words[k : k + n])
     return np.unique(out)
+
+
+class Lookup:
+    """Places of hashes in a sorted array; a table of their upper bits passes over most of what is not in it."""
+
+    BITS = 18
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.gate = np.zeros(1 << self.BITS, bool)
+        self.gate[keys >> np.uint64(64 - self.BITS)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(positions in hashes, places in keys)`` of those that are there."""
+        some = np.flatnonzero(self.gate[hashes >> np.uint64(64 - self.BITS)])
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.keys, hashes[some]), len(self.keys) - 1)
+        same = self.keys[at] == hashes[some]
+        return some[same], at[same]
