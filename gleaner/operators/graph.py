@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is made only where none is
-    named, which is the case on a single machine.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_own_folder(df.sparkSession))
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    _ready(df.sparkSession)
     return df.checkpoint()
 
 
-def _own_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-checkpoint-")
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of our own below the shared checkpoint folder."""
+    return f"{_ready(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
+
+
+def _ready(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that the cluster names in ``spark.checkpoint.dir``, else the session's.
+
+    A folder of our own is made only where there is none, which is the case on a single machine.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
