@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.graph import cut
 
-__all__ = ["cut", "load", "lower_ascii", "text_or_empty"]
+__all__ = ["bounded_sample", "cut", "load", "lower_ascii", "text_or_empty"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,3 +21,17 @@ def text_or_empty(column: str | Column) -> Column:
 def lower_ascii(column: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
+    """A row for each of at most ``n`` distinct values of ``text``, those of the lowest hashes; the same on every run.
+
+    Only hashes are ranked; the texts are then picked by a filter, so no task gathers the candidates' texts.
+    """
+    hashed = rows.where("text is not null").withColumn("hash__", F.xxhash64("text"))
+    lowest = hashed.select("hash__").distinct().orderBy("hash__").limit(n).agg(F.max("hash__")).first()[0]
+    rest = [c for c in rows.columns if c != "text"]
+    if lowest is None:
+        return rows.limit(0)
+    picked = hashed.where(F.col("hash__") <= lowest).groupBy("hash__").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return picked.select(*(F.col("row")[c].alias(c) for c in rows.columns))

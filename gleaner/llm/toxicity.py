@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut
+from gleaner.llm.common import bounded_sample, cut
 from gleaner.llm.words import MARKS, Lookup, hash_texts
 
 #: Words are runs of letters and digits; their first bytes count as well, so that inflected insults share a feature.
@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, n_grades: int, rows: int = FIT_ROWS) -> Model:
     Texts stay with the tasks; the driver gets the screened features of the bounded sample. Thresholds stay in order, as
     they are a first one plus positive steps. Without rows of two grades, every text has the grade of the rows, or 0.
     """
-    sample = cut(labelled.select("text", F.col("grade").cast("long").alias("grade")).where("grade is not null").orderBy(F.xxhash64("text"), "grade").limit(rows).repartition(8))
+    sample = cut(bounded_sample(labelled.select("text", F.col("grade").cast("long").alias("grade")).where("grade is not null"), rows).repartition(8))
     blank = Model(_screened(sample), np.zeros(0), np.zeros(0))
     shared = sample.sparkSession.sparkContext.broadcast(blank)
 
