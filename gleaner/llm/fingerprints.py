@@ -50,38 +50,43 @@ def _peeled(cells: str, bits: int) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0), {step}, {end})"
 
 
-def difference(a: str, b: str) -> Column:
-    """Size of the symmetric difference of two columns of digests, read from their sketches alone.
+def sketch(column: str) -> Column:
+    """The sketch of a column of digests, as an array of cells."""
+    return F.expr(_cells(_signed(column, 1), BITS[0]))
 
-    The sketches of ``BITS[0]`` are subtracted and peeled. If that fails, a larger sketch is made: as many parts as the
-    two sets need at ``LOAD`` each, chosen by other bits of the digest; a part that fails is made larger again. What is
-    still full after that (two digests that share all slots, or equal digests in pairs) is counted on the sets.
+
+def difference(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
+    """Size of the symmetric difference of two columns of digests, read from sketches alone.
+
+    The two stored sketches are subtracted and peeled. If that fails, a larger sketch is made: as many parts as the two
+    sets need at ``LOAD`` each, chosen by other bits of the digest; a part that fails is made larger again. What is still
+    full after that (two digests that share all slots, or equal digests in pairs) is counted on the sets.
     """
     entries = f"concat({_signed(a, 1)}, {_signed(b, -1)})"
     parts = f"greatest(2, cast(ceil((size({a}) + size({b})) / {LOAD}) as int))"
     retry = ", ".join(_peeled(_cells("q", k), k) for k in BITS)
     rest = "size(filter(q, d -> size(filter(q, o -> o.k = d.k)) = 1))"
     larger = f"aggregate(transform(transform(sequence(0, m - 1), j -> filter(e, d -> pmod(shiftrightunsigned(d.k, 24), m) = j)), q -> coalesce({retry}, {rest})), 0, (s, x) -> s + x)"
-    within = f"element_at(transform(array({parts}), m -> {larger}), 1)"
-    small = f"if(abs(size({a}) - size({b})) > {3 << BITS[0]}, null, {_peeled(_cells('e', BITS[0]), BITS[0])})"
-    return F.expr(f"if({a} = {b}, 0, element_at(transform(array({entries}), e -> coalesce({small}, {within})), 1))")
+    within = f"element_at(transform(transform(array({entries}), e -> named_struct('e', e, 'm', {parts})), z -> element_at(transform(array(z.m), m -> element_at(transform(array(z.e), e -> {larger}), 1)), 1)), 1)"
+    apart = f"zip_with({sketch_a}, {sketch_b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
+    small = f"if(abs(size({a}) - size({b})) > {3 << BITS[0]}, null, {_peeled(apart, BITS[0])})"
+    return F.expr(f"if({a} = {b}, 0, coalesce({small}, {within}))")
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     """The share of two texts' paragraphs that both have: 1 for equal sets (also two empty ones), 0 where none is shared."""
     total = F.size(a) + F.size(b)
-    d = difference(a, b)
+    d = difference(a, b, sketch_a, sketch_b)
     return F.when(total == 0, 1.0).otherwise((total - d) / total)
 
 
-def fingerprint(column: str) -> Column:
+def fingerprint(column: str, cells: str) -> Column:
     """The stored sketch as text: the number of digests, then count, key and check of each cell in hex."""
-    cells = f"transform({_cells(_signed(column, 1), BITS[0])}, x -> concat(hex(x.n), '.', hex(x.k), '.', hex(x.c)))"
-    return F.expr(f"concat(size({column}), ':', array_join({cells}, ','))")
+    return F.expr(f"concat(size({column}), ':', array_join(transform({cells}, x -> concat(hex(x.n), '.', hex(x.k), '.', hex(x.c))), ','))")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id, text, marks, next_text, next_marks``: each row with the next one by descending id; the first follows the last.
+    """``id, text, marks, cells`` (digests and their sketch), and ``next_`` with each. Every row gets the next one by descending id; the first follows the last.
 
     Ids are cut into as many ranges as the session has shuffle partitions, at quantiles. The first row of a range is
     also sent to the range above, so one shuffle of the rows is enough and no window spans more than a range. Equal ids
@@ -105,9 +110,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     if None in targets:
         to = F.when(F.col("id").isNull(), F.array(*map(F.lit, targets[None]))).otherwise(to)
     places = F.concat(F.array(F.struct(part.alias("part"), F.lit(False).alias("copy"))), F.coalesce(F.transform(to, lambda p: F.struct(p.alias("part"), F.lit(True).alias("copy"))), F.array().cast("array<struct<part:int,copy:boolean>>")))
-    dealt = rows.select("id", "text", digests(F.col("text")).alias("marks"), F.explode(places).alias("place")).select("id", "text", "marks", "place.part", "place.copy")
+    marked = rows.select("id", "text", digests(F.col("text")).alias("marks"), places.alias("places"))
+    dealt = marked.select("id", "text", "marks", sketch("marks").alias("cells"), F.explode("places").alias("place")).select("id", "text", "marks", "cells", "place.part", "place.copy")
     down = Window.partitionBy("part").orderBy("copy", F.desc_nulls_last("id"), F.xxhash64("text"))
-    after = dealt.withColumn("next_text", F.lead("text").over(down)).withColumn("next_marks", F.lead("marks").over(down))
+    after = dealt.withColumns({f"next_{c}": F.lead(c).over(down) for c in ("text", "marks", "cells")})
     return after.where("not copy").drop("part", "copy")
 
 
@@ -121,6 +127,10 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    made = rows.select("id", n.cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited"))
-    made = made.select("id", "n_chars", "marks", "next_marks", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_marks"))
-    return made.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint("marks").alias("fingerprint"), fingerprint("edited_marks").alias("edited_fingerprint"), likeness("marks", "edited_marks").alias("near_edited"), likeness("marks", "next_marks").alias("near_next"))
+    made = rows.select("id", n.cast("long").alias("n_chars"), "marks", "cells", "next_marks", "next_cells", edited.alias("edited"))
+    made = made.withColumn("edited_marks", digests(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    made = made.withColumn("edited_cells", sketch("edited_marks"))
+    return made.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint("marks", "cells").alias("fingerprint"), fingerprint("edited_marks", "edited_cells").alias("edited_fingerprint"),
+        likeness("marks", "edited_marks", "cells", "edited_cells").alias("near_edited"), likeness("marks", "next_marks", "cells", "next_cells").alias("near_next"),
+    )
