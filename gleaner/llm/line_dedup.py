@@ -53,10 +53,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     gaps = F.arrays_zip(F.concat(F.array(F.lit(-1)), gone).alias("a"), F.concat(gone, F.array(F.size("lines"))).alias("b"))
     text = F.concat_ws("\n", F.flatten(F.transform("gaps", lambda g: F.slice(F.col("lines"), g["a"] + 2, g["b"] - g["a"] - 1))))
-    out = kept.select("row", "lines", gaps.alias("gaps"), F.size(gone).alias("n_gone"))
+    out = kept.select("row", "lines", gaps.alias("gaps"), F.size(gone).alias("n_gone")).select("row", F.size("lines").alias("n_all"), "n_gone", text.alias("text_left"))
     fresh = ["n_lines", "n_dropped", "kept_text"]
     keep = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in fresh]
-    return out.select(*keep, F.size("lines").cast("long").alias("n_lines"), F.col("n_gone").cast("long").alias("n_dropped"), text.alias("kept_text"))
+    return out.select(*keep, F.col("n_all").cast("long").alias("n_lines"), F.col("n_gone").cast("long").alias("n_dropped"), F.col("text_left").alias("kept_text"))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

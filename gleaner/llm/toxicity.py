@@ -18,7 +18,7 @@ PREFIXES = (4, 5, 6, 7)
 #: A feature counts as present, at least twice, at least three times, and by its share of the words if at least twice.
 TIMES, SHARES = (1, 2, 3), (0.004, 0.008, 0.016, 0.03)
 LEVELS = len(TIMES) + len(SHARES)
-#: Labelled documents that the model is fitted on, the first by a hash of their text.
+#: Labelled documents that the model is fitted on, the first by a hash.
 FIT_ROWS = 8_000
 #: Features enter that LEAST toxic documents have and whose z-score against the others is SCREEN or more; the FEATURES
 #: highest at most.
@@ -168,10 +168,12 @@ def grade_texts(docs: DataFrame, model: Model, text_col: str = "text", toxic_at:
     return out.toDF(*keep, *fresh)
 
 
-def graded_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, grade`` of the labelled documents; of repeated labels, the highest grade counts."""
+def graded_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """``text, grade`` of at most ``rows`` labelled documents, those of the lowest hashes of the id; of repeated labels, the
+    highest grade counts. The ids are picked first and shared with all tasks, so no text is shuffled."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("grade"))
-    return docs.select("doc_id", "text").join(own, "doc_id").select("text", "grade")
+    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")
 
 
 #: Grades of the table ``labels``, whose ``toxic`` is 0 or 1.
