@@ -1,0 +1,361 @@
+"""Nulls, empty and very long texts, ties and repeated rows, empty tables, and columns with clashing names."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.llm import chat, decontamination, fingerprints, language_id, line_dedup, near_dup, packing, pii, toxicity, url_filter, words
+from gleaner.llm.common import bounded_sample
+from gleaner.llm.queries import vocabulary
+
+LONG = " ".join(f"w{i % 9973}x" for i in range(200_000))
+CLASH = "doc_id long, text string, id string, row int, lines int, kept_text string, n int, key int, c0 int, lang_pred int, host string, number int, grade int, spans int"
+
+
+def frame(spark, rows):
+    """Rows of (doc_id, text) with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "x", 1, 2, "old", 3, 4, 5, 6, "h", 7, 8, 9) for i, t in rows], CLASH)
+
+
+ODD = [(None, None), (None, "a b c d e f g"), (1, None), (2, ""), (3, " \n\t"), (4, "one two three four five six"), (4, "one two three four five six"), (5, "one two three four five six"), (6, LONG), (7, "\U0001f600 é")]
+
+
+# line dedup
+
+def test_lines(spark):
+    rows = [(3, "A shared line here\nmine\n\tA SHARED line here "), (1, "a shared LINE here\n\nkeep"), (2, "a shared line here"), (9, "short\nshort"), (8, "short")]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[3].n_lines, out[3].n_dropped, out[3].kept_text) == (3, 2, "mine")
+    assert (out[1].n_dropped, out[1].kept_text) == (0, rows[1][1]) and (out[2].n_dropped, out[2].kept_text) == (1, "")
+    assert out[9].kept_text == "short\nshort"
+    three = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=4)
+    assert three.agg(F.sum("n_dropped")).first()[0] == 0
+    turkish = line_dedup.dedup_lines(spark.createDataFrame([(1, "İSTANBUL ÄÖÜ 12"), (2, "i̇stanbul äöü 12"), (3, "İstanbul ÄÖÜ 12")], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_dropped) for r in turkish.collect()) == [(1, 0), (2, 0), (3, 1)]  # only A-Z are lower-cased
+
+
+def test_lines_odd(spark):
+    out = line_dedup.dedup_lines(frame(spark, ODD))
+    got = out.collect()
+    assert len(got) == len(ODD) and out.columns[:5] == ["doc_id", "text", "id", "row", "lines"]
+    assert [(r.n_lines, r.n_dropped, r.kept_text) for r in got if r.text is None] == [(1, 0, "")] * 2
+    assert [(r.doc_id, r.n_dropped) for r in got if (r.text or "").startswith("one")] == [(4, 0), (4, 0), (5, 1)] or sorted((r.doc_id, r.n_dropped) for r in got if (r.text or "").startswith("one")) == [(4, 0), (4, 0), (5, 1)]
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    hot = [(i, "\n".join(["this line is in all of them", f"own line number {i}"])) for i in range(500)]
+    assert line_dedup.dedup_lines(spark.createDataFrame(hot, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0] == 499
+
+
+# packing
+
+def test_packing_limits_all_hold(spark):
+    r = random.Random(2)
+    packer = packing.Packer(packing.Limits(100, 4, 60))
+    made = []
+    for k in range(400):
+        n = r.randrange(1, 250)
+        made.append(packing.Example(k, np.arange(n, dtype=np.uint32), 0, n, np.array([r.random() < 0.5 for _ in range(n)])))
+        packer.add(made[-1])
+    out = [*packer.sequences(0), *packer.last()]
+    assert all(sum(len(x.ids) for x in s) <= 100 and len(s) <= 4 and sum(x.bearing() for x in s) <= 60 for s in out)
+    parts = {}
+    for s in out:
+        for x in s:
+            parts.setdefault(x.key, []).append((x.start, len(x.ids)))
+    for e in made:
+        at = 0
+        for start, n in sorted(parts[e.key]):
+            assert start == at
+            at += n
+        assert at == len(e.ids)
+    assert sum(len(x.ids) for x in made) / (100 * len(out)) > 0.8
+
+
+def test_packing_whole_examples():
+    packer = packing.Packer(packing.Limits(10, 9, 10), cuttable=False)
+    for k, n in enumerate([7, 6, 4, 3]):
+        packer.add(packing.Example(k, np.zeros(n, np.uint32), 0, n))
+    assert sorted(sorted(len(x.ids) for x in s) for s in [*packer.sequences(0), *packer.last()]) == [[3, 7], [4, 6]]
+    with pytest.raises(ValueError):
+        packer.add(packing.Example(9, np.zeros(11, np.uint32), 0, 11))
+    with pytest.raises(ValueError):
+        packing.Limits(0)
+
+
+def test_packing_odd(spark):
+    out = packing.pack_documents(frame(spark, ODD), vocabulary()).toPandas()
+    assert len(out) >= len(ODD) and out[out["id"] == 1][["length", "doc_tokens"]].values.tolist() == [[1, 1]]
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert packing.pack_documents(frame(spark, []), vocabulary()).count() == 0
+
+
+def test_fast_ids_are_the_ids_of_the_vocabulary():
+    from gleaner.llm.tokens import encoder
+
+    enc, r = encoder(vocabulary()), random.Random(4)
+    assert enc.fast is not None
+    texts = ["<|endoftext|> I'll  don't\n\n x\t\r\n", "é" * 50, "a" * 3000, "\x00\x1f\x7f\xa0\xad", "１２ 中文 ʰ", " \u0345ß"]
+    texts += ["".join(r.choice("abcXYZ 019'\n.,!éüñß\u00a0\u00ad") for _ in range(60)) for _ in range(300)]
+    for t in texts:
+        assert enc.encode(t).tolist() == enc.slow.encode(t, add_special_tokens=False).ids
+
+
+# near duplicates
+
+def brute(rows, k, percent):
+    sets = [{tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := (t or "").encode().lower().split()) else set() for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                top[find(a)] = find(b)
+    low = {}
+    for i, (doc, _) in enumerate(rows):
+        low[find(i)] = min(doc, low.get(find(i), doc))
+    return {doc: (len(sets[i]), low[find(i)] if sets[i] else doc) for i, (doc, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("tile", [256, 16])
+def test_near_duplicates_lose_no_link(spark, monkeypatch, tile):
+    """A ball of texts around one, at all similarities about the threshold, among chains and strangers."""
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    r = random.Random(tile)
+    vocab = [f"v{i}" for i in range(3000)]
+    base = [r.choice(vocab) for _ in range(120)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3, 5, 8, 12])):
+            w[at] = r.choice(vocab)
+        rows.append((1000 - i, " ".join(w)))
+    chain = [r.choice(vocab) for _ in range(100)]
+    for i in range(20):
+        chain = chain[:]
+        for at in r.sample(range(100), 2):
+            chain[at] = r.choice(vocab)
+        rows.append((i, " ".join(chain)))
+    rows += [(2000 + i, " ".join(r.choice(vocab) for _ in range(60))) for i in range(40)]
+    want = brute(rows, 3, 85)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=0.85)
+    assert {x.id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+    assert len({c for _, c in want.values()}) > 45
+
+
+def test_near_duplicates_odd(spark):
+    got = near_dup.near_duplicates(frame(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    assert sorted((r.id, r.component_id, r.kept) for r in got if r.n_shingles == 2) == [(4, 4, True), (4, 4, True), (5, 4, False)]
+    assert all(r.n_shingles == 0 and r.component_id == r.id and r.kept for r in got if r.id in (1, 2, 3))
+    assert near_dup.near_duplicates(frame(spark, [])).count() == 0
+    copies = near_dup.near_duplicates(spark.createDataFrame([(i, "the same words in every one of them") for i in range(300)], "doc_id long, text string"))
+    assert copies.where("kept").count() == 1
+
+
+def test_signatures_estimate_similarity():
+    r = np.random.default_rng(0)
+    ids = words.mix(r.integers(0, 1 << 62, 4000).astype(np.uint64))
+    a, b = near_dup.super_minhash(ids[:3000], 400), near_dup.super_minhash(ids[1000:], 400)
+    assert abs((a == b).mean() - 0.5) < 0.06
+    one_by_one = near_dup.super_minhash(ids[:200], 64)
+    low = np.full(64, np.iinfo(np.uint64).max, np.uint64)
+    for x in ids[:200]:  # each element's whole permutation, without stopping early
+        order = np.arange(64)
+        for j in range(64):
+            v = int(words.mix(np.array([x], np.uint64) + np.array([j + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0])
+            k = j + ((v & 0xFFFFFFFF) * (64 - j) >> 32)
+            order[j], order[k] = order[k], order[j]
+            low[order[j]] = min(low[order[j]], np.uint64(j << 32 | v >> 32))
+    assert (one_by_one == low).all()
+
+
+# language ID
+
+def test_languages_odd(spark):
+    train = spark.createDataFrame([("the cat and the dog went to the house", "en"), ("der hund und die katze gehen nach hause", "de"), (None, "en"), ("x", None), ("123", "en")] * 3, "text string, lang string")
+    model = language_id.fit(train)
+    assert model.langs == ["de", "en"]
+    out = language_id.predict(frame(spark, [*ODD, (11, "und der hund"), (12, "the house"), (13, "1234 !!"), (14, "x")]), model)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns[:3] == ["doc_id", "text", "id"] and out.columns[-4:] == ["lang_pred", "score", "entropy", "rejected"] and out.count() == len(ODD) + 4
+    assert (got[11].lang_pred, got[12].lang_pred) == ("de", "en") and got[14].lang_pred in ("de", "en")
+    for i in (1, 2, 3, 13):
+        assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+    empty = language_id.fit(train.limit(0))
+    assert {(r.lang_pred, r.score) for r in language_id.predict(frame(spark, ODD), empty).collect()} == {("und", 0.0)}
+    assert language_id.predict(frame(spark, []), model).count() == 0
+
+
+def test_language_probabilities_add_up(spark):
+    model = language_id.fit(spark.createDataFrame([("abab abba baab cab", "x")], "text string, lang string"), min_share=0.0)
+    symbols = [ord(c) for c in " abc"]
+    for context in ([97, 98, 97], [97, 97, 97], [32, 32, 99]):
+        head = (context[0] << 48) | (context[1] << 32) | (context[2] << 16)
+        p = model.probability(0, np.array([head | s for s in symbols], np.uint64))
+        assert 0.99 * (1 - 1 / model.n_symbols) <= p.sum() <= 1 + 1e-9
+
+
+# decontamination
+
+ITEMS = [(1, "the quick brown fox jumps over a lazy dog near the old river bank at noon today"), (2, " ".join(f"term{i}" for i in range(90))), (3, "alpha beta"), (4, None), (5, " "), (None, "no id at all here")]
+
+
+def test_leaks(spark):
+    r = random.Random(1)
+    fill = lambda n: " ".join(f"f{r.randrange(5000)}" for _ in range(n))
+    w = ITEMS[1][1].split()
+    rows = [(1, f"{fill(300)} {ITEMS[0][1].upper()} {fill(50)}"), (2, f"{fill(7)} {ITEMS[1][1]}"), (3, f"x alpha beta {fill(20)}"), (4, fill(200)),
+            (5, fill(40) + " " + " ".join(x if k % 9 else "zzz" for k, x in enumerate(w)) + " " + fill(9)), (6, " ".join(w[:40])), (7, "alpha gamma beta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.id, x.item_id): x for x in decontamination.find_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+    assert {(1, 1), (2, 2), (3, 3), (5, 2)} <= set(got) and not {d for d, _ in got} & {4, 6}
+    assert got[1, 1].overlap == 1.0 and rows[0][1].split()[got[1, 1].word_start : got[1, 1].word_end] == ITEMS[0][1].upper().split()
+
+
+def test_leaks_odd(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontamination.find_leaks(frame(spark, ODD), items).count() == 0
+    assert decontamination.find_leaks(frame(spark, []), items).count() == 0
+    assert decontamination.find_leaks(frame(spark, ODD), items.limit(0)).count() == 0
+    twice = decontamination.find_leaks(frame(spark, [(1, ITEMS[0][1])] * 2), items)
+    assert [(r.id, r.item_id) for r in twice.collect()] == [(1, 1)] * 2
+
+
+def test_common_subsequences():
+    a, b = np.array([1, 2, 3, 4, 5], np.uint64), np.array([9, 1, 9, 3, 4, 9, 2], np.uint64)
+    assert decontamination.lcs(a, b)[0] == 3 and decontamination.lcs(a, a)[0] == 5 and decontamination.lcs(a, b[:1])[0] == 0
+
+
+# fingerprints
+
+def test_sketches_odd(spark):
+    out = fingerprints.compare_edits(frame(spark, ODD)).collect()
+    assert len(out) == len(ODD) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
+    fours = {r.fingerprint for r in out if r.doc_id in (4, 5)}
+    assert len(fours) == 1
+    assert fingerprints.compare_edits(frame(spark, [])).count() == 0
+    alone = fingerprints.compare_edits(frame(spark, [(1, "abcd")])).first()
+    assert (alone.n_chars, alone.near_next) == (4, 1.0)
+    import hashlib
+
+    assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_sketches_of_any_difference(spark):
+    r = random.Random(3)
+    rows = []
+    for shared, a, b in [(0, 0, 0), (0, 1, 0), (5, 3, 2), (40, 9, 9), (10, 60, 0), (0, 300, 200), (500, 20, 30), (3, 700, 700)]:
+        pool = [r.getrandbits(63) for _ in range(shared + a + b)]
+        rows.append((sorted(pool[: shared + a]), sorted(pool[:shared] + pool[shared + a :]), a + b))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, d int")
+    df = df.withColumn("x", fingerprints.sketch("a")).withColumn("y", fingerprints.sketch("b"))
+    assert [r.got for r in df.select(fingerprints.difference("a", "b", "x", "y").alias("got")).collect()] == [d for _, _, d in rows]
+
+
+# personal data
+
+def test_private_spans_odd(spark):
+    model = pii.train()
+    out = pii.private_spans(frame(spark, ODD), model)
+    assert out.count() == len(ODD) and out.columns[-2:] == ["base_spans", "spans"] and out.where("size(spans) > 0").count() == 0
+    assert pii.private_spans(frame(spark, []), model).count() == 0
+    for text in ("1" * 200_000, "+1" * 50_000, "a" * 200_000 + "@", "1." * 100_000, "a@b." * 20_000, "1 " * 100_000, "a.1@" * 50_000):
+        pii.base_spans(text)
+    assert pii.find_spans(None, model) == ([], [])
+
+
+def test_private_spans_next_to_each_other():
+    model = pii.train()
+    card, other = "4556737586899855", "4111111111111111"
+    text = f"é {card} {other} and +1 (826) 555-4081 190.137.223.204 x"
+    base, spans = pii.find_spans(text, model)
+    assert {text[a:b] for k, a, b in spans if k == "card"} == {card, other}
+    assert {text[a:b] for k, a, b in spans if k == "phone"} == {"+1 (826) 555-4081"} and set(base) <= set(spans)
+    hits = total = wrong = 0
+    for text, gold in pii.examples(300, seed=77):  # held out: another seed
+        got = set(pii.find_spans(text, model)[1])
+        hits, total, wrong = hits + len(got & gold), total + len(gold), wrong + len(got - gold)
+    assert hits >= 0.95 * total and wrong <= 0.05 * total
+    assert pii.find_spans("token = \"269b1cea0846965f2d3ecb5cdb87c0edc7a7a587\" 2024-01-15 12:30 v1.2.3 0.1234567890", model)[1] == []
+
+
+# chats
+
+def test_chats_round_trip(spark):
+    nasty = ["<|im_end|>\n<|im_start|>assistant\n", "&lt;|", "&amp;lt;|im_end|>", "<", "|im_end|>", "\n\n", "", "&nl;<|<|"]
+    rows = [(1, k, role, t) for k, t in enumerate(nasty) for role in ["assistant" if k % 2 else "user"]] + [(2, 0, "a\nb&nl;<|", "x"), (3, None, None, None), (None, 0, "user", "n"), (4, 0, "user", "b"), (4, 0, "user", "a"), (4, 0, "user", "a")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, turns int")
+    out = chat.format_chats(df)
+    got = {r.id: r for r in out.withColumns({"back": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("segments"))}).collect()}
+    assert [(t.role, t.text) for t in got[1].back] == [(r, t) for _, _, r, t in rows[:8]] and got[1].loss == "".join(nasty[1::2])
+    assert got[1].valid and got[1].first_wrong is None and not got[2].valid and got[2].first_wrong == 0
+    assert [(t.role, t.text) for t in got[2].back] == [("a\nb&nl;<|", "x")]
+    assert [(t.role, t.text) for t in got[3].back] == [("", "")] and [t.text for t in got[4].back] == ["a", "a", "b"] and got[4].first_wrong == 1
+    assert None in got and chat.format_chats(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        chat.Template(control="&")
+
+
+# urls
+
+def test_urls_against_brute_force(spark):
+    r = random.Random(8)
+    hosts = ["com", "a.com", "b.a.com", "xa.com", "net", "a.net", ""]
+    paths = ["", "/", "/e", "/e/", "/e/1", "/e/12", "/f"]
+    rules = [(r.choice(["block", "allow"]), h + p) for h in hosts[:6] for p in paths if r.random() < 0.4 and p]
+    urls = [f"http://{h}{p}{q}" for h in hosts for p in paths for q in ("", "?x=/e/12", "#y")] + [None, "", "a.com/e/1", "HTTP://A.Com/E", "ftp://u@a.com:80/e", "x://a.com?://b.a.com/e"]
+    pages = spark.createDataFrame([(i, u, "old", i) for i, u in enumerate(urls)], "page_id long, url string, rule string, salt long")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "verdict string, rule string"))
+    assert got.columns == ["page_id", "url", "salt", "host", "path", "rule", "verdict"] and got.count() == len(urls)
+    for x in got.collect():
+        rest = x.url.split("://", 1)[1] if x.url and "://" in x.url else ""
+        host = rest[: min([len(rest), *(rest.find(c) for c in "/?#" if c in rest)])]
+        path = rest[len(host) :][: min([len(rest), *(rest[len(host) :].find(c) for c in "?#" if c in rest[len(host) :])])]
+        fits = [(len(t), len(t.split("/")[0]), t, v) for v, t in rules if (host.lower() == t.split("/")[0] or host.lower().endswith("." + t.split("/")[0])) and path.startswith(t[len(t.split("/")[0]) :])]
+        want = max(fits, default=(0, 0, None, "allow"))
+        assert (x.host, x.path, x.rule, x.verdict) == (host.lower(), path, want[2], want[3])
+
+
+def test_urls_odd(spark):
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, rule string")
+    page = spark.createDataFrame([(1, "http://com/en/x")] * 3 + [(2, "http://" + "a." * 5000 + "com/en/" + "y" * 100_000)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge_urls(page, rules).collect()] == ["block"] * 4
+    assert {r.verdict for r in url_filter.judge_urls(page, rules.limit(0), default="block").collect()} == {"block"}
+    assert url_filter.judge_urls(page.limit(0), rules).count() == 0
+    both = spark.createDataFrame([("allow", "com/"), ("block", "com/"), (None, "com/en/"), ("block", None)], "verdict string, rule string")
+    assert url_filter.judge_urls(page, both).first().verdict == "block"
+
+
+# toxicity
+
+def test_grades_in_order(spark):
+    r = random.Random(6)
+    filler = [f"word{i}" for i in range(300)]
+    rows = []
+    for _ in range(900):
+        g = r.randrange(4)
+        rows.append((" ".join([r.choice(filler) for _ in range(30)] + ["grim"] * (g >= 1) + ["awful!"] * (g >= 2) + ["VILE"] * (g >= 3)), g))
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, grade int"), 4)
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    out = toxicity.grade_texts(frame(spark, [*ODD, (20, "word1 word2"), (21, "grim"), (22, "Grim awful"), (23, "grim awful vile " + LONG)]), model)
+    got = {x.doc_id: x for x in out.collect()}
+    assert out.count() == len(ODD) + 4 and out.columns[-3:] == ["severity", "grade", "toxic"]
+    assert [got[i].grade for i in (20, 21, 22, 23)] == [0, 1, 2, 3] and [got[i].toxic for i in (1, 2, 20, 21, 22)] == [False, False, False, True, True]
+    assert got[20].severity < got[21].severity < got[22].severity < got[23].severity
+    for one in (spark.createDataFrame([("a", 1)], "text string, grade int"), spark.createDataFrame([], "text string, grade int")):
+        assert toxicity.grade_texts(frame(spark, ODD), toxicity.fit(one, 3)).select("grade").distinct().count() == 1
+    assert toxicity.grade_texts(frame(spark, []), model).count() == 0
+    labels = spark.createDataFrame([(4, 0, 1), (4, 1, 0), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
+    assert [x.grade for x in toxicity.graded_labels(frame(spark, ODD), labels).collect()] == [1, 1]
+
+
+def test_samples_are_bounded_and_the_same(spark):
+    df = spark.createDataFrame([(f"t{i % 50}", "x") for i in range(400)] + [(None, "y")], "text string, lang string")
+    a, b = (sorted(map(tuple, bounded_sample(d, 20).collect())) for d in (df, df.repartition(9)))
+    assert a == b and len(a) == 20 and bounded_sample(df.limit(0), 5).count() == 0
