@@ -32,6 +32,14 @@ def _ready(spark: SparkSession) -> str:
     return (named or context.getCheckpointDir()).rstrip("/")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a table, whose size the planner reads afresh; size estimates of joins of checkpoints multiply
+    from round to round until planning itself takes minutes."""
+    folder = shared_folder(df.sparkSession, "round")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for each node of an undirected edge table; a component is named by its smallest node.
 
@@ -44,18 +52,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     one = one.select(*(F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n")).alias(c) for c in ("a", "b")))
-    left = cut(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = cut(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct().withColumn("component", F.col("node")))
+    left = _written(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = _written(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct().withColumn("component", F.col("node")))
     for _ in range(max_rounds):
         if left.isEmpty():
             lowest = found.groupBy("component").agg(F.min("node.n").alias("lowest"))
             return found.join(lowest, "component").select(F.col("node.n").alias("node"), F.col("lowest").alias("component"))
         sides = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = cut(sides.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
+        hooks = _written(sides.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
         further = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        tops = cut(hooks.join(further, "up").select("node", "top"))
+        tops = _written(hooks.join(further, "up").select("node", "top"))
         a, b = tops.select(F.col("node").alias("a"), F.col("top").alias("x")), tops.select(F.col("node").alias("b"), F.col("top").alias("y"))
         renamed = left.join(a, "a").join(b, "b").where("x <> y")
-        found = cut(found.join(tops.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component")))
-        left = cut(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        found = _written(found.join(tops.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+        left = _written(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     raise RuntimeError(f"edges are left after {max_rounds} rounds")
