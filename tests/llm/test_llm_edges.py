@@ -201,6 +201,17 @@ def test_language_probabilities_add_up(spark):
         assert 0.99 * (1 - 1 / model.n_symbols) <= p.sum() <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("given", [{}, {"min_share": 1e-5}])
+def test_language_rare_ngrams(spark, given):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    model = language_id.fit(spark.createDataFrame([("the cat sat " * 20000 + " ".join(f"abc{c} abc{c}" for c in letters), "x")], "text string, lang string"), **given)
+    head = (97 << 48) | (98 << 32) | (99 << 16)
+    p = model.probability(0, np.array([head | ord(c) for c in " " + letters], np.uint64))
+    assert 1 - 1 / model.n_symbols <= p.sum() <= 1 + 1e-9
+    if not given:
+        assert {head | ord(c) for c in letters} <= set(model.known.tolist()) and p[1:].min() > 0.5 / 26
+
+
 # decontamination
 
 ITEMS = [(1, "the quick brown fox jumps over a lazy dog near the old river bank at noon today"), (2, " ".join(f"term{i}" for i in range(90))), (3, "alpha beta"), (4, None), (5, " "), (None, "no id at all here")]
