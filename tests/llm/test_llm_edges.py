@@ -229,6 +229,23 @@ def test_leaks(spark):
     assert got[1, 1].overlap == 1.0 and rows[0][1].split()[got[1, 1].word_start : got[1, 1].word_end] == ITEMS[0][1].upper().split()
 
 
+def test_leaks_among_other_terms(spark):
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(n))) for i, n in enumerate([6, 10, 20, 45, 90] * 12)]
+    used = [w for _, t in items for w in t.split()]
+    some = lambda n: [r.choice(used) for _ in range(n)]
+    held = {}
+    for i, t in items:
+        w = t.split()
+        for k in r.sample(range(len(w)), len(w) // 5):
+            w[k] = r.choice(used)
+        held[i] = " ".join([*some(40 + i % 16), *w, *some(40)])
+    rest = [(1000 + k, " ".join(f"f{r.randrange(5000)}" for _ in range(20))) for k in range(600)]  # so that no term is common
+    docs = spark.createDataFrame([*held.items(), *rest], "doc_id long, text string")
+    found = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(i, i) for i, _ in items} <= {(x.id, x.item_id) for x in found} and all(-1 <= x.similarity <= 1.001 for x in found)
+
+
 def test_leaks_odd(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontamination.find_leaks(frame(spark, ODD), items).count() == 0
