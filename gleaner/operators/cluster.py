@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import norm
 from gleaner.operators.graph import connected_components, cut
 from gleaner.operators.similarity import cosine_pairs
 
@@ -36,15 +37,40 @@ def link_complete(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return number
 
 
+def first_of_equal(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """The smallest key of each distinct vector, with the vector; null, zero and infinite ones, which are in no pair, go."""
+    v = F.col(vector).cast("array<double>")
+    rows = df.where(F.col(key).isNotNull() & (norm(v) > 0) & (norm(v) < float("inf")))
+    return rows.groupBy(v.alias(vector)).agg(F.min(key).alias(key)).select(key, vector)
+
+
+def equal_links(df: DataFrame, firsts: DataFrame, key: str, vector: str) -> DataFrame:
+    """``a, b`` for each row but the first of its vector: the first one's key and its own."""
+    rows = df.select(F.col(key).alias("b"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.join(firsts.select(F.col(key).alias("a"), F.col(vector).alias("v")), "v").where("a < b").select("a", "b")
+
+
+def cosine_components(df: DataFrame, key: str, vector: str, above: float) -> DataFrame:
+    """``node, component`` of the graph of ``cosine_pairs`` with ``above`` below 1; equal vectors hang on the first of them
+    by key, so copies cost a link each and not a pair with each other."""
+    firsts = cut(first_of_equal(df, key, vector))
+    links = cosine_pairs(firsts, key, vector, above).select("a", "b").unionByName(equal_links(df, firsts, key, vector))
+    return connected_components(links, "a", "b")
+
+
 def cluster_complete_linkage(df: DataFrame, key: str, vector: str, threshold: float = 0.60) -> DataFrame:
     """``key, cluster`` where a cluster is named by its smallest key; null and zero vectors are clusters of their own.
 
-    Members of a cluster are all within the threshold of each other, so no cluster reaches beyond a component of the
-    graph of pairs within the threshold. Those components are found first and each is clustered in one task; a component
-    has to fit there, which a threshold that joins most of the table would not allow.
+    Equal vectors are one cluster at any threshold above 0, so only the first of them by key is clustered and the rest take
+    its cluster. Members of a cluster are all within the threshold of each other, so no cluster reaches beyond a component of the
+    graph of pairs within the threshold. Those components are found first and each is clustered in one task; a component's
+    distinct vectors have to fit there, which a threshold that joins most of the table would not allow.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    pairs = cosine_pairs(rows, "key", "v", 1 - threshold)
+    if threshold <= 0:
+        return rows.select(F.col("key").alias(key), F.col("key").alias("cluster"))
+    firsts = cut(first_of_equal(rows, "key", "v"))
+    pairs = cosine_pairs(firsts, "key", "v", 1 - threshold)
     blocks = connected_components(pairs, "a", "b").withColumnRenamed("node", "key")
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -53,9 +79,9 @@ def cluster_complete_linkage(df: DataFrame, key: str, vector: str, threshold: fl
         by = np.argsort(keys, kind="stable")
         v = np.array(table.column("v").to_pylist(), float)[by]
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        return pa.table({"key": keys[by], "cluster": keys[by][link_complete(v, threshold)]})
+        return pa.table({"v": table.column("v").take(pa.array(by)), "cluster": keys[by][link_complete(v, threshold)]})
 
-    joined = cut(rows.join(blocks, "key", "left"))
-    found = joined.where("component is not null").groupBy("component").applyInArrow(task, f"key {kind}, cluster {kind}")
-    alone = joined.where("component is null").select("key", F.col("key").alias("cluster"))
-    return found.unionByName(alone).withColumnRenamed("key", key)
+    joined = cut(firsts.join(blocks, "key", "left"))
+    found = joined.where("component is not null").groupBy("component").applyInArrow(task, f"v array<double>, cluster {kind}")
+    found = found.unionByName(joined.where("component is null").select("v", F.col("key").alias("cluster")))
+    return rows.join(found, "v", "left").select(F.col("key").alias(key), F.coalesce("cluster", "key").alias("cluster"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import media, text, vectors
 from gleaner.functions.images import apply_layers
 from gleaner.operators import classify, membership, phrases, quality, ranking, similarity
-from gleaner.operators.cluster import cluster_complete_linkage
-from gleaner.operators.graph import connected_components
+from gleaner.operators.cluster import cluster_complete_linkage, cosine_components, equal_links, first_of_equal
+from gleaner.operators.graph import connected_components, cut
 from gleaner.sinks import actions, reports
 from gleaner.sources import pages as html
 from gleaner.sources.files import convert_action
@@ -94,8 +94,7 @@ def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def duplicate_components(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = similarity.cosine_pairs(table(spark, folder, "embeddings"), "vec_id", "embedding", 0.4)
-    return connected_components(pairs, "a", "b")
+    return cosine_components(table(spark, folder, "embeddings"), "vec_id", "embedding", 0.4)
 
 
 def _bins() -> object:
@@ -422,8 +421,10 @@ def empty_run_stop(spark: SparkSession, folder: str) -> DataFrame:
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates removed: similar pairs, verified, grouped, the best of each group kept."""
     rows = table(spark, folder, "embeddings")
-    pairs = similarity.cosine_pairs(rows, "vec_id", "embedding", 0.35).select("a", "b")
+    firsts = cut(first_of_equal(rows, "vec_id", "embedding"))
+    pairs = similarity.cosine_pairs(firsts, "vec_id", "embedding", 0.35).select("a", "b")
     kept = similarity.verified_pairs(pairs, _features(spark, folder), "vec_id", "histogram", "gray", least_histogram=0.5, most_difference=-1, most_pixels=-1)
+    kept = kept.select("a", "b").unionByName(equal_links(rows, firsts, "vec_id", "embedding"))  # of equal histograms
     members = connected_components(kept, "a", "b").join(rows.select(F.col("vec_id").alias("node"), "label", F.size("embedding").cast("long").alias("size")), "node")
     ranked = ranking.best_of_group(members, "component", "label", "size", "size", "node")
     return ranked.select(F.col("node").alias("vec_id"), "component", F.col("rank").cast("int").alias("rank"), "kept")

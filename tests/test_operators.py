@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import images, media, text, vectors
 from gleaner.operators import classify, membership, quality, ranking, similarity
-from gleaner.operators.cluster import cluster_complete_linkage
+from gleaner.operators.cluster import cluster_complete_linkage, cosine_components
 from gleaner.operators.graph import connected_components
 from gleaner.operators.phrases import phrase_rank, phrase_report
 from gleaner.sinks import actions
@@ -119,6 +119,21 @@ def test_complete_linkage_stops_at_the_threshold(spark):
     assert len({r.cluster for r in cluster_complete_linkage(edge, "k", "v", 0.6 - 1e-12).collect()}) == 2
 
 
+def test_copies_are_not_paired(spark, monkeypatch):
+    from gleaner.operators import cluster
+
+    seen = []
+    pairs = cluster.cosine_pairs
+    monkeypatch.setattr(cluster, "cosine_pairs", lambda *a: seen.append(pairs(*a).count()) or pairs(*a))
+    rows = [*((k, [1.0, 0.0, 0.0]) for k in range(10, 310)), (5, [0.9, 0.1, 0.0]), (400, [0.0, 0.0, 1.0]), (401, [0.0, 0.0, 1.0]), (402, [0.0, 1.0, 0.0]), (500, [0.0] * 3), (501, [0.0] * 3), (502, None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    got = {r.k: r.cluster for r in cluster_complete_linkage(df, "k", "v", 0.6).collect()}
+    one = dict.fromkeys([5, *range(10, 310)], 5) | {400: 400, 401: 400}
+    assert got == one | {k: k for k in (402, 500, 501, 502)}
+    assert {r.node: r.component for r in cosine_components(df, "k", "v", 0.4).collect()} == one
+    assert seen == [1, 1]
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([(1, " Cat,\tdog\n,,cat"), (2, None), (3, "DOG, , bird ")], "k long, p string")
     assert [(r.phrase, r.n) for r in phrase_rank(df, "k", "p").orderBy("rank").collect()] == [("cat", 2), ("dog", 2), ("bird", 1)]
