@@ -14,6 +14,7 @@ from gleaner.llm.line_dedup import dedup_lines
 from gleaner.llm.near_dup import near_duplicates
 from gleaner.llm.packing import Limits, pack_documents
 from gleaner.llm.queries import vocabulary
+from gleaner.operators.graph import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,10 +60,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's rows are written to the shared folder before the next reads them."""
+    """All stages; each one's rows are written to the shared folder as Parquet before the next reads them."""
     docs = load(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs)
+            folder = shared_folder(spark, name)
+            docs.write.parquet(folder)
+            docs = spark.read.schema(docs.schema).parquet(folder)
     return docs

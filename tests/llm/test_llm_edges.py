@@ -387,3 +387,17 @@ def test_samples_are_bounded_and_the_same(spark):
     df = spark.createDataFrame([(f"t{i % 50}", "x") for i in range(400)] + [(None, "y")], "text string, lang string")
     a, b = (sorted(map(tuple, bounded_sample(d, 20).collect())) for d in (df, df.repartition(9)))
     assert a == b and len(a) == 20 and bounded_sample(df.limit(0), 5).count() == 0
+
+
+# pipeline
+
+def test_stages_are_written_as_parquet(spark, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+    stage = lambda spark, docs, folder: read.append(docs.inputFiles()) or docs.select("doc_id", F.concat("text", F.lit("!")).alias("text"))
+    monkeypatch.setattr(corpus_pipeline, "load", lambda *a: frame(spark, [(1, "a"), (None, None), (1, "a")]).select("doc_id", "text"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    got = corpus_pipeline.run(spark, "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, frame(spark, [(1, "a!!!"), (None, None), (1, "a!!!")]).select("doc_id", "text").collect()))
+    assert not read[0] and all(files and all(f.endswith(".parquet") for f in files) for files in read[1:])
