@@ -134,12 +134,13 @@ def apply_layers(df: DataFrame, key: str, vector: str, layers: list[tuple[np.nda
         for batch in batches:
             vectors = batch.column(1).to_pylist()
             there = [i for i, v in enumerate(vectors) if v is not None]
-            x = np.array([vectors[i] for i in there], float).reshape(len(there), -1)
-            for w, b in shared.value if there else []:
-                x = x @ w.T + b
             score: list[float | None] = [None] * len(vectors)
-            for i, s in zip(there, x[:, 0] if there else [], strict=True):
-                score[i] = float(s)
+            if there:
+                x = np.array([vectors[i] for i in there], float)
+                for w, b in shared.value:
+                    x = x @ w.T + b
+                for i, s in zip(there, x[:, 0], strict=True):
+                    score[i] = float(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["key", "score"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -35,8 +35,9 @@ def test_components(spark, edges):
             x, y = sorted((find(a), find(b)))
             top[y] = x
     want = {x: find(x) for x in list(top)}
-    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
-    assert {r.node: r.component for r in got.collect()} == want
+    for few in (0, 3, 200_000):  # by rounds alone, by rounds and one task, by one task
+        got = connected_components(spark.createDataFrame(edges, "src long, dst long"), few=few)
+        assert {r.node: r.component for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("threshold", [0, 2, 4, 14])
