@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.graph import cut
+from gleaner.operators.graph import cut, written
 
-__all__ = ["bounded_sample", "cut", "load", "lower_ascii", "text_or_empty"]
+__all__ = ["bounded_sample", "cut", "dealt_evenly", "load", "lower_ascii", "text_or_empty", "with_row_key", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,3 +36,25 @@ def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
         return rows.limit(0)
     picked = hashed.where(F.col("hash__") <= lowest).groupBy("hash__").agg(F.min(F.struct("text", *rest)).alias("row"))
     return picked.select(*(F.col("row")[c].alias(c) for c in rows.columns))
+
+
+def dealt_evenly(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out in turn, for rows that are a piece of work each."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_row_key(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``row_key``, which tells every row from all others and is the same each time they are read.
+
+    It is the place of a row in its Parquet file; rows that do not come straight from files are written first.
+    """
+    if not rows.inputFiles() or "_metadata" not in _hidden(rows):
+        rows = written(rows, "keyed")
+    return rows.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("row_key"))
+
+
+def _hidden(rows: DataFrame) -> list[str]:
+    try:
+        return rows.select("_metadata.row_index").columns and ["_metadata"]
+    except AnalysisException:
+        return []

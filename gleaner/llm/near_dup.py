@@ -5,21 +5,24 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut
+from gleaner.llm.common import dealt_evenly, written
 from gleaner.llm.words import hash_texts, mix, shingles
-from gleaner.operators.graph import connected_components
+from gleaner.operators.graph import connected_components, drop_written
 
 #: Chance that the bands miss a link of exactly the threshold.
 MISS = 1e-8
-ROWS = 5
-#: Documents on one side of a tile when large groups are verified in blocks.
-TILE = 256
+ROWS = 4
+#: Sets in a block, and shingles of all of them together, on average; blocks are verified in pairs.
+TILE, SHINGLES = 256, 1 << 18
+#: Bits of the map that tells which rows' sets may be wanted; 8 MB, whatever the input.
+MAP_BITS = 1 << 26
 _BLOCK = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,41 +70,65 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``id, n, digest, keys``: set size, 128-bit digest of the set and band keys of each row."""
+    """``id, h, n, digest, keys``: a hash of the row, set size, 128-bit digest of the set and band keys of each row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, keys = [], [], []
-            for _, w in hash_texts(batch.column(1).to_pylist()):
+            for _, w in hash_texts(batch.column(2).to_pylist()):
                 s = shingles(w, words)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(band_keys(super_minhash(s, bands * rows), bands, rows) if len(s) else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys)], names=["id", "h", "n", "digest", "keys"])
 
-    return docs.mapInArrow(task, f"id {docs.dtypes[0][1]}, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(task, f"id {docs.dtypes[0][1]}, h long, n long, digest binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``digest, ids``: the sets of ``docs``."""
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x.view(np.int64) for x in parts]) if parts else np.zeros(0, np.int64)))
+
+
+def _bit_map(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes ``h``, of which the driver gets ``MAP_BITS`` at most."""
+    bit = F.pmod("h", F.lit(MAP_BITS))
+    parts = hashes.select(F.floor(bit / 32768).alias("part"), (bit % 32768).alias("bit")).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toPandas()
+    out = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
+    for part, bits in zip(parts["part"], parts["bits"], strict=True):
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``digest, ids``: the sets of the rows of ``docs`` whose hash ``h`` is in ``wanted`` (digest, h), each once.
+
+    A map of bits passes over most other rows before their texts are hashed, and no text is shuffled. What passes by
+    chance goes in the join. A task gives a row's set once, so that repeated rows cost nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(wanted))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, np.zeros(0, np.int64)
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                some = batch.slice(part, 256)
-                got = [shingles(w, words) for _, w in hash_texts(some.column(1).to_pylist())]
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in got]))).astype(np.int32)
-                flat = np.concatenate([s.view(np.int64) for s in got]) if got else np.zeros(0, np.int64)
+            h = batch.column(1).to_numpy()
+            at = h % MAP_BITS
+            some = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            some = some[np.sort(np.unique(h[some], return_index=True)[1])]
+            some = some[~np.isin(h[some], seen)]
+            seen = np.concatenate((seen, h[some]))
+            texts = batch.column(2).take(pa.array(some))
+            for low in range(0, len(some), 256):
+                got = [shingles(w, words) for _, w in hash_texts(texts[low : low + 256].to_pylist())]
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in got]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["digest", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), _lists(got)], names=["digest", "ids"])
 
-    return docs.mapInArrow(task, "digest binary, ids array<long>")
+    found = docs.mapInArrow(task, "digest binary, ids array<long>")
+    return found.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("ids").alias("ids"))
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a left and a right set (right None: of two left sets) with ``100 * intersection >= percent * union``."""
+def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: Fraction) -> list[tuple[int, int]]:
+    """Pairs of a left and a right set (right None: of two left sets) whose intersection is at least ``threshold`` of their union."""
     sets = left + (right or [])
     n = np.array([len(s) for s in sets])
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -120,7 +147,7 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         grid[owner[a:b], at] = 1
         common += grid[: len(left)] @ (grid[len(left) :] if right else grid).T
     union = n[: len(left), None] + (n[len(left) :] if right else n)[None, :] - common
-    found = 100 * common >= percent * union
+    found = threshold.denominator * common >= threshold.numerator * union
     if right is None:
         found = np.triu(found, 1)
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(found), strict=True)]
@@ -147,93 +174,127 @@ def _forest(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, rows: int = ROWS) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row of ``docs``.
 
-    Texts whose sets of word shingles have a Jaccard similarity of at least ``threshold`` are linked; a component is
-    named by its smallest id and keeps that row.
+    Texts whose sets of word shingles have a Jaccard similarity of at least ``threshold``, taken as the decimal number that it
+    prints as, are linked; a component is named by its smallest id and keeps that row.
 
     1. Rows with equal sets form a class, found by a digest of the set; only classes go on, so copies cost nothing.
     2. Each class spreads its SuperMinHash signature over bands; the number of bands makes the chance to miss a link at
        the threshold at most ``MISS``. In a bucket, all classes are paired with the smallest (a star, never all pairs),
-       and each pair is verified on its full sets.
+       and each pair is verified on its full sets. A leader's set goes once to each block of its members.
     3. A bucket of three or more classes which the verified links leave in several components may hide links between
-       members that are both unlike the smallest. Such buckets are joined into groups, and each group is verified in
-       tiles of ``TILE`` by ``TILE`` sets. Members that the first links have already united are not compared with each
-       other. A tile returns a forest of its links, so its output is linear in its sides.
+       members that are both unlike the smallest. Such buckets are joined into groups, and each group is verified block
+       by block. Members that the first links have already united are not compared with each
+       other. Pairs of blocks are dealt out evenly, and each returns a forest of its links, so its output is linear in
+       its sides.
     4. Components of all links; class members take the component of their class.
 
     Null texts, and texts without words, have an empty set and link with nothing. Texts of fewer than ``words`` words have
-    one shingle. Rows that repeat an id are classes of their own texts and share a component only if linked. A null id
-    takes part, but is never the smallest unless all are null. Columns other than the two are not read.
+    one shingle. Rows that repeat an id are classes of their own texts and share a component only if linked; of equal rows
+    all that have the smallest id count as kept, so a caller that wants one of them gives ids that differ. A null id
+    takes part, but is never the smallest unless all are null. An empty table gives an empty one. Columns other than the
+    two are not read, whatever their names.
     """
-    percent = round(threshold * 100)
+    share = Fraction(str(threshold))
+    if not 0 < share <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     bands = n_bands(threshold, rows)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = cut(_signatures(narrow, words, bands, rows))
-    classes = cut(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
+    narrow = narrow.select("id", F.xxhash64("id", "text").alias("h"), "text")
+    signed = written(_signatures(narrow, words, bands, rows), "signed")
+    classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     banded = classes.select("digest", F.explode("keys").alias("key"))
-    buckets = cut(banded.groupBy("key").agg(F.min("digest").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    stars = cut(banded.join(buckets, "key").where("digest <> leader").select("leader", "digest").distinct())
-    wanted = stars.select("leader").unionByName(stars.select(F.col("digest").alias("leader"))).distinct()
-    sets = cut(_candidate_sets(narrow, classes, wanted, words))
-    links = cut(_verified(stars, sets, percent))
-    united = cut(connected_components(links, "leader", "digest"))
+    buckets = written(banded.groupBy("key").agg(F.min("digest").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    stars = written(banded.join(buckets, "key").where("digest <> leader").select("leader", "digest").distinct(), "stars")
+    wanted = classes.join(stars.select("leader").unionByName(stars.select(F.col("digest").alias("leader"))).distinct().withColumnRenamed("leader", "digest"), "digest", "left_semi")
+    sets = written(_sets(narrow, written(wanted.select("digest", "h"), "wanted"), words), "sets")
+    sized = classes.select("digest", "n")
+    links = written(_starred(stars.join(sized, "digest"), sets, share), "links")
+    united = written(connected_components(links, "leader", "digest"), "united")
 
     mixed = banded.join(buckets.where("size > 2"), "key").select("key", "leader", "digest").join(united.withColumnRenamed("node", "digest"), "digest", "left")
     mixed = mixed.withColumn("part", F.coalesce("component", "digest"))
     open_keys = mixed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rest = cut(mixed.join(open_keys, "key").select("leader", "digest", "part").distinct())
-    more = _tiled(rest, sets, percent)
-    parts = cut(connected_components(links.unionByName(cut(more)), "leader", "digest"))
+    rest = written(mixed.join(open_keys, "key").select("leader", "digest", "part").distinct(), "rest")
+    more = written(_tiled(rest.join(sized, "digest"), sets, share), "more")
+    parts = written(connected_components(links.unionByName(more), "leader", "digest"), "parts")
 
     reps = classes.select("digest", "rep")
     member = parts.join(reps, parts.node == reps.digest).select("digest", "component", "rep")
     lowest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = cut(reps.join(member.join(lowest, "component").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")))
+    named = written(reps.join(member.join(lowest, "component").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    for table in (buckets, stars, sets, links, united, rest, more, parts, classes):
+        drop_written(table)
     out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _candidate_sets(narrow: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    reps = classes.select("digest", "rep").join(wanted.withColumnRenamed("leader", "digest"), "digest", "left_semi")
-    texts = narrow.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
-    return _sets(texts, words).join(reps, "digest", "left_semi").groupBy("digest").agg(F.first("ids").alias("ids"))
+def _blocks(members: DataFrame, group: str, sets: DataFrame) -> DataFrame:
+    """``chunk`` and ``block``, an array of (digest, part, ids), for ``members`` (group, digest, part, chunk), by group and chunk."""
+    with_sets = members.join(sets, "digest")
+    return with_sets.groupBy(group, "chunk").agg(F.collect_list(F.struct("digest", "part", "ids")).alias("block"))
 
 
-def _verified(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("digest").alias("leader"), F.col("ids").alias("a"))
-    b = sets.select("digest", F.col("ids").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    sized = stars.join(a, "leader").join(b, "digest").select("leader", "digest", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return sized.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("leader", "digest")
+def _chunks(n: str, shingles_: str) -> Column:
+    """How many blocks so many sets with so many shingles make."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / TILE), F.ceil(F.col(shingles_) / SHINGLES)).cast("long")
 
 
-def _tiled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the groups that ``rest`` (leader, digest, part) forms, between members of different parts."""
+def _linked_blocks(tiles: DataFrame, threshold: Fraction) -> DataFrame:
+    """``leader, digest``: a forest of the links between ``a`` and ``b`` (null: within ``a``), two blocks in each row."""
+
+    def sets_of(block: pa.Array) -> tuple[list[bytes], list[bytes], list[np.ndarray]]:
+        ids = block.field("ids")
+        return block.field("digest").to_pylist(), block.field("part").to_pylist(), [np.asarray(x.values).view(np.uint64) for x in ids]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                names, parts, left = sets_of(a.values)
+                right = None
+                if b.is_valid:
+                    more = sets_of(b.values)
+                    names, parts, right = names + more[0], parts + more[1], more[2]
+                if right == [] or len(names) < 2:
+                    continue
+                shift = len(left) if right is not None else 0
+                pairs = [(i, j + shift) for i, j in tile_links(left, right, threshold)]
+                pairs = _forest([(i, j) for i, j in pairs if parts[i] != parts[j]], len(names))
+                found += [(names[i], names[j]) for i, j in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["leader", "digest"])
+
+    return tiles.select("a", "b").mapInArrow(task, "leader binary, digest binary")
+
+
+def _starred(stars: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The links of ``stars`` (leader, digest, n) between a leader and its members."""
+    sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")).select("leader", _chunks("k", "s").alias("chunks"))
+    members = stars.join(sizes, "leader").select("leader", "digest", F.col("digest").alias("part"), F.pmod(F.xxhash64("digest"), "chunks").alias("chunk"))
+    alone = sets.select(F.col("digest").alias("leader"), F.array(F.struct("digest", F.col("digest").alias("part"), "ids")).alias("a"))
+    return _linked_blocks(_blocks(members, "leader", sets).join(alone, "leader").select("a", F.col("block").alias("b")), threshold)
+
+
+def _tiled(rest: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links within the groups that ``rest`` (leader, digest, part, n) forms, between members of different parts.
+
+    A group's largest part has blocks of its own, numbered after the others; two of those need no look.
+    """
     groups = connected_components(rest.where("leader <> digest").select("leader", "digest"), "leader", "digest").select(F.col("node").alias("digest"), F.col("component").alias("gid"))
-    members = cut(rest.select("digest", "part").distinct().join(groups, "digest"))
-    by_part = members.groupBy("gid", "part").agg(F.count(F.lit(1)).alias("k"))
-    sizes = by_part.groupBy("gid").agg(F.sum("k").alias("n"), F.max(F.struct("k", "part")).alias("main"))
-    sizes = cut(sizes.select("gid", F.col("main.part").alias("main"), F.ceil(F.col("main.k") / TILE).alias("c_main"), F.ceil((F.col("n") - F.col("main.k")) / TILE).alias("c_rest")))
+    members = written(rest.select("digest", "part", "n").distinct().join(groups, "digest"), "members")
+    by_part = members.groupBy("gid", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    sizes = by_part.groupBy("gid").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.max(F.struct("k", "part", "s")).alias("main"))
+    sizes = sizes.select("gid", F.col("main.part").alias("main"), F.col("main.k").alias("k_main"), F.col("main.s").alias("s_main"), (F.col("k") - F.col("main.k")).alias("k_rest"), (F.col("s") - F.col("main.s")).alias("s_rest"))
+    sizes = written(sizes.select("gid", "main", _chunks("k_main", "s_main").alias("c_main"), _chunks("k_rest", "s_rest").alias("c_rest")), "sizes")
     seed = F.xxhash64("digest")
-    is_main = F.col("part") == F.col("main")
-    placed = members.join(sizes, "gid").select("gid", "digest", "part", "c_main", "c_rest", F.when(is_main, F.col("c_rest") + F.pmod(seed, "c_main")).otherwise(F.pmod(seed, F.greatest("c_rest", F.lit(1)))).alias("chunk"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("c_rest") + F.col("c_main") - 1), lambda j: (j < F.col("c_rest")) | (F.col("chunk") < F.col("c_rest")))
-    tiles = placed.select("gid", "digest", "part", "chunk", F.explode(others).alias("other"))
-    tiles = tiles.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "digest", "part")
-
-    def task(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        digest, chunk = table.column("digest").to_pylist(), np.array(table.column("chunk"))
-        parts = table.column("part").to_pylist()
-        sets_ = [np.asarray(x.values).view(np.uint64) for x in table.column("ids")]
-        left = np.flatnonzero(chunk == i)
-        right = np.flatnonzero(chunk == j) if i != j else left
-        pairs = tile_links([sets_[k] for k in left], [sets_[k] for k in right] if i != j else None, percent) if len(right) else []
-        pairs = [(int(left[a]), int(right[b])) for a, b in pairs if parts[left[a]] != parts[right[b]]]
-        pairs = _forest(pairs, len(digest))
-        return pa.table({"leader": pa.array([digest[a] for a, _ in pairs], pa.binary()), "digest": pa.array([digest[b] for _, b in pairs], pa.binary())})
-
-    return tiles.join(sets, "digest").select("gid", "i", "j", "chunk", "digest", "part", "ids").groupBy("gid", "i", "j").applyInArrow(task, "leader binary, digest binary")
+    chunk = F.when(F.col("part") == F.col("main"), F.col("c_rest") + F.pmod(seed, "c_main")).otherwise(F.pmod(seed, "c_rest"))
+    blocks = written(_blocks(members.join(sizes, "gid").select("gid", "digest", "part", chunk.alias("chunk")), "gid", sets), "blocks")
+    there = blocks.select("gid", "chunk").join(sizes.select("gid", "c_main", "c_rest"), "gid")
+    others = F.filter(F.sequence(F.col("chunk"), F.col("c_rest") + F.col("c_main") - 1), lambda j: F.col("chunk") < F.col("c_rest"))
+    tiles = there.select("gid", F.col("chunk").alias("i"), F.explode(others).alias("j"))
+    side = lambda name, at: blocks.select("gid", F.col("chunk").alias(at), F.col("block").alias(name))
+    both = tiles.join(side("a", "i"), ["gid", "i"]).join(side("b", "j"), ["gid", "j"])
+    return _linked_blocks(dealt_evenly(both.select("a", F.when(F.col("i") < F.col("j"), F.col("b")).alias("b"))), threshold)
 
 
 def near_dup_digest(docs: DataFrame) -> DataFrame:

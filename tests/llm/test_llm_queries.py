@@ -63,11 +63,24 @@ def test_op2_base_spans_are_the_patterns(spark):
         assert set(filter(None, written(base).split(","))) <= set(r.spans.split(","))
 
 
+def test_op2_secrets_of_all_documents(spark):
+    """What a plain search for the tables' three forms of secrets finds, and little beside it."""
+    forms = re.compile(r'(?i:token) = "([0-9a-fA-F]{40})"|(?i:password)=([0-9a-fA-F]{18})|(AKIA[A-Z0-9]{16})')
+    want, got = set(), set()
+    texts = {i: t for i, t, _ in documents("/root/testdata/sf0.1")}
+    for i, t in texts.items():
+        want |= {(i, m.start(m.lastindex), m.end(m.lastindex)) for m in forms.finditer(t) if not m[m.lastindex].isalpha()}
+    for r in QUERIES["op2_private_spans"](spark, "/root/testdata/sf0.1").collect():
+        own = [s.split(":") for s in r.spans.split(",") if s]
+        got |= {(r.doc_id, int(a), int(b)) for k, a, b in own if k == "secret"}
+        assert r.n_secret == sum(s[0] == "secret" for s in own) and len(own) == r.n_added + r.n_email + r.n_ip + r.n_card + r.n_phone
+    assert len(want) > 90 and len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
+
+
 def test_op4_pieces_are_the_documents_and_fill_sequences(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t, _ in documents()}
     got = QUERIES["op4_vector_packing"](spark, SMALL).toPandas()
     for i, pieces in got.sort_values("start").groupby("doc_id"):
