@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the model tells apart: the kinds that have a base pattern, and secrets (keys, tokens, passwords), which have none.
+ALL_KINDS = (*KINDS, "secret")
 Span = tuple[str, int, int]
 
 # The base patterns. A look-behind skips starts inside a run of digits, which would only repeat a failure.
@@ -29,9 +31,16 @@ _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _NUMBERS = re.compile(r"\+?\(?[0-9](?:[\x20().+-]{0,3}[0-9])*+")
 _AT = re.compile(r"@|\(at\)|\[at\]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
+#: Long runs of letters and digits, which may be secrets if they hold both; such stretches are cut into whole words.
+_RUN = re.compile(r"[A-Za-z0-9]{12,128}+(?![A-Za-z0-9])")
+_WORD = re.compile(r"[A-Za-z0-9]+|.", re.S)
+_JOINED = frozenset("_-/+=.")
+_NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|bearer|credential)[\w-]*[\x20\"']*[=:\x20]*[\x20\"']*$")
 #: Tokens of one entity at most; the dynamic program looks back no further.
 LONGEST = 24
 REACH = 64
+#: Characters of a secret at most, and in front of it that are looked at.
+SECRET, BEFORE = 128, 24
 
 
 def luhn(digits: str) -> bool:
@@ -76,7 +85,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def ordered(spans: list[Span]) -> list[Span]:
-    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(spans, key=lambda s: (s[1], ALL_KINDS.index(s[0]), s[2]))
 
 
 def written(spans: list[Span]) -> str:
@@ -84,7 +93,7 @@ def written(spans: list[Span]) -> str:
 
 
 def regions(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches worth a look beside the spans that are taken: numbers, and the surroundings of at signs."""
+    """Stretches worth a look beside the spans that are taken: numbers, long words with digits, and the surroundings of at signs."""
     out = []
     if _DIGIT.search(text):
         out = [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m.group())) >= 4]
@@ -93,9 +102,31 @@ def regions(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
             k = bisect.bisect_right(taken, (m.start(), len(text))) - 1
             if k < 0 or taken[k][1] <= m.start():
                 out.append((max(0, m.start() - REACH), min(len(text), m.end() + REACH)))
+    if _DIGIT.search(text):
+        out += _secret_regions(text)
     return out
 
 
+def _secret_regions(text: str) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        if _mixed(m.group()) and not (m.start() and text[m.start() - 1].isalnum()):
+            low, high = m.start(), m.end()
+            while low > 0 and m.start() - low < SECRET and (text[low - 1] in _JOINED or text[low - 1].isascii() and text[low - 1].isalnum()):
+                low -= 1
+            while high < len(text) and high - m.end() < SECRET and (text[high] in _JOINED or text[high].isascii() and text[high].isalnum()):
+                high += 1
+            if out and low < out[-1][1]:
+                out[-1] = (out[-1][0], max(high, out[-1][1]))
+            else:
+                out.append((low, high))
+    return out
+
+
+def _mixed(s: str) -> bool:
+    return not (s.isdigit() or s.isalpha())
+
+
 def _look(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> tuple[str, ...]:
     """Features of the whole span of tokens i to j."""
     a, b = tokens[i][0], tokens[j - 1][1]
@@ -120,12 +151,26 @@ def _look(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> tuple[str
     return tuple(out)
 
 
+def _look_secret(text: str, a: int, b: int) -> tuple[str, ...]:
+    """Features of a whole span that may be a secret."""
+    s = text[a:b]
+    kinds = ("lower" if re.search("[a-z]", s) else "") + ("UPPER" if re.search("[A-Z]", s) else "") + ("hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "")
+    turns = len(re.findall("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])", s))
+    size = next((str(k) for k in (12, 16, 20, 24, 32, 40, 64) if len(s) <= k), "more")
+    edge = ("L" if a and text[a - 1].isalnum() else "") + ("R" if text[b : b + 1].isalnum() else "")
+    harsh = max((len(x) for x in re.findall("[b-df-hj-np-tv-z]+", s.lower())), default=0)  # consonants in a row, rare in words
+    named = bool(_NAMED.search(text, max(0, a - BEFORE), a))
+    return (f"S edge {edge}", f"S {kinds} {size}", f"S turns {min(5, turns * 12 // len(s))}", f"S marks {''.join(sorted(set(s) & _JOINED))}", f"S named {named}", f"S named {named} {min(3, turns)}", f"S turns {min(5, turns * 12 // len(s))} {kinds}", f"S harsh {min(7, harsh)}", f"S harsh {min(7, harsh)} {kinds}")
+
+
 def lattice(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], dict[int, list[tuple[int, tuple[str, ...]]]]]:
     """Tokens of a region, and for each end the candidate segments that end there as ``(first token, features)``."""
+    mail = bool(_AT.search(text, low, high))
+    if not mail and any(_mixed(m.group()) for m in _RUN.finditer(text, low, high)):
+        return _secret_lattice(text, low, high)
     tokens = [(low + m.start(), low + m.end()) for m in _TOKEN.finditer(text[low:high])]
     digit = [text[a].isdigit() for a, _ in tokens]
     word = [text[a].isalnum() for a, _ in tokens]
-    mail = bool(_AT.search(text, low, high))
     ends: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
     for j in range(1, len(tokens) + 1):
         if not (word[j - 1] if mail else digit[j - 1]):
@@ -138,6 +183,25 @@ def lattice(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], dict
     return tokens, ends
 
 
+def _secret_lattice(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], dict[int, list[tuple[int, tuple[str, ...]]]]]:
+    tokens = [(low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:high])]
+    ends: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+    for j in range(1, len(tokens) + 1):
+        if not text[tokens[j - 1][0]].isalnum():
+            continue
+        for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
+            a, b = tokens[i][0], tokens[j - 1][1]
+            if not text[a].isalnum():
+                if text[a] in _JOINED:
+                    continue
+                break
+            if b - a > SECRET:
+                break
+            if b - a >= 12 and _mixed(re.sub("[^A-Za-z0-9]", "", text[a:b])):
+                ends.setdefault(j, []).append((i, _look_secret(text, a, b)))
+    return tokens, ends
+
+
 class SemiMarkov:
     """Scores of segment features for each kind; what is in no entity is passed token by token at score 0."""
 
@@ -156,7 +220,7 @@ class SemiMarkov:
         for j in range(1, len(tokens) + 1):
             top[j] = top[j - 1]
             for i, look in ends.get(j, ()):
-                for kind in KINDS:
+                for kind in ALL_KINDS:
                     if (s := top[i] + self.score(kind, look)) > top[j]:
                         top[j], back[j] = s, (i, kind)
         out, j = [], len(tokens)
@@ -173,7 +237,7 @@ class SemiMarkov:
         """One step up the likelihood of the gold segmentation, by forward and backward sums over all segmentations."""
         tokens, ends = lattice(text, 0, len(text))
         n = len(tokens)
-        segments = [(i, j, k, look, self.score(k, look)) for j in ends for i, look in ends[j] for k in KINDS]
+        segments = [(i, j, k, look, self.score(k, look)) for j in ends for i, look in ends[j] for k in ALL_KINDS]
         by_end: dict[int, list] = {}
         by_start: dict[int, list] = {}
         for s in segments:
@@ -245,10 +309,41 @@ def examples(n: int, seed: int = 5) -> Iterator[tuple[str, set[Span]]]:
         yield text.rstrip(), gold
 
 
+def secret_examples(n: int, seed: int = 6) -> Iterator[tuple[str, set[Span]]]:
+    """Made-up long words: keys with and without a name in front, and names of files, versions and goods that are none."""
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    hexa, digits = "0123456789abcdef", "0123456789"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = ["report", "invoice", "holiday", "picture", "archive", "release", "summary", "backup"]
+
+    def secret() -> str:
+        return r.choice([pick(hexa, r.choice([16, 18, 24, 32, 40, 64])), pick(upper + digits, r.choice([20, 24, 32])), pick(upper + upper.lower() + digits, r.choice([20, 24, 32, 40])), pick(hexa.upper(), 40), pick(upper + "234567", r.choice([16, 20, 26, 32]))])
+
+    def other() -> str:
+        w = r.choice(words)
+        return r.choice([f"{w}{pick(digits, 8)}", f"{w}{r.choice(words)}{pick(digits, 4)}", f"{w.capitalize()}{r.choice(words).capitalize()}{pick(digits, 2)}", f"{w}-{r.choice(words)}-{pick(digits, 4)}", f"{w}_{pick(digits, 8)}_{r.choice(words)}", f"{pick(digits, 8)}{w}{r.choice(words)}", f"{w}{pick(digits, 1)}{r.choice(words)}", f"{w}{pick(digits, 4)}{r.choice(words)}".upper(), f"{w}{r.choice(words)}{pick(digits, 2)}".upper()])
+
+    for _ in range(n):
+        text, gold = r.choice(["", "see ", "and the "]), set()
+        if r.random() < 0.6:
+            text += r.choice(["token = \"", "password=", "api_key: ", "secret ", "pwd:", "", "", "the ", "of ", "key="])
+            item = secret()
+            while not _mixed(item):
+                item = secret()
+            gold.add(("secret", len(text), len(text) + len(item)))
+        else:
+            text += r.choice(["", "the ", "file=", "name: ", "in "])
+            item = other()
+        text += item
+        yield text + r.choice(["", "\" x", " of", "."]), gold
+
+
 @lru_cache(maxsize=4)
 def train(n: int = 500, rounds: int = 6) -> SemiMarkov:
-    """A model of ``n`` made-up stretches; the same on every run."""
-    model, data = SemiMarkov(), list(examples(n))
+    """A model of ``n`` made-up stretches of numbers and mail addresses and three times as many of long words; the same on every run."""
+    model, data = SemiMarkov(), [*examples(n), *secret_examples(3 * n)]
+    random.Random(1).shuffle(data)
     for k in range(rounds):
         for text, gold in data:
             model.learn(text, gold, 0.3 / (1 + k))
@@ -279,7 +374,9 @@ def private_spans(docs: DataFrame, model: SemiMarkov | None = None, text_col: st
     """``docs`` with ``base_spans`` and ``spans``, arrays of (kind, start, end) in code points; columns of these names are replaced.
 
     Whole texts, one after another within a task; nothing is shuffled. Regions are long only where a text is one long
-    number, and the dynamic program is linear in them. Null and empty texts have no spans; repeated rows stay.
+    number, and the dynamic program is linear in them. Null and empty texts have no spans; repeated rows stay, with equal
+    spans. Of segmentations with equal scores the one of fewer entities counts, of those the one found first from the
+    left. An empty table gives an empty one; a model's span that overlaps a base span is left out.
     """
     model = model or train()
     fresh = ["base_spans", "spans"]
@@ -301,8 +398,11 @@ def private_spans(docs: DataFrame, model: SemiMarkov | None = None, text_col: st
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
+    """The spans of ``docs`` (doc_id, text) as text, base spans counted by kind; ``n_added`` counts what the model added, and
+    ``n_secret`` its secrets. Rows as in ``private_spans``."""
     out = private_spans(docs.select("doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda k, c="base_spans": F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(text("base_spans"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    added = (F.size("spans") - F.size("base_spans")).cast("long")
+    return out.select("doc_id", *counts, F.sha2(text("base_spans"), 256).alias("base_sha256"), text("spans").alias("spans"), added.alias("n_added"), count("secret", "spans"), (F.size("spans") > 0).alias("private"))
