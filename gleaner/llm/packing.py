@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.tokens import encoder
 
-#: Examples that one round of packing chooses from; bounds the memory of a task.
-POOL = 4096
-SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+#: Examples, and tokens of all of them, that one round of packing chooses from; the latter bounds the memory of a task.
+POOL, POOL_TOKENS = 4096, 1 << 23
+SCHEMA = "id {id}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ class Packer:
     def __init__(self, limits: Limits, cuttable: bool = True) -> None:
         self.limits, self.cuttable = limits, cuttable
         self.kinds: dict[tuple[int, int], list[Example]] = {}
-        self.waiting = 0
+        self.waiting = self.tokens = 0
         self.open: list[Example] = []
 
     def add(self, example: Example) -> None:
@@ -76,9 +76,10 @@ class Packer:
             raise ValueError(f"example {example.key} does not fit into a sequence")
         self.kinds.setdefault(demand, []).append(example)
         self.waiting += 1
+        self.tokens += demand[0]
 
-    def sequences(self, least: int) -> Iterator[list[Example]]:
-        """Sequences, until at most ``least`` examples wait; what is in the open sequence stays for later."""
+    def sequences(self, least: int, tokens: int | None = None) -> Iterator[list[Example]]:
+        """Sequences, until at most ``least`` examples, of at most so many ``tokens``, wait; what is in the open sequence stays for later."""
         cap = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], float)
         demand = np.array(sorted(self.kinds), float).reshape(-1, 2)
         demand = np.column_stack((demand[:, 0], np.ones(len(demand)), demand[:, 1]))
@@ -90,7 +91,7 @@ class Packer:
         alive = left > 0
         room = self._room(cap)
         tail: Example | None = None
-        while tail is not None or self.waiting > least:
+        while tail is not None or self.waiting > least or tokens is not None and self.tokens > tokens:
             piece, k = tail, -1
             if piece is None:
                 fits = alive & (demand <= room).all(1)
@@ -105,6 +106,7 @@ class Packer:
             if tail is None:
                 self.kinds[int(demand[k, 0]), int(demand[k, 2])].pop()
                 self.waiting -= 1
+                self.tokens -= len(piece.ids)
                 left[k] -= 1
                 alive[k] = left[k] > 0
             tail = None
@@ -146,16 +148,20 @@ class Packer:
         return out
 
 
-def pack(examples: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[Example]], limits: Limits, cuttable: bool = True, pool: int = POOL) -> DataFrame:
+def pack(examples: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[Example]], limits: Limits, cuttable: bool = True, pool: int = POOL, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """Pieces of ``examples`` with the sequence and the offset that each got; ``encode`` makes examples of a batch of rows.
+    The first column of ``examples`` is the key, of any type.
 
-    Every task packs the rows of its own partition, ``pool`` examples at a time, so nothing is shuffled and a lost task
-    is run again alone. One open sequence goes over from round to round; only the last one of a task may be short.
+    Every task packs the rows of its own partition, ``pool`` examples or ``pool_tokens`` tokens at a time, so nothing is
+    shuffled and a lost task is run again alone; only one example longer than ``pool_tokens`` takes more. One open sequence goes over from round to round; only the last one of a task may be short.
     ``sequence_id`` holds the partition in its upper bits.
     """
 
+    kind = examples.schema.fields[0].dataType.simpleString()
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, cuttable)
+        key: pa.DataType | None = None
         number = TaskContext.get().partitionId() << 40
         out: list[tuple[int, int, Example]] = []
 
@@ -168,25 +174,27 @@ def pack(examples: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[Exampl
             number += bool(sequence)
 
         for batch in batches:
+            key = batch.schema.field(0).type
             for example in encode(batch):
                 packer.add(example)
-                if packer.waiting >= pool:
-                    for sequence in packer.sequences(pool // 8):
+                if packer.waiting >= pool or packer.tokens >= pool_tokens:
+                    for sequence in packer.sequences(pool // 8, pool_tokens // 2):
                         emit(sequence)
-                    if len(out) >= pool // 2:
-                        yield _batch(out)
+                    if out:
+                        yield _batch(out, key)
                         out.clear()
         for sequence in (*packer.sequences(0), *packer.last()):
             emit(sequence)
-        yield _batch(out)
+        if out:
+            yield _batch(out, key)
 
-    return examples.mapInArrow(task, SCHEMA)
+    return examples.mapInArrow(task, SCHEMA.format(id=kind))
 
 
-def _batch(rows: list[tuple[int, int, Example]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, int, Example]], key: pa.DataType | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([x.key for _, _, x in rows], pa.int64()),
+            pa.array([x.key for _, _, x in rows], key),
             pa.array([x.start for _, _, x in rows], pa.int64()),
             pa.array([len(x.ids) for _, _, x in rows], pa.int64()),
             pa.array([x.ids.astype("<u4").tobytes() for _, _, x in rows], pa.binary()),
@@ -202,8 +210,9 @@ def _batch(rows: list[tuple[int, int, Example]]) -> pa.RecordBatch:
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` packed whole: each text's ids, then ``end_id``; every token bears loss.
 
-    Null and empty texts are the end token alone. Rows are packed as they come: repeated rows and null ids too. Columns
-    other than the id and the text are not read.
+    Null and empty texts are the end token alone; a very long text is cut over many sequences. Rows are packed as they come:
+    repeated rows and null ids too, and rows of equal length in the order of arrival. Ids may be of any type. An empty
+    table gives an empty one. Columns other than the id and the text are not read, whatever their names.
     """
 
     def encode(batch: pa.RecordBatch) -> Iterator[Example]:
@@ -212,8 +221,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
             ids = np.concatenate((enc.encode(text), end))
             yield Example(key, ids, 0, len(ids))
 
-    return pack(docs.select(F.col(id_col).cast("long"), F.col(text_col)), encode, limits)
+    return pack(docs.select(F.col(id_col), F.col(text_col)), encode, limits)
 
 
 def packing_digest(packed: DataFrame) -> DataFrame:
+    """The pieces with a checksum of their ids in place of the ids; rows as those of ``packed``, one by one."""
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -25,16 +25,18 @@ class Encoder:
 
     Where the file is a plain byte-level BPE whose merges come in the order of their ids, ``tiktoken`` computes the same
     ids from the same file several times faster; it takes texts in the scripts where both agree on what a letter is.
-    All else goes through ``tokenizers``. A test compares the two.
+    All else goes through ``tokenizers``, such as texts that hold the string of an added token, which becomes that token's
+    id. A test compares the two.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.fast = self._fast(json.load(f))
+            spec = json.load(f)
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.fast = self._fast(spec)
 
     @staticmethod
     def _fast(spec: dict):
@@ -55,7 +57,7 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fast is None or _SURE.search(text):
+        if self.fast is None or _SURE.search(text) or any(x in text for x in self.added):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
