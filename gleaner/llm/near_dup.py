@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = classes.join(stars.select("leader").unionByName(stars.select(F.col("digest").alias("leader"))).distinct().withColumnRenamed("leader", "digest"), "digest", "left_semi")
     sets = written(_sets(narrow, written(wanted.select("digest", "h"), "wanted"), words), "sets")
     sized = classes.select("digest", "n")
-    links = written(_starred(stars.join(sized, "digest"), sets, share), "links")
+    links = written(_starred(written(stars.join(sized, "digest"), "sized"), sets, share), "links")
     united = written(connected_components(links, "leader", "digest"), "united")
 
     mixed = banded.join(buckets.where("size > 2"), "key").select("key", "leader", "digest").join(united.withColumnRenamed("node", "digest"), "digest", "left")
@@ -269,8 +269,9 @@ def _linked_blocks(tiles: DataFrame, threshold: Fraction) -> DataFrame:
 
 def _starred(stars: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The links of ``stars`` (leader, digest, n) between a leader and its members."""
-    sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")).select("leader", _chunks("k", "s").alias("chunks"))
-    members = stars.join(sizes, "leader").select("leader", "digest", F.col("digest").alias("part"), F.pmod(F.xxhash64("digest"), "chunks").alias("chunk"))
+    large = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")).select("leader", _chunks("k", "s").alias("chunks")).where("chunks > 1")
+    dealt = stars.join(written(large, "large"), "leader", "left").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.coalesce("chunks", F.lit(1))))
+    members = dealt.select("leader", "digest", F.col("digest").alias("part"), "chunk")
     alone = sets.select(F.col("digest").alias("leader"), F.array(F.struct("digest", F.col("digest").alias("part"), "ids")).alias("a"))
     return _linked_blocks(_blocks(members, "leader", sets).join(alone, "leader").select("a", F.col("block").alias("b")), threshold)
 
