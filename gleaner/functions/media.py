@@ -34,9 +34,12 @@ def pixels(width: Column, height: Column) -> Column:
 
 
 def media_info(width: Column, height: Column, fps: Column, frames: Column, size: Column) -> list[Column]:
-    """Resolution, pixels, duration, clock time and rounded bitrate (half to even), null where unknown."""
+    """Resolution, pixels, duration, clock time and rounded bitrate (half to even), null where unknown; all null without a
+    positive width and height, as such a file was not read."""
+    read = (width > 0) & (height > 0)
     seconds = duration(frames, fps)
-    return [
-        resolution(width, height).alias("resolution"), pixels(width, height).alias("pixels"), seconds.alias("duration"),
-        clock(seconds).alias("clock"), F.bround(bitrate(size, seconds), 0).cast("long").alias("bitrate_kbps"),
-    ]
+    known = {
+        "resolution": resolution(width, height), "pixels": pixels(width, height), "duration": seconds,
+        "clock": clock(seconds), "bitrate_kbps": F.bround(bitrate(size, seconds), 0).cast("long"),
+    }
+    return [F.when(read, c).alias(k) for k, c in known.items()]

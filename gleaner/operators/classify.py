@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import dot, doubles, norm
+from gleaner.operators.ranking import group_rank
 
 TEMPERATURE = 20.0
 
@@ -49,9 +50,14 @@ def binary_metrics(df: DataFrame, truth: Column, predicted: Column, by: list[str
     return out.withColumns({"accuracy": ratio(tp + tn, tp + tn + fp + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def with_fold(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
-    """``fold`` by rank of the key within its class, so folds differ by at most one row of a class."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % folds).cast("int"))
+def with_fold(df: DataFrame, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:
+    """``fold`` in turn over the rows of each class in a seeded random order, so folds differ by at most one row of a class.
+
+    The order is that of a hash of seed and key, so it is the same on every run; keys should be unique.
+    """
+    shuffled = [F.asc(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))), F.asc(key)]
+    ranked = group_rank(df, [label], shuffled, "fold")
+    return ranked.withColumn("fold", ((F.col("fold") - 1) % folds).cast("int"))
 
 
 def hashed_fold(df: DataFrame, key: str, folds: int, seed: int = 42) -> DataFrame:

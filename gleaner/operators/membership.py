@@ -15,16 +15,23 @@ def not_contained(df: DataFrame, part: str, existing: DataFrame, existing_name:
     """Rows whose ``part`` no existing name contains; an id that is only part of another one is found too. Null parts are new.
 
     Parts of at most ``longest`` characters meet the pieces of that length of the names in an equi-join; only lengths
-    that occur are cut out, so a name gives a row for each length and place.
+    that occur are cut out, so a name gives a row for each length and place. Longer parts meet the names that hold their
+    first ``longest`` characters in such a join, and those names are looked through.
     """
     parts = df.where(F.col(part).isNotNull()).select(F.col(part).alias("part__")).distinct()
-    lengths = [r[0] for r in parts.select(F.length("part__").alias("n")).where(F.col("n") <= longest).distinct().collect()]  # at most ``longest`` + 1
+    cut_to = F.least(F.length("part__"), F.lit(longest))
+    lengths = [r[0] for r in parts.select(cut_to.alias("n")).distinct().collect()]  # at most ``longest`` + 1
     names = existing.where(F.col(existing_name).isNotNull()).select(F.col(existing_name).alias("name__")).distinct()
     n = F.col("n__")
-    pieces = names.withColumn("n__", F.explode(F.array(*map(F.lit, sorted(lengths or [0]))).cast("array<int>"))).where(F.length("name__") >= n)
-    pieces = pieces.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name__") - n + 1), lambda i: F.substring("name__", i, n))).alias("part__")).distinct()
-    short = parts.where(F.length("part__") <= longest).join(pieces, "part__", "left_semi")
-    long = parts.where(F.length("part__") > longest).join(names, F.contains(F.col("name__"), F.col("part__")), "left_semi")
+
+    def pieces(wanted: list[int]) -> DataFrame:
+        cut_out = names.withColumn("n__", F.explode(F.array(*map(F.lit, sorted(wanted or [0]))).cast("array<int>"))).where(F.length("name__") >= n)
+        return cut_out.select("name__", F.explode(F.transform(F.sequence(F.lit(1), F.length("name__") - n + 1), lambda i: F.substring("name__", i, n))).alias("piece__"))
+
+    short = parts.where(F.length("part__") <= longest).join(pieces(lengths).select(F.col("piece__").alias("part__")).distinct(), "part__", "left_semi")
+    long = parts.where(F.length("part__") > longest).withColumn("piece__", F.substring("part__", 1, longest))
+    held = pieces([longest]).where(F.length("name__") > longest)
+    long = long.join(held, (long.piece__ == held.piece__) & F.contains(F.col("name__"), F.col("part__")), "left_semi").select("part__")
     return df.join(short.unionByName(long).withColumnRenamed("part__", part), part, "left_anti")
 
 

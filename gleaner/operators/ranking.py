@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.graph import cut
+from gleaner.operators.graph import cut, written
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -23,10 +23,31 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return sorted_.join(F.broadcast(offsets), "part__").withColumn(name, inner + F.col("offset__")).drop("part__", "offset__")
 
 
+def group_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with its 1-based rank within its group, which may be of any size.
+
+    The rows are range partitioned by group and order and written once. A partition ranks its own rows; only its first group can have
+    begun in partitions before it, and how far comes in a table of at most a row for each partition. ``order`` should end
+    with a unique column.
+    """
+    ranged = written(df.repartitionByRange(*(F.col(f"`{g}`").asc() for g in group), *order).withColumn("part__", F.spark_partition_id()), "ranged")
+    keys = [F.col(f"`{g}`").alias(f"key{i}__") for i, g in enumerate(group)]
+    names = [f"key{i}__" for i in range(len(group))]
+    sizes = ranged.groupBy(F.col("part__").alias("at__"), *keys).agg(F.count(F.lit(1)).alias("size__"))
+    before = F.sum("size__").over(Window.partitionBy(*names).orderBy("at__").rowsBetween(Window.unboundedPreceding, -1))
+    begun = sizes.withColumn("before__", before).where("before__ > 0").select("at__", *names, "before__")
+    same = F.col("part__") == F.col("at__")
+    for g, k in zip(group, names, strict=True):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(k))
+    inner = F.row_number().over(Window.partitionBy("part__", *(F.col(f"`{g}`") for g in group)).orderBy(*order))
+    ranked = ranged.withColumn("inner__", inner).join(F.broadcast(begun), same, "left")  # a row for each partition at most
+    return ranked.withColumn(name, F.col("inner__") + F.coalesce("before__", F.lit(0))).drop("part__", "at__", "before__", "inner__", *names)
+
+
 def best_of_group(df: DataFrame, group: str, width: str, height: str, size: str, name: str) -> DataFrame:
     """``df`` with ``rank`` and ``kept``: in each group the largest area, then the most bytes, then the first name stays."""
     order = [F.desc(F.col(width).cast("long") * F.col(height)), F.desc(size), F.asc(name)]
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).withColumn("kept", F.col("rank") == 1)
+    return group_rank(df, [group], order).withColumn("kept", F.col("rank") == 1)
 
 
 def redundancy_totals(ranked: DataFrame, group: str, size: str) -> DataFrame:
@@ -60,7 +81,7 @@ def rank_in_cluster(df: DataFrame, cluster: str, vector: str, key: str) -> DataF
 
     means = centroids(df, cluster, vector)
     scored = df.join(means, cluster).withColumn("similarity", dot(doubles(vector), F.col("centroid"))).drop("centroid")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(F.round("similarity", 9)), key)))
+    return group_rank(scored, [cluster], [F.desc(F.round("similarity", 9)), F.asc(key)])
 
 
 def cluster_names(ranked: DataFrame, cluster: str, name: str, style: str) -> DataFrame:

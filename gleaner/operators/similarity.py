@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gleaner.functions.vectors import hamming, intersection, mean_difference, share_over
+from gleaner.functions.vectors import doubles, dot, hamming, intersection, mean_difference, norm, share_over
+from gleaner.operators.blocks import block_pairs, map_blocks
 
-#: Bands narrower than this many bits select too little.
-NARROWEST = 8
-#: Vectors on one side of a tile.
-TILE = 1024
+#: Up to so many bits apart, hashes are found by turning bits over; up to seven, by bands of at least eight bits.
+TURNED, NARROWEST = 2, 8
+#: Vectors, and hashes, in a block.
+TILE, HASHES = 1024, 8192
 
 
 def hamming_pairs(df: DataFrame, key: str, hash_col: str, threshold: int, group: str | None = None, bits: int = 64) -> DataFrame:
     """``a, b, distance`` for each pair of rows whose hashes differ in at most ``threshold`` bits, ``a < b``.
 
-    With ``group``, only pairs of different groups. Null hashes are in no pair.
+    With ``group``, only pairs of different groups. Null hashes are in no pair. Rows of one hash meet once, as members of
+    one distinct hash, and distinct hashes are paired by one of three exact ways:
 
-    Of ``threshold + 1`` disjoint bands of bits at least one is equal in such a pair, so an equi-join on (band, bits)
-    finds all pairs, and each is verified. Rows of one hash meet once, as members of one distinct hash. With so many
-    bands that they select too little, the distinct hashes are compared in a theta join instead.
+    * up to two bits apart, an equi-join of the hashes with one bit turned over (on one side, or on both), which no
+      common part of the hashes can skew;
+    * of ``threshold + 1`` disjoint bands of bits at least one is equal in such a pair, so an equi-join on (band, bits)
+      finds all pairs, and each is verified;
+    * with so many bands that they select too little, blocks of hashes are compared in pairs; numbers of set bits that
+      differ by more than ``threshold`` tell blocks apart.
     """
     if not 0 <= threshold <= bits:
         raise ValueError(f"threshold must lie between 0 and {bits}")
     rows = df.where(F.col(hash_col).isNotNull() & F.col(key).isNotNull())
     members = rows.select(F.col(key).alias("key"), F.col(hash_col).alias("h"), *([F.col(group).alias("g")] if group else []))
-    hashes = members.select("h").distinct()
-    width = bits // (threshold + 1)
-    close = hamming(F.col("x"), F.col("y")) <= threshold
-    if width >= NARROWEST:
-        band = lambda k: F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", k * width).bitwiseAND((1 << (width if k < threshold else bits - threshold * width)) - 1 if k < threshold or bits - threshold * width < 63 else -1).alias("part"))
-        banded = hashes.select("h", F.explode(F.array(*map(band, range(threshold + 1)))).alias("b")).select("h", "b.band", "b.part")
-        near = banded.withColumnRenamed("h", "x").join(banded.withColumnRenamed("h", "y"), ["band", "part"]).where((F.col("x") <= F.col("y")) & close).select("x", "y").distinct()
-    else:
-        near = hashes.select(F.col("h").alias("x")).join(hashes.select(F.col("h").alias("y")), (F.col("x") <= F.col("y")) & close)
+    near = _near_hashes(members.select("h").distinct(), threshold, bits)
     left = members.select(F.col("key").alias("k1"), F.col("h").alias("x"), *([F.col("g").alias("g1")] if group else []))
     right = members.select(F.col("key").alias("k2"), F.col("h").alias("y"), *([F.col("g").alias("g2")] if group else []))
     pairs = near.join(left, "x").join(right, "y").where((F.col("x") < F.col("y")) | (F.col("k1") < F.col("k2")))
@@ -49,34 +49,76 @@ def hamming_pairs(df: DataFrame, key: str, hash_col: str, threshold: int, group:
     return pairs.select(*kept, hamming(F.col("x"), F.col("y")).cast("int").alias("distance"))
 
 
+def _near_hashes(hashes: DataFrame, threshold: int, bits: int) -> DataFrame:
+    """``x, y`` with ``x <= y`` of the distinct hashes ``h`` at most ``threshold`` bits apart."""
+    same = hashes.select(F.col("h").alias("x"), F.col("h").alias("y"))
+    close = (F.col("x") <= F.col("y")) & (hamming(F.col("x"), F.col("y")) <= threshold)
+    if threshold == 0:
+        return same
+    if threshold <= TURNED:
+        signed = [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(bits)]
+        turned = lambda name: hashes.select(F.col("h").alias(name), F.explode(F.array(F.col("h"), *(F.col("h").bitwiseXOR(F.lit(b)) for b in signed))).alias("near"))
+        other = turned("y") if threshold == 2 else hashes.select(F.col("h").alias("y"), F.col("h").alias("near"))
+        return turned("x").join(other, "near").where(close).select("x", "y").distinct()
+    width = bits // (threshold + 1)
+    if width >= NARROWEST:
+        band = lambda k: F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", k * width).bitwiseAND((1 << (width if k < threshold else bits - threshold * width)) - 1 if k < threshold or bits - threshold * width < 63 else -1).alias("part"))
+        banded = hashes.select("h", F.explode(F.array(*map(band, range(threshold + 1)))).alias("b")).select("h", "b.band", "b.part")
+        return banded.withColumnRenamed("h", "x").join(banded.withColumnRenamed("h", "y"), ["band", "part"]).where(close).select("x", "y").distinct()
+
+    def compare(a: pa.StructArray, b: pa.StructArray | None) -> pa.RecordBatch:
+        x = a.field("h").to_numpy()
+        y = x if b is None else b.field("h").to_numpy()
+        found = []
+        for low in range(0, len(x), 256):  # 16 MB at once
+            i, j = np.nonzero(np.bitwise_count(x[low : low + 256, None].view(np.uint64) ^ y[None, :].view(np.uint64)) <= threshold)
+            found.append((x[low + i], y[j]))
+        p, q = (np.concatenate(z) for z in zip(*found, strict=True))
+        if b is None:
+            p, q = p[p < q], q[p < q]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["x", "y"])
+
+    pairs = block_pairs(hashes.select("h"), F.bit_count("h"), threshold, HASHES, "h")
+    return map_blocks(pairs, compare, "x long, y long").unionByName(same)
+
+
 def cosine_pairs(df: DataFrame, key: str, vector: str, above: float) -> DataFrame:
     """``a, b, similarity`` for each pair of rows, ``a < b``, whose vectors have a cosine over ``above``.
 
-    Vectors are dealt into chunks of about ``TILE``; each pair of chunks is one product of matrices in one task, which
-    returns the pairs over the threshold only. Null and zero vectors are in no pair.
+    Blocks of about ``TILE`` vectors are multiplied in pairs, each in one task, which returns the pairs over the threshold
+    only. Vectors are ordered by their angle to one of them, and two angles that differ by more than the threshold's own
+    tell blocks apart, which spares most products where the threshold is high. Null and zero vectors are in no pair.
     """
-    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    chunks = max(1, -(-rows.count() // TILE))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
-    tiles = dealt.select("key", "v", "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("other"))
-    tiles = tiles.select("key", "v", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-
-    def task(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        keys, chunk = np.array(table.column("key")), np.array(table.column("chunk"))
-        v = np.array(table.column("v").to_pylist(), float)
-        size = np.linalg.norm(v, axis=1)
-        v = v / np.where(size > 0, size, 1)[:, None]
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        similar = v[left] @ v[right].T
-        x, y = np.nonzero(similar > above)
-        a, b, s = keys[left[x]], keys[right[y]], similar[x, y]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        a, b, s = a[keep], b[keep], s[keep]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
-
-    kind = rows.schema["key"].dataType.simpleString()
-    return tiles.groupBy("i", "j").applyInArrow(task, f"a {kind}, b {kind}, similarity double")
+    v = doubles(vector)
+    rows = df.where(F.col(key).isNotNull() & (norm(v) > 0) & (norm(v) < float("inf"))).select(F.col(key).alias("key"), v.alias("v"))
+    pivot = rows.agg(F.min(F.struct("key", "v")).alias("p")).first()["p"]
+    kind = rows.schema["key"].dataType
+    schema = f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double"
+    if pivot is None:
+        return df.sparkSession.createDataFrame([], schema)
+    arrow = to_arrow_type(kind)
+    p = F.array(*map(F.lit, pivot["v"])).cast("array<double>")
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), p) / norm(F.col("v")) / norm(p))))
+
+    def unit(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        x = block.field("v")
+        x = x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()].reshape(len(block), -1)
+        return np.array(block.field("key")), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def compare(a: pa.StructArray, b: pa.StructArray | None) -> pa.RecordBatch:
+        k1, x = unit(a)
+        k2, y = (k1, x) if b is None else unit(b)
+        similar = x @ y.T
+        i, j = np.nonzero(similar > above)
+        p, q, s = k1[i], k2[j], similar[i, j]
+        if b is None:
+            keep = p < q
+            p, q, s = p[keep], q[keep], s[keep]
+        less = p < q
+        return pa.RecordBatch.from_arrays([pa.array(np.where(less, p, q), arrow), pa.array(np.where(less, q, p), arrow), pa.array(s)], names=["a", "b", "similarity"])
+
+    width = math.acos(max(-1.0, min(1.0, above))) + 1e-6
+    return map_blocks(block_pairs(rows, angle, width, TILE, "key"), compare, schema)
 
 
 def verified_pairs(pairs: DataFrame, features: DataFrame, key: str, histogram: str, gray: str, channels: int = 1, least_histogram: float = 0.80, most_difference: float = 10.0, pixel_difference: float = 15.0, most_pixels: float = 0.005) -> DataFrame:

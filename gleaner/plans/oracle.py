@@ -75,7 +75,7 @@ _PREDICTED = f"""{_centroids("embeddings", "label")}, scored AS (
     )"""
 
 _FOLDED = f"""
-    folded AS (SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 5)::INTEGER AS own FROM embeddings WHERE label IN (0, 1)),
+    folded AS (SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) - 1) % 5)::INTEGER AS own FROM embeddings WHERE label IN (0, 1)),
     train AS (SELECT f.label, f.embedding, k.fold FROM folded f, (SELECT unnest(range(0, 5))::INTEGER AS fold) k WHERE f.own <> k.fold),
     {_centroids("train", "fold, label")}, scored AS (
         SELECT f.own AS fold, f.label, list_sum(list_transform(range(1, 65), lambda i: f.embedding[i]::DOUBLE * p.c[i])) AS sp, list_sum(list_transform(range(1, 65), lambda i: f.embedding[i]::DOUBLE * n.c[i])) AS sn
@@ -154,7 +154,7 @@ ORACLE: dict[str, str] = {
     "centroid_metrics": f"WITH {_PREDICTED} {_metrics(_counts('(SELECT * FROM judged WHERE label IN (0, 1))', 'label = 0', 'predicted = 0'))}",
     "kfold_metrics": f"WITH {_FOLDED} SELECT * FROM per_fold",
     "kfold_summary": f"""
-        WITH {_FOLDED} SELECT sum(tn)::BIGINT AS tn, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tp)::BIGINT AS tp, round(avg(accuracy), 5) AS accuracy, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(f1), 5) AS f1 FROM per_fold""",
+        WITH {_FOLDED} SELECT sum(tn)::BIGINT AS tn, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tp)::BIGINT AS tp, round(avg(accuracy), 4) AS accuracy, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1 FROM per_fold""",
     "label_metrics": _metrics(_counts("labels", "quality = 1", "toxic = 0")),
     "cluster_rank": f"""
         WITH {_centroids("embeddings", "label")}, scored AS (
@@ -180,7 +180,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, rank FROM clean WHERE rank <= ceil(0.2 * n)""",
     "media_info": """
         WITH raw AS (SELECT l_orderkey, l_linenumber, (l_partkey % 1920)::INTEGER AS w, (l_suppkey % 1080)::INTEGER AS h, l_linenumber * 10.0::DOUBLE - 10 AS fps, l_quantity * 100000 - 100000 AS frames, l_extendedprice * 1000 AS size FROM lineitem),
-        timed AS (SELECT *, CASE WHEN frames > 0 AND fps > 0 THEN frames / fps END AS d FROM raw), whole AS (SELECT *, floor(d)::BIGINT AS s FROM timed)
+        timed AS (SELECT *, CASE WHEN frames > 0 AND fps > 0 AND w > 0 AND h > 0 THEN frames / fps END AS d FROM raw), whole AS (SELECT *, floor(d)::BIGINT AS s FROM timed)
         SELECT l_orderkey, l_linenumber, CASE WHEN w > 0 AND h > 0 THEN w || 'x' || h END AS resolution, CASE WHEN w > 0 AND h > 0 THEN w::BIGINT * h END AS pixels, round(d, 6) AS duration,
             CASE WHEN s >= 86400 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ', ' ELSE '' END || (s % 86400 // 3600) || ':' || printf('%02d', s % 3600 // 60) || ':' || printf('%02d', s % 60) AS clock,
             CASE WHEN d > 0 THEN round_even(size * 8.0 / 1000.0 / d, 0)::BIGINT END AS bitrate_kbps
@@ -238,6 +238,8 @@ ORACLE: dict[str, str] = {
     "pair_report": f"""
         WITH {_CROSS} SELECT a || ' <-> ' || b || ' (' || distance || ')' AS value FROM pairs
         UNION ALL SELECT array_to_string(list_sort([group_a::VARCHAR, group_b::VARCHAR]), ' <-> ') || ': ' || count(*) FROM pairs GROUP BY list_sort([group_a::VARCHAR, group_b::VARCHAR])""",
+    "prediction_report": f"""
+        WITH {_PREDICTED} SELECT '"v/' || printf('%06d', vec_id) || '.png",' || predicted || ',' || printf('%.4f', CASE WHEN predicted = 0 THEN p ELSE 1 - p END) || ',' || printf('%.4f', sim_positive) || ',' || printf('%.4f', sim_negative) AS value FROM judged""",
     "stream_first_seen": "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY user_id, event_type",
     "empty_run_stop": """
         WITH m AS (SELECT DISTINCT epoch(ts)::BIGINT // 60 AS b FROM events WHERE ts IS NOT NULL), g AS (SELECT b, lead(b) OVER (ORDER BY b) AS n FROM m)

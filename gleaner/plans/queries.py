@@ -189,8 +189,8 @@ def kfold_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def kfold_summary(spark: SparkSession, folder: str) -> DataFrame:
-    out = _rounded(classify.fold_summary(_folds(spark, folder)))
-    return out.withColumns({c: F.round(c, 5) for c in ("accuracy", "precision", "recall", "f1")})
+    out = classify.fold_summary(_folds(spark, folder))
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("tn", "fp", "fn", "tp")), *(F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
 
 
 @query

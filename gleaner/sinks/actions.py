@@ -7,10 +7,12 @@ import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import base_name, with_extension
+from gleaner.operators.graph import written
+from gleaner.operators.ranking import group_rank
 from gleaner.sources.files import convert_action
 
 POLICIES = ("suffix", "overwrite", "error")
@@ -32,23 +34,24 @@ def without_collisions(planned: DataFrame, existing: DataFrame | None = None, po
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     taken = (existing.select("dst") if existing is not None else planned.select("dst").limit(0)).distinct().withColumn("taken", F.lit(True))
-    by = Window.partitionBy("dst").orderBy("src")
     if policy == "overwrite":
-        return planned.withColumn("k", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("src")))).where("k = 1").drop("k")
-    seen = planned.withColumn("k", F.row_number().over(by)).join(taken, "dst", "left")
+        last = planned.groupBy("dst").agg(F.max(F.struct("src", "action")).alias("last"))
+        return last.select("last.src", "dst", "last.action")
+    seen = group_rank(planned, ["dst"], [F.asc("src"), F.asc("action")], "k").join(taken, "dst", "left")
     if policy == "error":
-        return seen.withColumn("action", F.when((F.col("k") > 1) | F.col("taken"), "error").otherwise(F.col("action"))).drop("k", "taken")
-    stem, ext = F.regexp_replace("dst", r"\.[^./]+$", ""), F.regexp_extract("dst", r"(\.[^./]+)$", 1)
+        return seen.withColumn("action", F.when((F.col("k") > 1) | F.col("taken"), "error").otherwise(F.col("action"))).select("src", "dst", "action")
+    seen = written(seen, "seen")
     keep = (F.col("k") == 1) & F.col("taken").isNull()
-    late = seen.where(~keep).withColumn("j", F.row_number().over(by))
+    late = seen.where(~keep).select("src", "dst", "action", F.when(F.col("taken"), F.col("k")).otherwise(F.col("k") - 1).cast("long").alias("at"))
     names = planned.select("dst").unionByName(taken.select("dst")).distinct()
-    # as many numbers as there are late files and taken numbers together are enough for each target
-    stems = late.groupBy("dst").agg(F.count(F.lit(1)).alias("need"), F.first(stem).alias("stem"), F.first(ext).alias("ext"))
-    numbered = names.withColumn("base", F.concat(F.regexp_replace("dst", r"_[0-9]+(\.[^./]+)?$", ""), F.regexp_extract("dst", r"_[0-9]+(\.[^./]+)?$", 1))).where(F.col("base") != F.col("dst"))
-    used = numbered.groupBy(F.col("base").alias("dst")).agg(F.collect_set(F.regexp_extract(F.col("dst"), r"_([0-9]+)(?:\.[^./]+)?$", 1)).alias("used"))
-    free = stems.join(used, "dst", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
-    free = free.select("dst", "stem", "ext", F.posexplode(F.slice(F.filter(F.sequence(F.lit(1).cast("long"), F.col("need") + F.size("used")), lambda n: ~F.array_contains(F.col("used"), n.cast("string"))), F.lit(1), F.col("need").cast("int"))).alias("p", "number"))
-    moved = late.join(free.withColumn("j", F.col("p") + 1), ["dst", "j"]).select("src", F.concat("stem", F.lit("_"), F.col("number").cast("string"), "ext").alias("dst"), "action")
+    number = F.regexp_extract("dst", r"_([1-9][0-9]{0,17})(?:\.[^./]+)?$", 1)
+    used = names.where(number != "").select(F.concat(F.regexp_replace("dst", r"_[0-9]+(\.[^./]+)?$", ""), F.regexp_extract("dst", r"_[0-9]+(\.[^./]+)?$", 1)).alias("dst"), number.cast("long").alias("used"))
+    used = used.join(late.select("dst").distinct(), "dst", "left_semi")
+    # before the i-th used number u there are u - i free ones; the j-th late file comes after all used ones with fewer than j
+    gaps = group_rank(used, ["dst"], [F.asc("used")], "i").select(F.lit(None).cast("string").alias("src"), "dst", F.lit(None).cast("string").alias("action"), (F.col("used") - F.col("i")).alias("at"), F.lit(1).alias("kind"))
+    lined = group_rank(late.withColumn("kind", F.lit(0)).unionByName(gaps), ["dst"], [F.asc("at"), F.asc("kind"), F.asc("src")], "number")
+    stem, ext = F.regexp_replace("dst", r"\.[^./]+$", ""), F.regexp_extract("dst", r"(\.[^./]+)$", 1)
+    moved = lined.where("kind = 0").select("src", F.concat(stem, F.lit("_"), F.col("number").cast("string"), ext).alias("dst"), "action")
     return seen.where(keep).select("src", "dst", "action").unionByName(moved)
 
 

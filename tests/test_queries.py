@@ -14,7 +14,7 @@ def test_matches_sql(spark, name):
 
 def test_every_query_is_known():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"aesthetic_mlp", "cluster_complete", "prediction_report"}
+    assert set(QUERIES) - set(ORACLE) == {"aesthetic_mlp", "cluster_complete"}
 
 
 def test_clusters_are_complete(spark):
