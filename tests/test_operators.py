@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import images, media, text, vectors
+from gleaner.functions.ranges import range_of
 from gleaner.operators import classify, membership, quality, ranking, similarity
 from gleaner.operators.cluster import cluster_complete_linkage, cosine_components
 from gleaner.operators.graph import connected_components
@@ -40,7 +41,7 @@ def test_components(spark, edges):
         assert {r.node: r.component for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("threshold", [0, 2, 4, 14])
+@pytest.mark.parametrize("threshold", [0, 1, 2, 4, 14])
 def test_banded_pairs_are_all_pairs(spark, threshold):
     r = random.Random(threshold)
     base = [r.getrandbits(64) for _ in range(30)]
@@ -270,3 +271,45 @@ def test_vectors(spark):
     assert one(spark, vectors.share_over(F.col("a"), F.col("b"), 15), a=[14.0, 15.0], b=[0.0, 0.0]) == 0.5
     assert one(spark, vectors.grid_hash(F.col("v"), 2), v=[1, 2, 1, 3, 3, 4]) == [0b1001]
     assert [one(spark, vectors.saturation(*(F.lit(x) for x in c)), z=0) for c in ((0, 0, 0), (9, 9, 9), (200, 100, 100))] == [0, 0, 127]
+
+
+def test_ranges_of_bounds(spark):
+    for n in (0, 1, 2, 3, 10, 50):
+        bounds = sorted(random.Random(n).sample(range(-100, 100), n))
+        got = spark.range(-110, 111).select("id", range_of(F.col("id"), bounds).alias("k")).collect()
+        assert all(r.k == sum(b <= r.id for b in bounds) for r in got)
+
+
+def test_ranks_in_groups_of_any_size(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 1, 1, 1, 2, 3]), r.randrange(20), k) for k in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.group_rank(spark.createDataFrame(rows, "g int, v int, k int"), ["g"], [F.desc("v"), F.asc("k")]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for g in {x[0] for x in rows}:
+        for n, (_, _, k) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2])), 1):
+            want[k] = n
+    assert {x.k: x["rank"] for x in got} == want and got[0].asDict().keys() == {"g", "v", "k", "rank"}
+
+
+def test_blocks_hold_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 16)
+    monkeypatch.setattr(similarity, "HASHES", 16)
+    r = random.Random(2)
+    vectors_ = [[r.gauss(0, 1) for _ in range(4)] for _ in range(150)]
+    rows = [(k, v) for k, v in enumerate([*vectors_, *[vectors_[0]] * 40])] + [(900, [0.0] * 4), (901, None)]
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    for above in (0.3, 0.9):
+        want = {(i, j) for i, x in rows[:190] for j, y in rows[:190] if i < j and sum(a * b for a, b in zip(unit(x), unit(y), strict=True)) > above}
+        got = [(p.a, p.b) for p in similarity.cosine_pairs(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", above).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    hashes = [r.getrandbits(63) for _ in range(200)]
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if (hashes[i] ^ hashes[j]).bit_count() <= 20}
+    got = similarity.hamming_pairs(spark.createDataFrame(list(enumerate(hashes)), "k long, h long"), "k", "h", 20)
+    assert {(p.a, p.b) for p in got.collect()} == want
