@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators.blocks import dealt_evenly
 from gleaner.operators.graph import cut, written
 
 __all__ = ["bounded_sample", "cut", "dealt_evenly", "load", "lower_ascii", "text_or_empty", "with_row_key", "written"]
@@ -38,11 +39,6 @@ def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
     return picked.select(*(F.col("row")[c].alias(c) for c in rows.columns))
 
 
-def dealt_evenly(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt out in turn, for rows that are a piece of work each."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def with_row_key(rows: DataFrame) -> DataFrame:
     """``rows`` with ``row_key``, which tells every row from all others and is the same each time they are read.
 

@@ -280,6 +280,28 @@ def test_leaks_among_other_terms(spark):
     assert {(i, i) for i, _ in items} <= {(x.id, x.item_id) for x in found} and all(-1 <= x.similarity <= 1.001 for x in found)
 
 
+@pytest.mark.parametrize("block,blocks", [(5000, 8), (25, 2)])
+def test_leaks_of_paraphrases(spark, monkeypatch, block, blocks):
+    """Items of which up to 30 % of the words before the answer are replaced, at a rank below their number, in one pass and in several."""
+    monkeypatch.setattr(decontamination, "BLOCK", block)
+    monkeypatch.setattr(decontamination, "BLOCKS", blocks)
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(4000)]
+    items = [(f"item {i}", " ".join(r.choice(vocab) for _ in range(r.choice([12, 20, 30, 60])))) for i in range(120)]
+    held, plain = [], []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        body = len(w) - len(w) // 3
+        for at in r.sample(range(body), int(body * r.choice([0, 0.1, 0.2, 0.3]))):
+            w[at] = r.choice(vocab)
+        held.append((f"d{k}", " ".join([*(r.choice(vocab) for _ in range(k)), *w, *(r.choice(vocab) for _ in range(30))])))
+    plain = [(f"p{k}", " ".join(r.choice(vocab) for _ in range(150))) for k in range(200)]
+    docs = spark.createDataFrame([*held, *plain], "doc_id string, text string")
+    got = {(x.id, x.item_id) for x in decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id string, text string"), rank=64).collect()}
+    want = {(d, i) for (d, _), (i, _) in zip(held, items, strict=True)}
+    assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
+
+
 def test_leaks_odd(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontamination.find_leaks(frame(spark, ODD), items).count() == 0
@@ -317,7 +339,30 @@ def test_sketches_of_any_difference(spark):
         rows.append((sorted(pool[: shared + a]), sorted(pool[:shared] + pool[shared + a :]), a + b))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, d int")
     df = df.withColumn("x", fingerprints.sketch("a")).withColumn("y", fingerprints.sketch("b"))
-    assert [r.got for r in df.select(fingerprints.difference("a", "b", "x", "y").alias("got")).collect()] == [d for _, _, d in rows]
+    got = df.select(fingerprints.difference("a", "b", "x", "y").alias("got")).collect()
+    assert [len(r.got.a) + len(r.got.b) for r in got] == [d for _, _, d in rows] and all(r.got.peeled for r in got)
+    for r, (x, y, _) in zip(got, rows, strict=True):
+        assert set(r.got.a) == set(x) - set(y) and set(r.got.b) == set(y) - set(x)
+
+
+def test_next_over_many_ranges(spark):
+    rows = [(i * i % 97, f"text {i}") for i in range(60)] + [(None, "a"), (None, "b"), (-5, None)]
+    want = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    follows = {(r.id, r.text): r.next_text for r in got}
+    at, seen = want[0][0], [next(r.text for r in got if r.id == want[0][0] and r.text not in {x.next_text for x in got if x.id == want[0][0]})]
+    for _ in range(len(rows) - 1):
+        nexts = follows[at, seen[-1]]
+        at = next(i for i, t in rows if (t or "") == nexts)
+        seen.append(nexts)
+    ids = {(t or ""): i for i, t in rows}
+    assert [ids[t] for t in seen] == [i for i, _ in want] and follows[at, seen[-1]] == seen[0]
 
 
 # personal data
