@@ -24,6 +24,17 @@ def to_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return rgb
 
 
+def oriented(rgb: np.ndarray, orientation: int) -> np.ndarray:
+    """The image as EXIF's orientation (1 to 8) says that it is to be seen."""
+    if orientation in (5, 6, 7, 8):
+        rgb = rgb.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        rgb = rgb[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        rgb = rgb[::-1]
+    return rgb
+
+
 def gray(rgb: np.ndarray) -> np.ndarray:
     return np.floor(rgb.astype(float) @ LUMINANCE + 0.5)
 

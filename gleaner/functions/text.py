@@ -80,6 +80,19 @@ def media_name(url: Column, user: Column) -> Column:
     return F.concat(F.lit("@"), safe_name(user), F.lit("_"), F.md5(url.cast("binary")), F.lit("."), parameter(url, "format", "jpg"))
 
 
+def percent_encoded(c: Column) -> Column:
+    """All but letters, digits and ``_.-~`` as percent signs and hex, by bytes of UTF-8."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def folded(c: Column) -> Column:
+    """For comparison without case: as lower case does, and letters that only differ in it otherwise (such as a sharp s) alike."""
+    return F.lower(F.upper(c))
+
+
 def handle(text: Column) -> Column:
     """A user's handle: trimmed, without leading ``@``; null if nothing of more than one character was there."""
     t = strip(text)

@@ -125,6 +125,11 @@ def asymmetry(left: Column, right: Column, centre: Column, width: Column) -> Col
     return F.when(width > 0, total(pairs) / F.size(pairs) / width)
 
 
+def worst_asymmetry(faces: Column) -> Column:
+    """The largest asymmetry of several faces (left, right, centre, width); null without a face that has a width."""
+    return F.array_max(F.transform(faces, lambda f: asymmetry(f["left"], f["right"], f["centre"], f["width"])))
+
+
 def least_distance(xs: Column, ys: Column) -> Column:
     """Smallest distance between two of the points."""
     index = F.sequence(F.lit(0), F.size(xs) - 1)

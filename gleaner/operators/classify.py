@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import dot, doubles, norm
@@ -41,6 +42,19 @@ def predict(df: DataFrame, model: DataFrame, label: str, vector: str, positive,
     return scored.withColumn("predicted", F.when(nearer, F.lit(positive)).otherwise(F.lit(negative))).withColumn("confidence", F.when(nearer, p).otherwise(1 - p))
 
 
+def save_model(model: DataFrame, folder: str) -> None:
+    """Writes centroids, to be read by ``load_model``; an earlier model in the folder is replaced."""
+    model.write.mode("overwrite").parquet(folder)
+
+
+def load_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Centroids that ``save_model`` wrote; FileNotFoundError if there are none."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no model in {folder}") from e
+
+
 def binary_metrics(df: DataFrame, truth: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
     """tn, fp, fn, tp and accuracy, precision, recall, F1 (0 where a denominator is) by ``by``."""
     n = {"tn": ~truth & ~predicted, "fp": ~truth & predicted, "fn": truth & ~predicted, "tp": truth & predicted}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import folded
 from gleaner.operators.graph import cut, written
 
 
@@ -60,7 +61,7 @@ def redundancy_totals(ranked: DataFrame, group: str, size: str) -> DataFrame:
 def mode_of_group(df: DataFrame, group: str, width: str, height: str, path: str) -> DataFrame:
     """The most frequent (width, height) of each group, of ties the larger area, width, height; with its first path."""
     known = df.where(F.col(width).isNotNull() & F.col(height).isNotNull())
-    counts = known.groupBy(group, width, height).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.lower(F.col(path).cast("string")).alias("key"), F.col(path).alias("path"))).alias("first"))
+    counts = known.groupBy(group, width, height).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(folded(F.col(path).cast("string")).alias("key"), F.col(path).alias("path"))).alias("first"))
     order = Window.partitionBy(group).orderBy(F.desc("n"), F.desc(F.col(width).cast("long") * F.col(height)), F.desc(width), F.desc(height))
     return counts.withColumn("k", F.row_number().over(order)).where("k = 1").select(group, width, height, "n", F.col("first.path").alias("path"))
 

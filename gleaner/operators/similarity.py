@@ -98,7 +98,7 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, above: float) -> DataFram
         return df.sparkSession.createDataFrame([], schema)
     arrow = to_arrow_type(kind)
     p = F.array(*map(F.lit, pivot["v"])).cast("array<double>")
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), p) / norm(F.col("v")) / norm(p))))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(F.col("v"), p), norm(F.col("v")) * norm(p)))))
 
     def unit(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         x = block.field("v")

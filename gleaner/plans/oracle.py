@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from gleaner.plans.queries import made_up_layers
+
 _HASHES = """
     hashes AS (
         SELECT vec_id, label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 2] > embedding[i + 1] THEN (1::BIGINT << (62 - i)) ELSE 0 END))::BIGINT AS hash
@@ -93,10 +97,29 @@ _FLAGGED = """
         SELECT doc_id, len(issues)::INTEGER AS n_issues, array_to_string(issues, '; ') AS issue_text, round(blur, 1)::DOUBLE AS blur_rounded, round(aesthetic, 3)::DOUBLE AS aesthetic_rounded FROM flagged
     )"""
 
+#: What is drawn of each vector: its file's name and folder, and its samples over white, unless the file is broken.
+_DRAWN = """
+    drawn AS (
+        SELECT vec_id, label, ['.PNG', '.png', '.jpg', '.txt', '.webp'][vec_id % 5 + 1] AS ext, printf('v%06d', vec_id) || ['.PNG', '.png', '.jpg', '.txt', '.webp'][vec_id % 5 + 1] AS filename,
+            printf('%02d', label) AS sub, vec_id % 7 = 0 AS broken, (vec_id * 7 % 256) / 255.0::DOUBLE AS a,
+            list_transform(range(0, 72), lambda i: greatest(0, least(255, floor((embedding[i % 64 + 1]::DOUBLE + 0.5) * 255)))) AS v
+        FROM embeddings
+    ), seen AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN list_transform(v, lambda x: round_even(x * a + 255 * (1 - a), 0)) ELSE v END AS s FROM drawn)"""
+
 _URL = r"regexp_extract(url, '\?([^#]*)', 1)"
 _PAIRS = f"list_filter(string_split({_URL}, '&'), lambda p: regexp_extract(p, '=(.+)$', 1) <> '')"
 
+
+def _linear_stack() -> str:
+    """The layers of ``aesthetic_mlp``, which are linear, as one row of weights and one bias."""
+    weights, bias = np.eye(64), np.zeros(64)
+    for w, b in made_up_layers():
+        weights, bias = w @ weights, w @ bias + b
+    return f"SELECT vec_id, round({float(bias[0])!r} + list_dot_product(embedding::DOUBLE[], {[float(x) for x in weights[0]]!r}::DOUBLE[]), 6) AS score FROM embeddings"
+
+
 ORACLE: dict[str, str] = {
+    "aesthetic_mlp": _linear_stack(),
     "dedup_best_of_group": f"WITH {_RANKED} SELECT doc_id, hash, rank FROM ranked WHERE rank > 1",
     "dedup_totals": f"""
         WITH {_RANKED}, sizes AS (SELECT hash, count(*) AS n, sum(bytes) FILTER (WHERE rank > 1) AS b FROM ranked GROUP BY hash HAVING count(*) > 1)
@@ -196,7 +219,7 @@ ORACLE: dict[str, str] = {
     "link_extract_first_seen": """
         WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links FROM pages), r AS (SELECT page_id, unnest(links) AS link, generate_subscripts(links, 1) - 1 AS position FROM l)
         SELECT link, min(page_id) AS page_id, arg_min(position, (page_id, position))::INTEGER AS position FROM r GROUP BY link""",
-    "existing_anti_join": "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "existing_anti_join": "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')",
     "substring_anti_join": "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE contains(p.url, s.s_suppkey::VARCHAR))",
     "convert_dispatch": r"""
         WITH f AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || ['.PNG', '.jpeg', '.jpg', '.html'][page_id % 4 + 1] AS path FROM pages)
@@ -236,10 +259,42 @@ ORACLE: dict[str, str] = {
         )
         SELECT domain || chr(9) || CASE WHEN starts_with(domain, '.') THEN 'TRUE' ELSE 'FALSE' END || chr(9) || '/' || chr(9) || CASE WHEN secure THEN 'TRUE' ELSE 'FALSE' END || chr(9) || expires || chr(9) || name || chr(9) || v AS value FROM c""",
     "pair_report": f"""
-        WITH {_CROSS} SELECT a || ' <-> ' || b || ' (' || distance || ')' AS value FROM pairs
+        WITH {_CROSS} SELECT row_number() OVER (ORDER BY distance, a, b) || '. ' || a || ' <-> ' || b || ' (' || distance || ')' AS value FROM pairs
+        UNION ALL SELECT label::VARCHAR FROM (SELECT group_a AS label FROM pairs UNION SELECT group_b FROM pairs)
         UNION ALL SELECT array_to_string(list_sort([group_a::VARCHAR, group_b::VARCHAR]), ' <-> ') || ': ' || count(*) FROM pairs GROUP BY list_sort([group_a::VARCHAR, group_b::VARCHAR])""",
     "prediction_report": f"""
         WITH {_PREDICTED} SELECT '"v/' || printf('%06d', vec_id) || '.png",' || predicted || ',' || printf('%.4f', CASE WHEN predicted = 0 THEN p ELSE 1 - p END) || ',' || printf('%.4f', sim_positive) || ',' || printf('%.4f', sim_negative) AS value FROM judged""",
+    "scan_images_recursive": f"WITH {_DRAWN} SELECT filename, lower(ext) AS ext, vec_id FROM drawn WHERE ext <> '.txt'",
+    "scan_images_flat": f"""
+        WITH {_DRAWN}, flat AS (SELECT filename FROM drawn WHERE ext <> '.txt' AND label = 0)
+        SELECT filename, 'folder' AS given FROM flat UNION ALL SELECT min(filename), 'file' FROM flat""",
+    "scan_by_folder": f"WITH {_DRAWN} SELECT filename, sub AS top_folder, sub AS own_folder FROM drawn WHERE ext <> '.txt' AND label > 1",
+    "image_header_sizes": f"WITH {_DRAWN} SELECT vec_id, CASE WHEN NOT broken THEN 9 END::INTEGER AS width, CASE WHEN NOT broken THEN 8 END::INTEGER AS height, CASE WHEN NOT broken THEN 1 END::INTEGER AS orientation FROM drawn",
+    "image_features": f"""
+        WITH {_DRAWN} SELECT vec_id, 9::INTEGER AS width, 8::INTEGER AS height,
+            list_sum(list_transform(range(0, 64), lambda i: CASE WHEN s[i // 8 * 9 + i % 8 + 2] > s[i // 8 * 9 + i % 8 + 1] THEN CASE WHEN i = 0 THEN -9223372036854775808 ELSE 1::BIGINT << (63 - i) END ELSE 0 END))::BIGINT AS hash,
+            len(list_distinct(s))::INTEGER AS n_shades, round(list_avg(s), 6) AS mean, 0.0::DOUBLE AS saturation FROM seen WHERE NOT broken""",
+    "undecodable_files": f"WITH {_DRAWN} SELECT vec_id FROM drawn WHERE broken",
+    "moved_images": f"""
+        WITH {_DRAWN}, named AS (SELECT row_number() OVER (PARTITION BY vec_id % 40, lower(ext) ORDER BY vec_id) AS k FROM drawn WHERE ext <> '.txt')
+        SELECT CASE WHEN k = 1 THEN 'move' ELSE 'error' END AS action, (count(*) FILTER (k = 1))::BIGINT AS processed, (count(*) FILTER (k > 1))::BIGINT AS skipped, 0::BIGINT AS failed FROM named GROUP BY k = 1""",
+    "csv_report": r"""
+        SELECT chr(65279) || 's_suppkey,name,nation' AS value
+        UNION ALL SELECT s_suppkey || ',"a, \"' || s_name || '",' || CASE WHEN s_nationkey > 3 THEN s_nationkey::VARCHAR ELSE '' END FROM supplier""",
+    "saved_model": f"""
+        WITH {_PREDICTED.replace('p.label = 0', 'p.label = 2').replace('n.label = 1', 'n.label = 3').replace('THEN 0 ELSE 1 END', 'THEN 2 ELSE 3 END')}
+        SELECT vec_id, predicted::INTEGER AS predicted, round(CASE WHEN predicted = 2 THEN p ELSE 1 - p END, 6) AS confidence FROM judged""",
+    "encoded_names": r"""
+        SELECT page_id, url_encode(regexp_extract(url, '([^/]*)$', 1) || ' é*~') AS name, CASE WHEN length(regexp_extract(url, '://([^/]+)', 1)) > 0 THEN regexp_extract(url, '://([^/]+)', 1) END AS handle,
+            strftime(DATE '2024-01-31' + page_id::INTEGER, '%Y%m%d') AS stamp FROM pages""",
+    "worst_face": """
+        WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        f AS (SELECT vec_id, unnest(list_transform([2, 12], lambda k: CASE WHEN v[k + 7] > 0 THEN list_sum(list_transform(range(0, 3), lambda i: abs(abs(v[k + 6] - v[k + i - 1]) - abs(v[k + i + 2] - v[k + 6])))) / 3 / v[k + 7] END)) AS a FROM d)
+        SELECT vec_id, round(max(a), 6) AS asymmetry FROM f GROUP BY vec_id""",
+    "page_posts": """
+        SELECT page_id, 'https://i.example/' || page_id AS image, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END::INTEGER AS n_videos,
+            CASE WHEN page_id % 4 > 0 THEN '/u/status/' || page_id ELSE 'https://v.example/' || page_id END AS video_key, 'user' || page_id % 9 AS username
+        FROM pages WHERE page_id % 3 = 0 AND (page_id % 4 > 0 OR page_id % 2 = 1)""",
     "stream_first_seen": "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY user_id, event_type",
     "empty_run_stop": """
         WITH m AS (SELECT DISTINCT epoch(ts)::BIGINT // 60 AS b FROM events WHERE ts IS NOT NULL), g AS (SELECT b, lead(b) OVER (ORDER BY b) AS n FROM m)

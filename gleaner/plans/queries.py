@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import media, text, vectors
-from gleaner.functions.images import apply_layers
+from gleaner.functions.images import apply_layers, with_features
 from gleaner.operators import classify, membership, phrases, quality, ranking, similarity
 from gleaner.operators.cluster import cluster_complete_linkage, cosine_components, equal_links, first_of_equal
-from gleaner.operators.graph import connected_components, cut
+from gleaner.operators.graph import connected_components, cut, shared_folder
 from gleaner.sinks import actions, reports
+from gleaner.sinks.images import encoded, local_path, write_files
 from gleaner.sources import pages as html
-from gleaner.sources.files import convert_action
+from gleaner.sources.files import convert_action, decodable, header_sizes, outside, scan_files, scan_images, with_folder, with_parent
 from gleaner.streaming.first_seen import first_seen_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,8 +297,9 @@ def link_extract_first_seen(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def existing_anti_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers without an order."""
-    return membership.not_existing(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey", table(spark, folder, "orders"), "o_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
+    return membership.not_existing(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey", urgent, "o_custkey")
 
 
 @query
@@ -370,12 +372,16 @@ def crop_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("l_orderkey", crop.alias("c")).select("l_orderkey", *(F.col("c")[k].alias(k) for k in ("left", "top", "right", "bottom")))
 
 
+def made_up_layers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights and biases in place of pretrained ones, the same on every run."""
+    r, sizes = np.random.default_rng(0), [64, 1024, 128, 64, 16, 1]
+    return [(r.standard_normal((b, a)) / np.sqrt(a), r.standard_normal(b) / 10) for a, b in zip(sizes, sizes[1:], strict=False)]
+
+
 @query
 def aesthetic_mlp(spark: SparkSession, folder: str) -> DataFrame:
     """A linear stack with made-up weights over each vector."""
-    r, sizes = np.random.default_rng(0), [64, 1024, 128, 64, 16, 1]
-    layers = [(r.standard_normal((b, a)) / np.sqrt(a), r.standard_normal(b) / 10) for a, b in zip(sizes, sizes[1:], strict=False)]
-    return apply_layers(table(spark, folder, "embeddings"), "vec_id", "embedding", layers).select("vec_id", F.round("score", 6).alias("score"))
+    return apply_layers(table(spark, folder, "embeddings"), "vec_id", "embedding", made_up_layers()).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -388,9 +394,10 @@ def session_cookies(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pair_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of pairs and of the counts of pairs of groups."""
-    pairs = similarity.hamming_pairs(_hashes(spark, folder), "vec_id", "hash", 18, group="label")
-    return reports.pair_lines(pairs, "a", "b", "distance").unionByName(reports.count_lines(similarity.group_pair_counts(pairs), "groups", "n"))
+    """Numbered lines of pairs, of the counts of pairs of groups, and of the groups."""
+    pairs = cut(similarity.hamming_pairs(_hashes(spark, folder), "vec_id", "hash", 18, group="label"))
+    groups = similarity.groups_in_pairs(pairs).select(F.col("group").cast("string").alias("value"))
+    return reports.numbered_pair_lines(pairs, "a", "b", "distance").unionByName(reports.count_lines(similarity.group_pair_counts(pairs), "groups", "n")).unionByName(groups)
 
 
 @query
@@ -400,11 +407,140 @@ def prediction_report(spark: SparkSession, folder: str) -> DataFrame:
     return reports.prediction_lines(out.withColumn("path", F.format_string("v/%06d.png", "vec_id")), "path", "predicted", "confidence", "sim_positive", "sim_negative")
 
 
+def _drawn(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """A new folder, and what is to be written there: each vector as a gray image of 9 by 8, some of them under other names,
+    transparent or broken. Vectors of label 0 lie in the folder itself, others in one for each label."""
+    root = local_path(shared_folder(spark, "images"))
+    v = F.transform(vectors.doubles("embedding"), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255))).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, (".PNG", ".png", ".jpg", ".txt", ".webp"))), (F.col("vec_id") % 5 + 1).cast("int"))
+    own = F.when(F.col("label") == 0, F.lit("")).otherwise(F.format_string("%02d/", "label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", F.concat(F.lit(root + "/"), own, F.format_string("v%06d", "vec_id"), ext).alias("path"), v.alias("v"))
+    alpha = F.col("vec_id") % 3 == 0
+    cell = lambda i: F.get(F.col("v"), i % 64)
+    sample = lambda i: F.when(alpha & (i % 4 == 3), (F.col("vec_id") * 7 % 256).cast("int")).otherwise(cell(F.floor(i / F.when(alpha, 4).otherwise(3)).cast("int")))
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.when(alpha, 287).otherwise(215)), lambda i: F.lpad(F.hex(sample(i)), 2, "0")), ""))
+    rasters = rows.select("path", F.lit(9).alias("width"), F.lit(8).alias("height"), F.when(alpha, 4).otherwise(3).alias("channels"), data.alias("data"))
+    broken = F.regexp_extract("path", r"v([0-9]+)[.][A-Za-z]+$", 1).cast("long") % 7 == 0
+    return root, encoded(rasters).withColumn("content", F.when(broken, F.lit("no image").cast("binary")).otherwise(F.col("content")))
+
+
+def _written_images(spark: SparkSession, folder: str) -> str:
+    root, files = _drawn(spark, folder)
+    failed = write_files(files).where("error is not null").first()
+    if failed is not None:
+        raise OSError(failed["error"])
+    return root
+
+
+def _number(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"v([0-9]+)[.][A-Za-z]+$", 1).cast("long")
+
+
+@query
+def scan_images_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of images below a folder."""
+    found = scan_files(spark, _written_images(spark, folder), ordered=True)
+    return found.select("filename", "ext", _number().alias("vec_id"))
+
+
+@query
+def scan_images_flat(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of images in a folder itself, and in one given by its own name."""
+    root = _written_images(spark, folder)
+    flat = scan_files(spark, root, recursive=False, ordered=True)
+    single = scan_files(spark, flat.select("path").first()["path"], recursive=False)
+    return flat.select("filename", F.lit("folder").alias("given")).unionByName(single.select("filename", F.lit("file").alias("given")))
+
+
+@query
+def scan_by_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of the folders right below, outside of one of them, with the folder that holds each."""
+    root = _written_images(spark, folder)
+    files = with_folder(outside(scan_files(spark, root), f"{root}/01"), root).withColumnRenamed("parent_dir", "top_folder")
+    return with_parent(files).select("filename", "top_folder", text.base_name(F.col("parent_dir")).alias("own_folder"))
+
+
+@query
+def image_header_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Width and height of all files, whatever their names, from their headers."""
+    files = scan_files(spark, _written_images(spark, folder), suffixes=None, content=True)
+    return header_sizes(files).select(_number().alias("vec_id"), "width", "height", "orientation")
+
+
+@query
+def image_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Hash, shades and mean of all files that can be decoded, whatever their names; transparent ones lie over white."""
+    images = decodable(scan_images(spark, _written_images(spark, folder)))
+    out = with_features(images, ["dhash64", "histogram", "saturation"])
+    red = F.slice("histogram", 1, 256)
+    mean = vectors.total(F.transform(red, lambda h, i: h * i))
+    return out.select(_number().alias("vec_id"), "width", "height", F.col("dhash64").alias("hash"), F.size(F.filter(red, lambda h: h > 0)).alias("n_shades"), F.round(mean, 6).alias("mean"), "saturation")
+
+
+@query
+def undecodable_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that no decoder reads."""
+    images = scan_images(spark, _written_images(spark, folder))
+    return images.where("data is null").select(_number().alias("vec_id"))
+
+
+@query
+def moved_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Images are moved into one folder, whose names may be taken; how many were, and how many were left."""
+    root = _written_images(spark, folder)
+    files = scan_files(spark, root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    short = F.concat(F.lit("d"), (_number() % 40).cast("string"), text.extension(F.col("path")))
+    plan = actions.without_collisions(actions.plan(files, f"{root}-moved", "move", short), policy="error")
+    return actions.outcome_counts(cut(actions.carry_out(plan)))
+
+
+@query
+def csv_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a CSV file with a byte order mark."""
+    return reports.csv_lines(table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit("a, \""), "s_name").alias("name"), F.when(F.col("s_nationkey") > 3, F.col("s_nationkey")).alias("nation")))
+
+
+@query
+def saved_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions by a model that was saved and read again."""
+    rows, at = table(spark, folder, "embeddings"), shared_folder(spark, "model")
+    classify.save_model(classify.centroids(rows, "label", "embedding"), at)
+    return classify.predict(rows, classify.load_model(spark, at), "label", "embedding", 2, 3).select("vec_id", F.col("predicted").cast("int").alias("predicted"), F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def encoded_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The last segments of pages' urls, percent-encoded whole; handles of users; date stamps."""
+    pages = table(spark, folder, "pages")
+    user = F.concat(F.lit("  @"), F.regexp_extract("url", r"://([^/]+)", 1), F.lit(" "))
+    day = F.date_add(F.lit("2024-01-31").cast("date"), F.col("page_id").cast("int"))
+    return pages.select("page_id", text.percent_encoded(F.concat(text.base_name(F.col("url")), F.lit(" é*~"))).alias("name"), text.handle(user).alias("handle"), reports.date_stamp(day).alias("stamp"))
+
+
+@query
+def worst_face(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest asymmetry of two faces made of a vector's values, one of which may have no width."""
+    v = vectors.doubles("embedding")
+    width = lambda k: F.when(F.get(v, F.lit(k)) > 0, F.get(v, F.lit(k))).otherwise(F.lit(0.0))
+    face = lambda k: F.struct(F.slice(v, k, 3).alias("left"), F.slice(v, k + 3, 3).alias("right"), F.get(v, F.lit(k + 6)).alias("centre"), width(k + 7).alias("width"))
+    return table(spark, folder, "embeddings").select("vec_id", F.round(vectors.worst_asymmetry(F.array(face(1), face(11))), 6).alias("asymmetry"))
+
+
+@query
+def page_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts with a video, from pages made of pages' numbers."""
+    k = F.col("page_id")
+    url = lambda s: F.concat(F.lit(s), k.cast("string"))
+    video = F.when(k % 3 == 0, F.concat(F.lit('<video src="'), F.when(k % 2 == 0, url("blob:x")).otherwise(url("https://v.example/")), F.lit('"></video>'))).otherwise(F.lit(""))
+    link = F.when(k % 4 > 0, F.concat(F.lit('<a href="/u/status/'), k.cast("string"), F.lit('">x</a>'))).otherwise(F.lit(""))
+    body = F.concat(F.lit('<article class="p"><span> @user'), (k % 9).cast("string"), F.lit('</span><img src="'), url("https://i.example/"), F.lit('">'), link, video, F.lit("</article>"))
+    found = html.video_posts(html.posts(table(spark, folder, "pages").select("page_id", body.alias("html")), "page_id", "html"))
+    return found.select("page_id", F.get("image_urls", F.lit(0)).alias("image"), F.size("video_urls").alias("n_videos"), "video_key", "username")
+
+
 @query
 def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     """The first event of each user and type, by a stream that lands the table."""
-    from gleaner.operators.graph import shared_folder
-
     schema = table(spark, folder, "events").schema
     work = shared_folder(spark, "stream")
     source = f"{folder}/events.parque[t]"  # a pattern, as the table may be one file or a folder

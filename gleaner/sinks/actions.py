@@ -83,6 +83,12 @@ def carry_out(planned: DataFrame) -> DataFrame:
     return planned.select("src", "dst", "action").mapInArrow(task, "src string, dst string, action string, error string")
 
 
+def outcome_counts(done: DataFrame) -> DataFrame:
+    """``action, processed, skipped, failed`` of what ``carry_out`` returned: ``error`` rows of a plan were skipped."""
+    skipped = F.col("action") == "error"
+    return done.groupBy("action").agg(F.count_if(~skipped & F.col("error").isNull()).alias("processed"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & F.col("error").isNotNull()).alias("failed"))
+
+
 def _do(src: str, dst: str, action: str) -> str | None:
     try:
         if action in ("move", "copy", "rename"):

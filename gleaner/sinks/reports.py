@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import folded
+from gleaner.operators.ranking import global_rank
+
 
 def prediction_lines(scored: DataFrame, path: str, label: str, confidence: str, positive: str, negative: str) -> DataFrame:
     """One CSV line each: the path always in quotes, numbers with four decimals."""
@@ -13,6 +16,13 @@ def prediction_lines(scored: DataFrame, path: str, label: str, confidence: str,
     return scored.select(F.concat_ws(",", quoted, F.col(label).cast("string"), number(confidence), number(positive), number(negative)).alias("value"))
 
 
+def csv_lines(df: DataFrame, bom: bool = True) -> DataFrame:
+    """A header line, with a byte order mark in front, and a line for each row; nulls are empty. Written as text, the parts in
+    order of their names make one file."""
+    names = df.sparkSession.range(1, numPartitions=1).select(F.lit(("\ufeff" if bom else "") + ",".join(df.columns)).alias("value"))
+    return names.unionByName(df.select(F.to_csv(F.struct("*"), {"nullValue": "", "emptyValue": ""}).alias("value")))
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
     """A folder of CSV parts with headers; nulls are empty."""
     df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(folder)
@@ -24,7 +34,7 @@ def write_text(df: DataFrame, folder: str) -> None:
 
 def resolution_lines(modes: DataFrame, width: str, height: str, path: str) -> DataFrame:
     """``WxH``, tab, path; the largest area first, then width, height and path."""
-    order = [F.desc(F.col(width).cast("long") * F.col(height)), F.desc(width), F.desc(height), F.asc(F.lower(path)), F.asc(path)]
+    order = [F.desc(F.col(width).cast("long") * F.col(height)), F.desc(width), F.desc(height), F.asc(folded(F.col(path))), F.asc(path)]
     return modes.orderBy(*order).select(F.format_string("%dx%d\t%s", F.col(width), F.col(height), F.col(path)).alias("value"))
 
 
@@ -32,6 +42,12 @@ def pair_lines(pairs: DataFrame, a: str, b: str, distance: str) -> DataFrame:
     return pairs.select(F.format_string("%s <-> %s (%d)", F.col(a).cast("string"), F.col(b).cast("string"), F.col(distance)).alias("value"))
 
 
+def numbered_pair_lines(pairs: DataFrame, a: str, b: str, distance: str) -> DataFrame:
+    """Pair lines with their number in front, the nearest pairs first."""
+    ranked = global_rank(pairs.select(a, b, distance), [F.asc(distance), F.asc(a), F.asc(b)], "ordinal")
+    return ranked.select(F.format_string("%d. %s <-> %s (%d)", F.col("ordinal"), F.col(a).cast("string"), F.col(b).cast("string"), F.col(distance)).alias("value"))
+
+
 def count_lines(counts: DataFrame, name: str, n: str) -> DataFrame:
     return counts.select(F.format_string("%s: %d", F.col(name), F.col(n)).alias("value"))
 

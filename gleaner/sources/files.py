@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.headers import header_size, orientation
 from gleaner.functions.text import base_name, extension, first_segment, parent
 
 # The suffixes that each scan takes.
@@ -14,15 +18,32 @@ IMAGES_WIDE = (".avif", ".bmp", ".gif", ".heic", ".heif", ".jpeg", ".jpg", ".png
 VIDEOS = (".3gp", ".avi", ".flv", ".m4v", ".mkv", ".mov", ".mp4", ".mpeg", ".mpg", ".ogg", ".ogv", ".webm", ".wmv")
 
 
-def scan_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None = IMAGES, recursive: bool = True, content: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None = IMAGES, recursive: bool = True, content: bool = False, ordered: bool = False) -> DataFrame:
     """``path, filename, ext, length, modified`` (and ``content``) of the files below ``path``, or of that file.
 
-    The suffix is compared in lower case. Without ``content`` the reader only lists; it never opens a file.
+    The suffix is compared in lower case. Without ``content`` the reader only lists; it never opens a file. ``ordered``
+    sorts by path.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     columns = ["path", base_name(F.col("path")).alias("filename"), extension(F.col("path")).alias("ext"), "length", F.col("modificationTime").alias("modified")]
     out = found.select(*columns, *(["content"] if content else []))
-    return out.where(F.col("ext").isin(*suffixes)) if suffixes else out
+    out = out.where(F.col("ext").isin(*suffixes)) if suffixes else out
+    return out.orderBy("path") if ordered else out
+
+
+def header_sizes(files: DataFrame) -> DataFrame:
+    """``path, width, height, orientation`` of scanned files with ``content``, read from their headers; null where a file is no
+    image of a known kind. Nothing is decoded."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(1).to_pylist()
+            sizes = [header_size(c) or (None, None) for c in contents]
+            turned = [orientation(c) if s[0] is not None else None for c, s in zip(contents, sizes, strict=True)]
+            columns = [pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(turned, pa.int32())], names=["path", "width", "height", "orientation"])
+
+    return files.select("path", "content").mapInArrow(task, "path string, width int, height int, orientation int")
 
 
 def with_folder(files: DataFrame, root: str) -> DataFrame:

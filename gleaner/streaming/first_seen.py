@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from gleaner.operators.membership import first_seen
 
 #: Polls without anything new, and polls in all, after which a stream is stopped; seconds between polls.
 EMPTY_POLLS, POLLS, WAIT = 6, 1000, 1.5
+#: Batches whose keys are put together.
+EVERY = 16
 
 
 def landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -32,26 +36,42 @@ def keep_first(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def start_first_seen(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def start_first_seen(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str, trigger: dict | None = None, act: Callable[[DataFrame], DataFrame] | None = None, every: int = EVERY) -> StreamingQuery:
     """Appends to the parquet folder ``table`` the first row by ``order`` of each key that is not there yet.
 
     Each batch is reduced to its own first rows and joined against the keys of earlier batches. A batch writes a folder
-    of its own number and replaces it if it is run again, so a restart neither loses nor repeats a row.
+    of its own number and replaces it if it is run again, so a restart neither loses nor repeats a row. After ``every``
+    batches their keys are put together in one folder with those before, so a batch reads the keys of one such folder and of fewer than
+    ``every`` batches, and nothing but keys.
+
+    ``act`` does something with the new rows, such as fetching a file under a name that the key reserves, and returns those
+    rows where it succeeded. Only they are recorded: a key whose action failed is free again, and its next row is tried.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         rest = [c for c in batch.columns if c not in (*keys, *order)]
         first = batch.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("first")).select(*keys, *(F.col("first")[c].alias(c) for c in (*order, *rest)))
         spark = batch.sparkSession
-        known = [f"{table}/batch={k}" for k in _batches(spark, table) if k < number]
-        if known:
-            first = first.join(spark.read.parquet(*known).select(*keys), keys, "left_anti")
-        first.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        known = _known_keys(spark, table, keys, number)
+        if known is not None:
+            first = first.join(known, keys, "left_anti")
+        (act(first) if act else first).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        if (number + 1) % every == 0:
+            _known_keys(spark, table, keys, number + 1).write.mode("overwrite").parquet(f"{table}/keys={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _batches(spark: SparkSession, table: str) -> list[int]:
+def _known_keys(spark: SparkSession, table: str, keys: list[str], number: int) -> DataFrame | None:
+    """The keys of all batches before ``number``."""
+    together = max((k for k in _batches(spark, table, "keys") if k < number), default=-1)
+    paths = [f"{table}/batch={k}" for k in _batches(spark, table) if together < k < number]
+    parts = [spark.read.parquet(f"{table}/keys={together}")] if together >= 0 else []
+    parts += [spark.read.parquet(*paths).select(*keys)] if paths else []
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _batches(spark: SparkSession, table: str, kind: str = "batch") -> list[int]:
     """Numbers of the batches that are complete, by the file system that holds the table."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(table)
@@ -59,7 +79,7 @@ def _batches(spark: SparkSession, table: str) -> list[int]:
     if not fs.exists(folder):
         return []
     found = [x.getPath().getName() for x in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in found if n.startswith("batch="))
+    return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{kind}="))
 
 
 def stop_when_quiet(query: StreamingQuery, empty_polls: int = EMPTY_POLLS, polls: int = POLLS, wait: float = WAIT) -> int:

@@ -313,3 +313,56 @@ def test_blocks_hold_all_pairs(spark, monkeypatch):
     want = {(i, j) for i in range(200) for j in range(i + 1, 200) if (hashes[i] ^ hashes[j]).bit_count() <= 20}
     got = similarity.hamming_pairs(spark.createDataFrame(list(enumerate(hashes)), "k long, h long"), "k", "h", 20)
     assert {(p.a, p.b) for p in got.collect()} == want
+
+
+def test_stream_retries_what_failed(spark, tmp_path):
+    schema = "url string, n long"
+    for k, part in enumerate(([("u", 1), ("v", 2)], [("u", 3), ("v", 4)], [("v", 5), ("w", 6)], [("u", 7), ("w", 8)], [("x", 9)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    table = str(tmp_path / "table")
+    source = stream.landed(spark, str(tmp_path / "in/*"), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    fails_at_first = lambda rows: rows.where("n not in (2, 6)")
+    stream.start_first_seen(source, ["url"], ["n"], table, str(tmp_path / "check"), act=fails_at_first, every=2).awaitTermination()
+    got = spark.read.parquet(*(f"{table}/batch={k}" for k in stream._batches(spark, table)))
+    assert sorted((r.url, r.n) for r in got.collect()) == [("u", 1), ("v", 4), ("w", 8), ("x", 9)]
+    assert stream._batches(spark, table, "keys") == [k for k in stream._batches(spark, table) if k % 2]
+
+
+def test_headers_and_orientation(spark, tmp_path):
+    import numpy as np
+
+    from gleaner.functions.headers import header_size, orientation
+    from gleaner.sinks.images import png
+
+    frame = lambda w, h: b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, h, w, 1) + b"\1\x11\0"
+    exif = b"Exif\0\0II*\0" + struct.pack("<IHHHIHH", 8, 1, 0x0112, 3, 1, 6, 0)
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + frame(30, 20)
+    assert header_size(jpeg) == (30, 20) and orientation(jpeg) == 6
+    assert header_size(png(5, 4, 3, bytes(60))) == (5, 4) and orientation(b"\xff\xd8" + frame(1, 1)) == 1
+    assert header_size(b"GIF89a" + struct.pack("<HH", 7, 8)) == (7, 8) and header_size(b"BM" + bytes(16) + struct.pack("<ii", 3, -9)) == (3, 9)
+    assert header_size(b"RIFF0000WEBPVP8X" + bytes(8) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")) == (100, 50)
+    assert [header_size(x) for x in (None, b"", b"text", b"\x89PNG", b"\xff\xd8", b"BM")] == [None] * 6
+    x = np.arange(6).reshape(2, 3, 1)
+    want = {1: [[0, 1, 2], [3, 4, 5]], 2: [[2, 1, 0], [5, 4, 3]], 3: [[5, 4, 3], [2, 1, 0]], 4: [[3, 4, 5], [0, 1, 2]], 5: [[0, 3], [1, 4], [2, 5]], 6: [[3, 0], [4, 1], [5, 2]], 7: [[5, 2], [4, 1], [3, 0]], 8: [[2, 5], [1, 4], [0, 3]]}
+    assert {k: images.oriented(x, k)[..., 0].tolist() for k in want} == want
+    with pytest.raises(ValueError):
+        png(2, 2, 3, b"")
+
+
+def test_reports_models_and_counts(spark, tmp_path):
+    from gleaner.sinks import images as sink
+    from gleaner.sinks import reports
+
+    df = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "n int, s string")
+    reports.write_text(reports.csv_lines(df), str(tmp_path / "csv"))
+    parts = sorted((tmp_path / "csv").glob("part-*"))
+    assert "".join(p.read_text("utf-8") for p in parts).splitlines() == ["﻿n,s", '1,"a \\"b\\", c"', "2,"]
+    with pytest.raises(FileNotFoundError):
+        classify.load_model(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        sink.local_path("hdfs://host/x")
+    done = spark.createDataFrame([("move", None), ("move", "no"), ("error", None)], "action string, error string")
+    assert {tuple(r) for r in actions.outcome_counts(done).collect()} == {("move", 1, 0, 1), ("error", 0, 1, 0)}
+    assert one(spark, text.percent_encoded(F.lit("a b/é*~+"))) == "a%20b%2F%C3%A9%2A~%2B" and one(spark, text.folded(F.lit("Straße"))) == "strasse"
+    files_ = spark.createDataFrame([(str(tmp_path / "x/a.bin"), b"1"), (str(tmp_path / "csv" / parts[0].name / "b"), b"2")], "path string, content binary")
+    assert sorted(r.error is None for r in sink.write_files(files_).collect()) == [False, True] and (tmp_path / "x/a.bin").read_bytes() == b"1"

@@ -14,7 +14,7 @@ def test_matches_sql(spark, name):
 
 def test_every_query_is_known():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"aesthetic_mlp", "cluster_complete"}
+    assert set(QUERIES) - set(ORACLE) == {"cluster_complete"}
 
 
 def test_clusters_are_complete(spark):
@@ -35,6 +35,26 @@ def test_clusters_are_complete(spark):
             assert (1 - far[a] @ far[b].T).max() >= 0.6 - 1e-6
 
 
+def test_clusters_are_those_of_a_naive_merge(spark):
+    import numpy as np
+
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().set_index("vec_id")["embedding"].sort_index()
+    x = np.array(v.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    far = 1 - x @ x.T
+    np.fill_diagonal(far, np.inf)
+    clusters = {i: [i] for i in range(len(x))}
+    while True:
+        a, b = sorted(map(int, np.unravel_index(far.argmin(), far.shape)))
+        if not far[a, b] < 0.6:
+            break
+        clusters[a] += clusters.pop(b)
+        far[a] = far[:, a] = np.maximum(far[a], far[b])
+        far[b] = far[:, b] = far[a, a] = np.inf
+    want = {int(v.index[i]): int(v.index[min(c)]) for c in clusters.values() for i in c}
+    assert {r.vec_id: r.cluster for r in QUERIES["cluster_complete"](spark, SF).collect()} == want
+
+
 def test_mlp_is_a_stack_of_products(spark):
     import numpy as np
 
@@ -43,6 +63,8 @@ def test_mlp_is_a_stack_of_products(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "k long, v array<double>")
     layers = [(np.array([[1.0, 0.0], [0.0, 3.0]]), np.array([0.5, 0.0])), (np.array([[1.0, 1.0]]), np.array([-1.0]))]
     assert {r.k: r.score for r in apply_layers(df, "k", "v", layers).collect()} == {1: 6.5, 2: None}
+    for rows in ([(1, None), (2, None)], []):
+        assert {r.score for r in apply_layers(spark.createDataFrame(rows, "k long, v array<double>").coalesce(1), "k", "v", layers).collect()} <= {None}
 
 
 def test_prediction_lines(spark):
