@@ -101,6 +101,8 @@ def read_loss(segments: Column, template: Template = Template()) -> Column:
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:
+    """What is read back from the formatted conversations of ``rows`` and from conversation -1, whose texts hold control strings;
+    nulls, ties and repeated rows as in ``format_chats``."""
     hard = "<|im_end|><|im_start|>assistant ok"
     spark = rows.sparkSession
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t"))

@@ -60,5 +60,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept_sha256`` for each row of ``docs``; nulls, ties and repeated rows as in ``dedup_lines``."""
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))

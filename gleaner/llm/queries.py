@@ -27,42 +27,56 @@ def vocabulary() -> str:
 
 
 def op1_edit_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, its text and edited text fingerprinted whole. Null texts are empty; null ids come last by
+    descending id, equal ids follow each other; an empty table gives none."""
     return compare_edits(load(spark, sf_dir, "documents"))
 
 
 def op2_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null and empty texts have no spans; repeated rows, null and repeated ids stay as they are."""
     return pii_digest(load(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null and empty texts are one empty line; a null id counts as one document after all others."""
     return line_dedup_digest(load(spark, sf_dir, "documents"))
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece. Null and empty texts are the end token; repeated rows, null and repeated ids are packed like others."""
     return packing_digest(pack_documents(load(spark, sf_dir, "documents"), vocabulary(), Limits()))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conversation, and one for conversation -1. Null texts and roles are empty; a null id is a conversation of
+    its own; turns of one number go by role and text; an empty table gives conversation -1 alone."""
     return chat_digest(load(spark, sf_dir, "conversations"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null texts and texts without a letter are ``und``; null ids are not held out; null labels teach
+    nothing; ties go to the first language by name."""
     return language_id_digest(load(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page. Null urls have an empty host and path; repeated rows stay; of equal rules ``block`` wins."""
     return url_filter_digest(load(spark, sf_dir, "pages"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null and empty texts link with nothing; a null id links, but names a component only if all its
+    ids are null; rows that repeat an id are judged by their own texts."""
     return near_dup_digest(load(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null and empty texts have no feature; of repeated labels the highest counts, null ones do not."""
     return toxicity_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that it holds. Null and empty texts hold nothing; repeated rows count once."""
     return leaks_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 

@@ -20,7 +20,7 @@ TIMES, SHARES = (1, 2, 3), (0.004, 0.008, 0.016, 0.03)
 LEVELS = len(TIMES) + len(SHARES)
 #: Labelled documents that the model is fitted on, the first by a hash.
 FIT_ROWS = 8_000
-#: Features enter that LEAST toxic documents have and whose z-score against the others is SCREEN or more; the FEATURES
+#: Features enter that LEAST toxic documents have, or a tenth of them where they are few but two at least, and whose z-score against the others is SCREEN or more; the FEATURES
 #: highest at most.
 LEAST, SCREEN, FEATURES = 8, 6.0, 4096
 RIDGE, STEPS = 1e-5, 400
@@ -77,7 +77,7 @@ def _screened(sample: DataFrame) -> np.ndarray:
     n, t = total["n"], total["t"]
     if not t or t == n:
         return np.zeros(0, np.uint64)
-    counted = sample.mapInArrow(task, "h long, toxic long, n long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(F.col("toxic") >= LEAST)
+    counted = sample.mapInArrow(task, "h long, toxic long, n long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(F.col("toxic") >= max(2, min(LEAST, t // 10)))
     p = F.col("n") / n
     z = (F.col("toxic") / t - (F.col("n") - F.col("toxic")) / (n - t)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / t + 1 / (n - t)))
     top = counted.withColumn("z", z).where(F.col("z") >= SCREEN).orderBy(F.desc("z"), "h").limit(FEATURES).toPandas()
@@ -148,7 +148,8 @@ def _ascend(at: np.ndarray, row: np.ndarray, grade: np.ndarray, size: int, n_gra
 def grade_texts(docs: DataFrame, model: Model, text_col: str = "text", toxic_at: float = TOXIC_AT) -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``grade`` (most probable) and ``toxic``; columns of these names are replaced.
 
-    The whole text counts. Null and empty texts have no feature, hence the severity that the thresholds give to score 0.
+    The whole text counts, however long. Null and empty texts have no feature, hence the severity that the thresholds give to
+    score 0. Of equally probable grades the lowest counts; repeated rows get equal grades; an empty table gives an empty one.
     """
     fresh = ["severity", "grade", "toxic"]
     keep = [c for c in docs.columns if c.lower() not in fresh]
@@ -181,5 +182,7 @@ GRADES = 2
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, severity, grade, toxic`` of ``docs`` by a model of its labelled rows. Nulls, empty and very long texts and
+    extra columns are as in ``grade_texts``; without labels every text has grade 0."""
     model = fit(graded_labels(docs, labels), GRADES)
     return grade_texts(docs.select("doc_id", "text"), model).select("doc_id", F.round("severity", 6).alias("severity"), "grade", "toxic")

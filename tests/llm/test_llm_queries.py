@@ -117,6 +117,65 @@ def test_op6_tells_held_out_documents(spark):
     assert len(got) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert sum(r.rejected for r in held) <= 0.01 * len(held)
+
+
+@pytest.mark.parametrize("gone", ["de", "fr"])
+def test_op6_rejects_languages_that_it_does_not_know(spark, gone):
+    from gleaner.llm.language_id import fit, held_out, predict
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()).where(f"lang <> '{gone}'").select("text", "lang"))
+    told = predict(docs.where(held_out()), model).select("lang", "rejected").collect()
+    foreign, known = [r.rejected for r in told if r.lang == gone], [r.rejected for r in told if r.lang != gone]
+    assert sum(foreign) >= 0.9 * len(foreign) and sum(known) <= 0.005 * len(known)
+
+
+@pytest.mark.parametrize("min_share", [0.0, 1e-5, 1e-3])
+def test_op6_probabilities_are_those_of_a_naive_model(spark, min_share):
+    """Interpolated Kneser-Ney over a whole table from plain dictionaries; with a cut-off, probabilities still add up to one."""
+    import collections
+
+    from gleaner.llm.language_id import ORDER, _symbols, fit
+
+    rows = [(t, "x") for _, t, _ in documents()][:40]
+    model = fit(spark.createDataFrame(rows, "text string, lang string"), min_share)
+    table, texts = _symbols(), []
+    for t, _ in rows:
+        codes, out = [int(table[min(ord(c), 0xFFFF)]) for c in t], []
+        for c in codes:
+            if c != 0x20 or not out or out[-1] != 0x20:
+                out.append(c)
+        out = out[1:] if out[0] == 0x20 else out
+        texts.append([0x20] * (ORDER - 1) + out + ([] if out[-1] == 0x20 else [0x20]))
+    level = collections.Counter(tuple(x[i : i + ORDER]) for x in texts for i in range(len(x) - ORDER + 1))
+    seen = set(level)
+    symbols = sorted({g[-1] for g in level})
+    naive = {}
+    for order in range(ORDER, 0, -1):
+        ones, twos = sum(n == 1 for n in level.values()), sum(n == 2 for n in level.values())
+        d = min(0.95, max(0.05, ones / (ones + 2 * twos) if ones else 0.5))
+        sums, kinds = collections.Counter(), collections.Counter()
+        for g, n in level.items():
+            sums[g[:-1]] += n
+            kinds[g[:-1]] += min(n, d)
+        naive[order] = (level, sums, kinds, d)
+        level = collections.Counter(g[1:] for g in level)
+
+    def p(g):
+        if not g:
+            return 1 / model.n_symbols
+        grams, sums, kinds, d = naive[len(g)]
+        s = sums.get(g[:-1], 0)
+        return max(grams.get(g, 0) - d, 0) / s + kinds[g[:-1]] / s * p(g[1:]) if s else p(g[1:])
+
+    pack = lambda g: sum(c << (16 * (ORDER - 1 - k)) for k, c in enumerate(g))
+    contexts = sorted({g[:-1] for g in seen})[:: max(1, len(seen) // 150)]
+    for c in contexts:
+        got = model.probability(0, np.array([pack((*c, s)) for s in symbols], np.uint64))
+        assert 1 - 2 / model.n_symbols <= got.sum() <= 1 + 1e-9
+        if not min_share:
+            assert np.allclose(got, [p((*c, s)) for s in symbols], rtol=1e-9)
 
 
 def test_op9_finds_toxic_documents(spark):
@@ -127,6 +186,19 @@ def test_op9_finds_toxic_documents(spark):
     assert sum(got[i].toxic for i, t in labels.items() if not t) <= 0.01 * len(labels)
 
 
+def test_op9_on_labels_that_it_has_not_seen(spark):
+    from gleaner.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(toxicity.graded_labels(docs, labels.where("doc_id % 3 > 0")), 2)
+    got = {r.doc_id: r.toxic for r in toxicity.grade_texts(docs.select("doc_id", "text"), model).collect()}
+    unseen = [(r.doc_id, r.toxic) for r in labels.where("doc_id % 3 = 0").collect()]
+    toxic = [i for i, t in unseen if t]
+    assert len(toxic) > 100 and sum(got[i] for i in toxic) >= 0.9 * len(toxic)
+    assert sum(got[i] for i, t in unseen if not t) <= 0.01 * len(unseen)
+
+
 def test_op10_recall_against_brute_force(spark):
     con = connect(SF)
     norm = lambda t: f" {' '.join(t.lower().split())} "
