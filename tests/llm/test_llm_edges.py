@@ -525,3 +525,57 @@ def test_stages_are_written_as_parquet(spark, monkeypatch):
     got = corpus_pipeline.run(spark, "").collect()
     assert sorted(map(str, got)) == sorted(map(str, frame(spark, [(1, "a!!!"), (None, None), (1, "a!!!")]).select("doc_id", "text").collect()))
     assert not read[0] and all(files and all(f.endswith(".parquet") for f in files) for files in read[1:])
+
+
+def documents_frame(spark, rows):
+    """Rows of (doc_id, text) as documents, with columns whose names the operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key int, id string, digest int, gone int"
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", 2, 3) for i, t in rows], schema)
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_near_stage_goes_row_by_row(spark):
+    import corpus_pipeline
+
+    r = random.Random(1)
+    a = [f"a{r.randrange(10**6)}" for _ in range(60)]
+    near, other = " ".join([*a[:-1], "z"]), " ".join(f"b{r.randrange(10**6)}" for _ in range(60))
+    rows = [(3, " ".join(a)), (3, " ".join(a)), (5, near), (5, other), (None, near), (8, None), (8, ""), (9, other + " more")]
+    out = corpus_pipeline.near(spark, documents_frame(spark, rows), "")
+    assert out.columns == COLUMNS
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([(3, " ".join(a)), (5, other), (8, None), (8, "")], key=str)
+    nulls = corpus_pipeline.near(spark, documents_frame(spark, [(None, near), (None, " ".join(a)), (None, other)]), "")
+    assert nulls.count() == 2
+    assert corpus_pipeline.near(spark, documents_frame(spark, []), "").count() == 0
+
+
+def test_benchmark_stage_goes_row_by_row(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first().text
+    held = f"some words before it {item} and some behind"
+    rows = [(1, held), (1, "a clean document of the same id"), (None, held), (None, "clean without an id"), (2, None), (2, ""), (3, held), (3, held)]
+    out = corpus_pipeline.benchmark(spark, documents_frame(spark, rows), "/root/testdata/sf0.001")
+    assert out.columns == COLUMNS
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+    assert corpus_pipeline.benchmark(spark, documents_frame(spark, []), "/root/testdata/sf0.001").count() == 0
+
+
+def test_other_stages_odd(spark):
+    import corpus_pipeline
+
+    texts = ["the house and the garden are near the old river", "the people in the town read the news of the day", "there is a long way from here to the other side"]
+    rows = [*((i, f"{t} number {w}") for i, (t, w) in enumerate((t, w) for t in texts for w in ("one", "two", "three"))), (None, "the house is near the river"), (1, "the second text of an id"), (30, None), (31, ""), (32, "123 !!")]
+    docs = documents_frame(spark, rows)
+    told = corpus_pipeline.language(spark, docs, "")
+    assert told.columns == COLUMNS and sorted(((x.doc_id, x.text) for x in told.collect()), key=str) == sorted(rows[:-3], key=str)
+    shared = documents_frame(spark, [(2, "a line that two have\nown"), (1, "a line that two have"), (None, "A line that two have \nx"), (3, None), (1, "a line that two have")])
+    lined = corpus_pipeline.lines(spark, shared, "")
+    want = [(2, "own"), (1, "a line that two have"), (None, "x"), (3, ""), (1, "a line that two have")]
+    assert lined.columns == COLUMNS and sorted(((x.doc_id, x.text, x.n_chars) for x in lined.collect()), key=str) == sorted(((i, t, len(t)) for i, t in want), key=str)
+    packed = corpus_pipeline.packed(spark, docs, "")
+    assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "start", "doc_tokens").where("start = 0").agg(F.sum("doc_tokens")).first()[0] and packed.where("start = 0").count() == len(rows)
+    for stage in (corpus_pipeline.language, corpus_pipeline.lines, corpus_pipeline.packed):
+        assert stage(spark, documents_frame(spark, []), "").count() == 0
