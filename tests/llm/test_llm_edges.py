@@ -456,14 +456,21 @@ def test_chats_round_trip(spark):
 
 # urls
 
-def test_urls_against_brute_force(spark):
+@pytest.mark.parametrize("ranges", ["4", "23"])
+def test_urls_against_brute_force(spark, ranges):
     r = random.Random(8)
     hosts = ["com", "a.com", "b.a.com", "xa.com", "net", "a.net", ""]
     paths = ["", "/", "/e", "/e/", "/e/1", "/e/12", "/f"]
     rules = [(r.choice(["block", "allow"]), h + p) for h in hosts[:6] for p in paths if r.random() < 0.4 and p]
     urls = [f"http://{h}{p}{q}" for h in hosts for p in paths for q in ("", "?x=/e/12", "#y")] + [None, "", "a.com/e/1", "HTTP://A.Com/E", "ftp://u@a.com:80/e", "x://a.com?://b.a.com/e"]
     pages = spark.createDataFrame([(i, u, "old", i) for i, u in enumerate(urls)], "page_id long, url string, rule string, salt long")
-    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "verdict string, rule string"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)  # so that ranges begin within nested rules
+    try:
+        got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "verdict string, rule string"))
+        got = url_filter.written(got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got.columns == ["page_id", "url", "salt", "host", "path", "rule", "verdict"] and got.count() == len(urls)
     for x in got.collect():
         rest = x.url.split("://", 1)[1] if x.url and "://" in x.url else ""
