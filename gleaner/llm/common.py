@@ -6,10 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.blocks import dealt_evenly
 from gleaner.operators.graph import cut, written
 
-__all__ = ["bounded_sample", "cut", "dealt_evenly", "load", "lower_ascii", "text_or_empty", "with_row_key", "written"]
+__all__ = ["bounded_sample", "cut", "load", "lower_ascii", "text_or_empty", "with_row_key", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

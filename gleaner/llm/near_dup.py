@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import dealt_evenly, written
+from gleaner.llm.common import written
 from gleaner.llm.words import hash_texts, mix, shingles
 from gleaner.operators.graph import connected_components, drop_written
 
@@ -229,57 +229,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _blocks(members: DataFrame, group: str, sets: DataFrame) -> DataFrame:
-    """``chunk`` and ``block``, an array of (digest, part, ids), for ``members`` (group, digest, part, chunk), by group and chunk."""
-    with_sets = members.join(sets, "digest")
-    return with_sets.groupBy(group, "chunk").agg(F.collect_list(F.struct("digest", "part", "ids")).alias("block"))
-
-
 def _chunks(n: str, shingles_: str) -> Column:
     """How many blocks so many sets with so many shingles make."""
     return F.greatest(F.lit(1), F.ceil(F.col(n) / TILE), F.ceil(F.col(shingles_) / SHINGLES)).cast("long")
 
 
-def _linked_blocks(tiles: DataFrame, threshold: Fraction) -> DataFrame:
-    """``leader, digest``: a forest of the links between ``a`` and ``b`` (null: within ``a``), two blocks in each row."""
+def _linked(rows: DataFrame, by: list[str], threshold: Fraction) -> DataFrame:
+    """``leader, digest``: a forest of the links between the two sides (0 and 1) of each group of ``rows`` (side, digest, part, ids),
+    or within side 0 where that is all. A group is two blocks at most, so a task holds little more than that."""
 
-    def sets_of(block: pa.Array) -> tuple[list[bytes], list[bytes], list[np.ndarray]]:
-        ids = block.field("ids")
-        return block.field("digest").to_pylist(), block.field("part").to_pylist(), [np.asarray(x.values).view(np.uint64) for x in ids]
+    def task(table: pa.Table) -> pa.Table:
+        side, digest, parts = np.array(table.column("side")), table.column("digest").to_pylist(), table.column("part").to_pylist()
+        sets = [np.asarray(x.values).view(np.uint64) for x in table.column("ids")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        pairs = tile_links([sets[k] for k in left], [sets[k] for k in right] if len(right) else None, threshold) if len(left) else []
+        to = right if len(right) else left
+        pairs = [(int(left[a]), int(to[b])) for a, b in pairs]
+        pairs = _forest([(a, b) for a, b in pairs if parts[a] != parts[b]], len(digest))
+        return pa.table({"leader": pa.array([digest[a] for a, _ in pairs], pa.binary()), "digest": pa.array([digest[b] for _, b in pairs], pa.binary())})
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                names, parts, left = sets_of(a.values)
-                right = None
-                if b.is_valid:
-                    more = sets_of(b.values)
-                    names, parts, right = names + more[0], parts + more[1], more[2]
-                if right == [] or len(names) < 2:
-                    continue
-                shift = len(left) if right is not None else 0
-                pairs = [(i, j + shift) for i, j in tile_links(left, right, threshold)]
-                pairs = _forest([(i, j) for i, j in pairs if parts[i] != parts[j]], len(names))
-                found += [(names[i], names[j]) for i, j in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["leader", "digest"])
-
-    return tiles.select("a", "b").mapInArrow(task, "leader binary, digest binary")
+    return rows.groupBy(*by).applyInArrow(task, "leader binary, digest binary")
 
 
 def _starred(stars: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The links of ``stars`` (leader, digest, n) between a leader and its members."""
     large = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")).select("leader", _chunks("k", "s").alias("chunks")).where("chunks > 1")
     dealt = stars.join(written(large, "large"), "leader", "left").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.coalesce("chunks", F.lit(1))))
-    members = dealt.select("leader", "digest", F.col("digest").alias("part"), "chunk")
-    alone = sets.select(F.col("digest").alias("leader"), F.array(F.struct("digest", F.col("digest").alias("part"), "ids")).alias("a"))
-    return _linked_blocks(_blocks(members, "leader", sets).join(alone, "leader").select("a", F.col("block").alias("b")), threshold)
+    members = dealt.select("leader", "chunk", F.lit(1).alias("side"), "digest")
+    leaders = members.select("leader", "chunk").distinct().select("leader", "chunk", F.lit(0).alias("side"), F.col("leader").alias("digest"))
+    rows = members.unionByName(leaders).withColumn("part", F.col("digest")).join(sets, "digest")
+    return _linked(rows, ["leader", "chunk"], threshold)
 
 
 def _tiled(rest: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Links within the groups that ``rest`` (leader, digest, part, n) forms, between members of different parts.
 
-    A group's largest part has blocks of its own, numbered after the others; two of those need no look.
+    A group's largest part has blocks of its own, numbered after the others; two of those need no look. Pairs of blocks
+    are dealt out by ranges of their rows, so tasks get about as many each.
     """
     groups = connected_components(rest.where("leader <> digest").select("leader", "digest"), "leader", "digest").select(F.col("node").alias("digest"), F.col("component").alias("gid"))
     members = written(rest.select("digest", "part", "n").distinct().join(groups, "digest"), "members")
@@ -289,15 +275,15 @@ def _tiled(rest: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     sizes = written(sizes.select("gid", "main", _chunks("k_main", "s_main").alias("c_main"), _chunks("k_rest", "s_rest").alias("c_rest")), "sizes")
     seed = F.xxhash64("digest")
     chunk = F.when(F.col("part") == F.col("main"), F.col("c_rest") + F.pmod(seed, "c_main")).otherwise(F.pmod(seed, "c_rest"))
-    blocks = written(_blocks(members.join(sizes, "gid").select("gid", "digest", "part", chunk.alias("chunk")), "gid", sets), "blocks")
-    there = blocks.select("gid", "chunk").join(sizes.select("gid", "c_main", "c_rest"), "gid")
-    others = F.filter(F.sequence(F.col("chunk"), F.col("c_rest") + F.col("c_main") - 1), lambda j: F.col("chunk") < F.col("c_rest"))
-    tiles = there.select("gid", F.col("chunk").alias("i"), F.explode(others).alias("j"))
-    side = lambda name, at: blocks.select("gid", F.col("chunk").alias(at), F.col("block").alias(name))
-    both = tiles.join(side("a", "i"), ["gid", "i"]).join(side("b", "j"), ["gid", "j"])
-    return _linked_blocks(dealt_evenly(both.select("a", F.when(F.col("i") < F.col("j"), F.col("b")).alias("b"))), threshold)
+    placed = members.join(sizes, "gid").select("gid", "digest", "part", "c_main", "c_rest", chunk.alias("chunk"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("c_rest") + F.col("c_main") - 1), lambda j: (j < F.col("c_rest")) | (F.col("chunk") < F.col("c_rest")))
+    tiles = placed.select("gid", "digest", "part", "chunk", F.explode(others).alias("other"))
+    tiles = tiles.select("gid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "digest", "part")
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _linked(tiles.join(sets, "digest").repartitionByRange(n, "gid", "i", "j"), ["gid", "i", "j"], threshold)
 
 
 def near_dup_digest(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` of three words at 0.85, with the id as ``doc_id``; nulls, ties and repeated rows as there."""
     out = near_duplicates(docs, words=3, threshold=0.85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
