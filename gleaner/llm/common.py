@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.graph import cut, written
 
-__all__ = ["bounded_sample", "cut", "load", "lower_ascii", "text_or_empty", "with_row_key", "written"]
+__all__ = ["bounded_sample", "cut", "load", "lower_ascii", "numbered_columns", "text_or_empty", "with_row_key", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,12 @@ def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
     return picked.select(*(F.col("row")[c].alias(c) for c in rows.columns))
 
 
+def numbered_columns(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns to keep as c0, c1 and so on, whatever their names, and the place of the text, which is sent to tasks once."""
+    columns = keep if text_col in keep else [*keep, text_col]
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))), columns.index(text_col)
+
+
 def with_row_key(rows: DataFrame) -> DataFrame:
     """``rows`` with ``row_key``, which tells every row from all others and is the same each time they are read.
 

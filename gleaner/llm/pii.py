@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import numbered_columns
+
 KINDS = ("email", "ip", "card", "phone")
 #: What the model tells apart: the kinds that have a base pattern, and secrets (keys, tokens, passwords), which have none.
 ALL_KINDS = (*KINDS, "secret")
@@ -382,14 +384,14 @@ def private_spans(docs: DataFrame, model: SemiMarkov | None = None, text_col: st
     fresh = ["base_spans", "spans"]
     keep = [c for c in docs.columns if c.lower() not in fresh]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias(f"c{len(keep)}"))
+    plain, at = numbered_columns(docs, keep, text_col)
     span = "array<struct<kind:string,start:long,end:long>>"
     kinds = [f.dataType.simpleString() for f in plain.schema.fields[: len(keep)]] + [span, span]
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find_spans(t, shared.value) for t in batch.column(len(keep)).to_pylist()]
+            found = [find_spans(t, shared.value) for t in batch.column(at).to_pylist()]
             as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
             columns = [pa.array([as_rows(f[k]) for f in found], arrow) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[f"c{i}" for i in range(len(keep) + 2)])

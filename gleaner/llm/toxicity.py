@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_sample, cut
+from gleaner.llm.common import bounded_sample, cut, numbered_columns
 from gleaner.llm.words import MARKS, Lookup, hash_texts
 
 #: Words are runs of letters and digits; their first bytes count as well, so that inflected insults share a feature.
@@ -154,13 +154,13 @@ def grade_texts(docs: DataFrame, model: Model, text_col: str = "text", toxic_at:
     fresh = ["severity", "grade", "toxic"]
     keep = [c for c in docs.columns if c.lower() not in fresh]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias(f"c{len(keep)}"))
+    plain, at = numbered_columns(docs, keep, text_col)
     kinds = [f.dataType.simpleString() for f in plain.schema.fields[: len(keep)]] + ["double", "long", "boolean"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for i, h in hashed(batch.column(len(keep)).to_pylist()):
+            for i, h in hashed(batch.column(at).to_pylist()):
                 score[i] = shared.value.score(h)
             severity, grade = shared.value.severity(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(severity), pa.array(grade.astype(np.int64)), pa.array(severity >= toxic_at)], names=[f"c{i}" for i in range(len(keep) + 3)])
