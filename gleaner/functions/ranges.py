@@ -14,7 +14,7 @@ def range_of(column: Column, bounds: list[int] | list[float], kind: str = "doubl
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
     as_array = lambda x: F.array(*map(F.lit, x)).cast(f"array<{kind}>")
-    before = lambda x: F.size(F.filter(x, lambda b: b <= column))
-    coarse = before(as_array(bounds[::step]))
-    fine = lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + before(F.slice(as_array(bounds), F.greatest((c - 1) * step + 1, F.lit(1)), step)))
-    return F.element_at(F.transform(F.array(coarse), fine), 1)
+    before = lambda x, c: F.size(F.filter(x, lambda b: b <= c))
+    fine = lambda k, c: F.when(k == 0, 0).otherwise((k - 1) * step + before(F.slice(as_array(bounds), F.greatest((k - 1) * step + 1, F.lit(1)), step), c))
+    place = lambda c: F.element_at(F.transform(F.array(before(as_array(bounds[::step]), c)), lambda k: fine(k, c)), 1)
+    return F.element_at(F.transform(F.array(column), place), 1)  # the column is computed once, not for each bound
