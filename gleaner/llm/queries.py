@@ -12,6 +12,7 @@ from gleaner.llm.decontamination import leaks_digest
 from gleaner.llm.fingerprints import compare_edits
 from gleaner.llm.language_id import language_id_digest
 from gleaner.llm.line_dedup import line_dedup_digest
+from gleaner.llm.mixing import mixing_digest
 from gleaner.llm.near_dup import near_dup_digest
 from gleaner.llm.packing import Limits, pack_documents, packing_digest
 from gleaner.llm.pii import pii_digest
@@ -80,6 +81,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op13_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null and empty texts have size 0; a null source is one of its own, the last; repeated rows queue
+    one after another."""
+    return mixing_digest(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_sketches": op1_edit_sketches,
     "op2_private_spans": op2_private_spans,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op13_fair_mixing": op13_fair_mixing,
 }
 
 ORACLE: dict[str, str] = {
@@ -138,4 +146,31 @@ ORACLE: dict[str, str] = {
         reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, sides.b FROM reach JOIN sides ON reach.r = sides.a)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.r) AS component_id, s.doc_id = min(r.r) AS kept
         FROM sets s JOIN reach r ON r.d = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op13_fair_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, coalesce('=' || source, '') AS named, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
+            FROM documents
+        ), weighed AS (
+            SELECT named, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY named = '', named) - 1) % 3 + 1)::INT] AS weight FROM sized GROUP BY named
+        ), levels AS (
+            SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER earlier, 0))::DOUBLE / sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, named ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM weighed WINDOW earlier AS (ORDER BY source_size::DOUBLE / weight, named ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), share AS (
+            SELECT (1.5 * sum(source_size) - coalesce(sum(2 * source_size) FILTER (WHERE 2 * source_size < weight * level), 0))::DOUBLE / sum(weight) FILTER (WHERE NOT 2 * source_size < weight * level) AS level FROM levels
+        ), targets AS (
+            SELECT named, source_size, least((2 * source_size)::DOUBLE, weight * share.level) AS target FROM weighed, share
+        ), queued AS (
+            SELECT s.*, t.source_size, t.target, sum(size) OVER (PARTITION BY named ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM sized s JOIN targets t USING (named)
+        ), passes AS (SELECT *, unnest([0, 1]) AS pass FROM queued WHERE size > 0 AND target > 0),
+        packets AS (
+            SELECT named, target, start + pass * source_size + least(size, (k + 1) * 256) AS ends, least(size, (k + 1) * 256) - k * 256 AS words
+            FROM (SELECT *, unnest(range((size - 1) // 256 + 1)) AS k FROM passes)
+        ), run AS (
+            SELECT named, ends, words, sum(words) OVER (ORDER BY ends / target, named, ends ROWS UNBOUNDED PRECEDING) AS run FROM packets
+        ), reached AS (
+            SELECT named, max(ends - greatest(0, run - floor(budget)))::BIGINT AS reached FROM run, (SELECT 1.5 * sum(size) AS budget FROM sized) WHERE run - words < floor(budget) GROUP BY named
+        )
+        SELECT doc_id, size, source_size, target, (greatest(0, least(size, coalesce(reached, 0) - start)) + greatest(0, least(size, coalesce(reached, 0) - start - source_size)))::BIGINT AS taken, coalesce(reached, 0) AS reached
+        FROM queued LEFT JOIN reached USING (named)""",
 }
