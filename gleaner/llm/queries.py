@@ -16,6 +16,7 @@ from gleaner.llm.mixing import mixing_digest
 from gleaner.llm.near_dup import near_dup_digest
 from gleaner.llm.packing import Limits, pack_documents, packing_digest
 from gleaner.llm.pii import pii_digest
+from gleaner.llm.spelling import spelling_digest
 from gleaner.llm.toxicity import toxicity_digest
 from gleaner.llm.url_filter import url_filter_digest
 
@@ -81,6 +82,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each word. Null and empty texts have none; a null id counts as an empty one; repeated rows count each; an empty
+    table gives none."""
+    return spelling_digest(load(spark, sf_dir, "documents"))
+
+
 def op13_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document. Null and empty texts have size 0; a null source is one of its own, the last; repeated rows queue
     one after another."""
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_fair_mixing": op13_fair_mixing,
 }
 
@@ -146,6 +154,36 @@ ORACLE: dict[str, str] = {
         reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, sides.b FROM reach JOIN sides ON reach.r = sides.a)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.r) AS component_id, s.doc_id = min(r.r) AS kept
         FROM sets s JOIN reach r ON r.d = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE remainders AS (
+            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
+        ), runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents
+        ), lowered AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' || r AS named, r AS run, count(*) AS n
+            FROM (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM runs) GROUP BY ALL
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(named, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+            FROM lowered, remainders
+        ), words AS (
+            SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+        ), holes AS (
+            SELECT word, n, i, left(word, i::INT) || substring(word, i::INT + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+        ), best AS (
+            SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word
+        ), forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)
+        ), follow AS (
+            SELECT word, word AS root FROM forms UNION ALL SELECT f.word, g.form FROM follow f JOIN forms g ON f.root = g.word WHERE g.form IS NOT NULL
+        )
+        SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r USING (word) JOIN forms l ON r.root = l.word WHERE l.form IS NULL""",
     "op13_fair_mixing": r"""
         WITH sized AS (
             SELECT doc_id, coalesce('=' || source, '') AS named, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
