@@ -12,6 +12,7 @@ from gleaner.llm.decontamination import leaks_digest
 from gleaner.llm.fingerprints import compare_edits
 from gleaner.llm.language_id import language_id_digest
 from gleaner.llm.line_dedup import line_dedup_digest
+from gleaner.llm.merkle import merkle_digest
 from gleaner.llm.mixing import mixing_digest
 from gleaner.llm.near_dup import near_dup_digest
 from gleaner.llm.packing import Limits, pack_documents, packing_digest
@@ -88,6 +89,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_digest(load(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Nulls have a mark of their own; null ids come first in their language, null languages first of
+    all; repeated rows are leaves of their own; an empty table gives none."""
+    return merkle_digest(load(spark, sf_dir, "documents"))
+
+
 def op13_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document. Null and empty texts have size 0; a null source is one of its own, the last; repeated rows queue
     one after another."""
@@ -106,9 +113,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_fair_mixing": op13_fair_mixing,
 }
 
+#: crc32 in SQL: its table of remainders as ``t``, and that of texts of code points below 256.
+REMAINDERS = """remainders AS (
+            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
+        )"""
+CRC32 = """xor(list_reduce(flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
 ORACLE: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH lines AS (
@@ -155,19 +170,16 @@ ORACLE: dict[str, str] = {
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.r) AS component_id, s.doc_id = min(r.r) AS kept
         FROM sets s JOIN reach r ON r.d = s.doc_id GROUP BY s.doc_id, len(s.s)""",
     "op11_spelling_variants": r"""
-        WITH RECURSIVE remainders AS (
-            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
-        ), runs AS (
+        WITH RECURSIVE %(remainders)s, runs AS (
             SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents
         ), lowered AS (
             SELECT coalesce(doc_id::VARCHAR, '') || ':' || r AS named, r AS run, count(*) AS n
             FROM (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM runs) GROUP BY ALL
         ), hashed AS (
-            SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(named, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)),
-                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+            SELECT run, n, %(crc32)s AS h
             FROM lowered, remainders
         ), words AS (
-            SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+            SELECT CASE WHEN h %% 31 = 0 THEN left(run, (h %% length(run))::INT) || substring(run, (h %% length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
             FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
         ), holes AS (
             SELECT word, n, i, left(word, i::INT) || substring(word, i::INT + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
@@ -183,7 +195,39 @@ ORACLE: dict[str, str] = {
         ), follow AS (
             SELECT word, word AS root FROM forms UNION ALL SELECT f.word, g.form FROM follow f JOIN forms g ON f.root = g.word WHERE g.form IS NOT NULL
         )
-        SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r USING (word) JOIN forms l ON r.root = l.word WHERE l.form IS NULL""",
+        SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r USING (word) JOIN forms l ON r.root = l.word WHERE l.form IS NULL""" % {"remainders": REMAINDERS, "crc32": CRC32.format("named")},
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE %(remainders)s, docs AS (
+            SELECT doc_id, source, lang, n_chars, text, CASE WHEN doc_id IS NOT NULL AND %(crc32)s %% 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+            FROM documents, remainders
+        ), hashed AS (
+            SELECT doc_id, coalesce('+' || lang, '') AS named, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS changed
+            FROM (SELECT *, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM docs)
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY named ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY named) AS n FROM hashed
+        ), inner_tree AS (
+            SELECT named, 0 AS level, p, n, leaf AS hash FROM leaves
+            UNION ALL SELECT named, level + 1, p // 8, (max(n) + 7) // 8, sha256(string_agg(hash, '' ORDER BY p)) FROM inner_tree WHERE n > 1 GROUP BY named, level, p // 8
+        ), subroots AS (
+            SELECT named, hash AS subroot, row_number() OVER (ORDER BY named) - 1 AS p, count(*) OVER () AS n FROM inner_tree WHERE n = 1
+        ), outer_tree AS (
+            SELECT 0 AS level, p, n, subroot AS hash FROM subroots
+            UNION ALL SELECT level + 1, p // 8, (max(n) + 7) // 8, sha256(string_agg(hash, '' ORDER BY p)) FROM outer_tree WHERE n > 1 GROUP BY level, p // 8
+        ), inner_runs AS (
+            SELECT named, level, p // 8 AS up, string_agg(hash, '' ORDER BY p) AS run FROM inner_tree WHERE n > 1 GROUP BY ALL
+        ), outer_runs AS (
+            SELECT level, p // 8 AS up, string_agg(hash, '' ORDER BY p) AS run FROM outer_tree WHERE n > 1 GROUP BY ALL
+        ), inner_fold AS (
+            SELECT doc_id, leaf, named, 0 AS level, p, n, changed AS folded, '' AS proof FROM leaves
+            UNION ALL SELECT doc_id, leaf, f.named, f.level + 1, p // 8, (n + 7) // 8, sha256(left(run, (p %% 8 * 64)::INT) || folded || substring(run, (p %% 8 * 64 + 65)::INT)), proof || left(run, (p %% 8 * 64)::INT) || substring(run, (p %% 8 * 64 + 65)::INT)
+            FROM inner_fold f JOIN inner_runs r ON f.named = r.named AND f.level = r.level AND f.p // 8 = r.up WHERE n > 1
+        ), outer_fold AS (
+            SELECT doc_id, leaf, subroot, 0 AS level, s.p, s.n, folded, proof FROM inner_fold f JOIN subroots s USING (named) WHERE f.n = 1
+            UNION ALL SELECT doc_id, leaf, subroot, f.level + 1, p // 8, (n + 7) // 8, sha256(left(run, (p %% 8 * 64)::INT) || folded || substring(run, (p %% 8 * 64 + 65)::INT)), proof || left(run, (p %% 8 * 64)::INT) || substring(run, (p %% 8 * 64 + 65)::INT)
+            FROM outer_fold f JOIN outer_runs r ON f.level = r.level AND f.p // 8 = r.up WHERE n > 1
+        )
+        SELECT doc_id, leaf, subroot, t.hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.hash AS verified
+        FROM outer_fold f, outer_tree t WHERE f.n = 1 AND t.n = 1""" % {"remainders": REMAINDERS, "crc32": CRC32.format("coalesce(doc_id::VARCHAR, '')")},
     "op13_fair_mixing": r"""
         WITH sized AS (
             SELECT doc_id, coalesce('=' || source, '') AS named, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
