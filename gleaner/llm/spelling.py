@@ -63,12 +63,13 @@ def trie_shards(words: DataFrame, shard_words: int = SHARD_WORDS, shard_chars: i
 
 
 def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, shard_chars: int = SHARD_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``word, n_near, best`` for each of ``words`` (``word, n``, distinct): the number of words at distance one, and the one of
-    largest ``n`` as ``(n, word)``, of ties the first in code-point order, or null.
+    """``word, n_near, best`` for those of ``words`` (``word, n``, distinct) that have a word at distance one: how many, and the
+    one of largest ``n`` as ``(m, word)`` with ``m`` its ``-n``, of ties the first in code-point order.
 
     The words become trie shards of bounded size, written to the shared folder. Shards are broadcast in blocks of at most
-    ``block_bytes``; each word's automaton meets every shard of a block, most of which it leaves at the root, and what
-    it finds is reduced in the task to a row for each word and block. A last grouping reduces over blocks.
+    ``block_bytes``; each word's automaton meets every shard of a block, most of which it leaves at the root. Being near is
+    mutual, so a word looks only for those with a character less, or a larger one in a place, and a pair counts for both. What a batch of words
+    finds is reduced in the task, and a last grouping reduces over batches and blocks.
     """
     spark = words.sparkSession
     shards = written(trie_shards(words, shard_words, shard_chars), "shards")
@@ -81,40 +82,45 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, shard_chars: in
             room = block_bytes
         blocks[-1].append(name)
         room -= size
-    dealt = dealt_evenly(words.select("word"))
+    dealt = dealt_evenly(words.select("word", "n"))
     found = []
     for block in blocks:
         rows = named.where(F.col("name").isin(block)).drop("name", "bytes").collect()
         shared = spark.sparkContext.broadcast([tuple(map(bytes, (r["text"].encode(), r["start"], r["depth"], r["skip"], r["n"]))) for r in rows])
-        found.append(written(dealt.mapInArrow(_visit(shared), "word string, n_near long, best_n long, best string"), "near"))
+        found.append(written(dealt.mapInArrow(_visit(shared), "word string, n_near long, m long, best string"), "near"))
         shared.destroy()
     drop_written(shards)
     if not found:
-        return words.select("word", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("struct<n:bigint,word:string>").alias("best"))
+        return words.select("word", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("struct<m:bigint,word:string>").alias("best"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    best = F.min(F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("word"))))
-    reduced = every.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
-    return reduced.select("word", "n_near", F.when(F.col("best").isNotNull(), F.struct((-F.col("best.m")).alias("n"), F.col("best.word").alias("word"))).alias("best"))
+    return every.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct("m", F.col("best").alias("word"))).alias("best"))
 
 
 def _visit(shared):
-    """Words against every shard of a broadcast block: ``word, n_near, best_n, best``."""
+    """Words against every shard of a broadcast block: ``word, n_near, m, best`` of either word of the pairs that a batch finds."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = [trie.Trie(text.decode(), *(memoryview(x).cast("I") for x in (start, depth, skip)), memoryview(n).cast("q"), {}) for text, start, depth, skip, n in shared.value]
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            n_near, best = [0] * len(words), [None] * len(words)
-            for text, start, depth, skip, n in shared.value:
-                shard = trie.Trie(text.decode(), *(np.frombuffer(x, np.uint32).tolist() for x in (start, depth, skip)), np.frombuffer(n, np.int64).tolist())
-                for i, word in enumerate(words):
-                    for k in trie.neighbours(shard, word):
-                        n_near[i] += 1
-                        this = (-shard.n[k], trie.word_at(shard, k))
-                        if best[i] is None or this < best[i]:
-                            best[i] = this
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_near, pa.int64()), pa.array([b and -b[0] for b in best], pa.int64()), pa.array([b and b[1] for b in best], pa.string())], names=["word", "n_near", "best_n", "best"])
+            own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            found: dict[str, list] = {}
+
+            def add(word: str, best: tuple[int, str], found: dict[str, list] = found) -> None:
+                if word not in found:
+                    found[word] = [1, best]
+                    return
+                found[word][0] += 1
+                found[word][1] = min(found[word][1], best)
+
+            for shard in shards:
+                for word, n in own:
+                    for k in trie.neighbours(shard, word, half=True):
+                        other = trie.word_at(shard, k)
+                        add(word, (-shard.n[k], other))
+                        add(other, (-n, word))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([b[0] for _, b in found.values()], pa.int64()), pa.array([b[1] for _, b in found.values()], pa.string())], names=["word", "n_near", "m", "best"])
 
     return task
 
@@ -145,9 +151,9 @@ def spelling_variants(words: DataFrame, ratio: int = 10, **limits: int) -> DataF
     if ratio < 2:
         raise ValueError("ratio must be 2 or more, else forms may go in circles")
     words = written(words.where("word is not null and word <> ''").select("word", F.col("n").cast("long").alias("n")), "words")
-    formed = F.col("best.n") >= F.col("n") * ratio
+    formed = -F.col("best.m") >= F.col("n") * ratio
     near = near_words(words, **limits)
-    forms = written(words.join(near, "word").select("word", "n", "n_near", F.when(formed, F.col("best.word")).alias("form"), F.when(formed, F.col("best.n")).alias("form_n")), "forms")
+    forms = written(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("best.word")).alias("form"), F.when(formed, -F.col("best.m")).alias("form_n")), "forms")
     drop_written(near)
     drop_written(words)
     return forms.join(follow_forms(forms, ratio), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
