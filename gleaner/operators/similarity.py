@@ -8,35 +8,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
-from gleaner.functions.vectors import doubles, dot, hamming, intersection, mean_difference, norm, share_over
-from gleaner.operators.blocks import block_pairs, map_blocks
+from gleaner.functions.vectors import doubles, hamming, hamming_words, intersection, mean_difference, norm, share_over
+from gleaner.operators.blocks import Space, near_pairs
+from gleaner.operators.graph import written
 
-#: Up to so many bits apart, hashes are found by turning bits over; up to seven, by bands of at least eight bits.
-TURNED, NARROWEST = 2, 8
-#: Vectors, and hashes, in a block.
-TILE, HASHES = 1024, 8192
+#: Up to so many bits apart, hashes of one word are found by turning bits over. Bands have at least so many bits, and hashes are
+#: looked up with up to one bit of a band turned over.
+TURNED, NARROWEST, RADIUS = 2, 16, 1
+#: Pairs of a tile that are finished one by one if they are fewer than all by this factor.
+FEW = 20
+#: Hashes that share a band; more are paired block by block.
+CROWD = 2048
 
 
 def hamming_pairs(df: DataFrame, key: str, hash_col: str, threshold: int, group: str | None = None, bits: int = 64) -> DataFrame:
     """``a, b, distance`` for each pair of rows whose hashes differ in at most ``threshold`` bits, ``a < b``.
 
-    With ``group``, only pairs of different groups. Null hashes are in no pair. Rows of one hash meet once, as members of
+    Hashes are longs, or arrays of longs for more bits than 64 (all of one length, ``bits`` being 64 for each). With
+    ``group``, only pairs of different groups. Null hashes, and arrays with nulls, are in no pair. Rows of one hash meet once, as members of
     one distinct hash, and distinct hashes are paired by one of three exact ways:
 
-    * up to two bits apart, an equi-join of the hashes with one bit turned over (on one side, or on both), which no
+    * longs up to two bits apart, by an equi-join of the hashes with one bit turned over (on one side, or on both), which no
       common part of the hashes can skew;
-    * of ``threshold + 1`` disjoint bands of bits at least one is equal in such a pair, so an equi-join on (band, bits)
-      finds all pairs, and each is verified;
-    * with so many bands that they select too little, blocks of hashes are compared in pairs; numbers of set bits that
-      differ by more than ``threshold`` tell blocks apart.
+    * by multi-index hashing: the bits are cut into ``m`` bands with ``m * (radius + 1) > threshold``, so in a near pair some
+      band differs in at most ``radius`` bits. An equi-join on (band, bits), one side with each bit of the band turned
+      over where the radius is 1, finds all pairs, and each is verified. Hashes that share a band with many others are paired
+      block by block instead, in groups of bounded size;
+    * where bands would have fewer than ``NARROWEST`` bits, which select too little, block by block.
     """
+    wide = isinstance(df.schema[hash_col].dataType, ArrayType)
     if not 0 <= threshold <= bits:
         raise ValueError(f"threshold must lie between 0 and {bits}")
+    if bits != 64 and not wide or bits % 64:
+        raise ValueError("hashes of other than 64 bits are arrays of longs")
     rows = df.where(F.col(hash_col).isNotNull() & F.col(key).isNotNull())
-    members = rows.select(F.col(key).alias("key"), F.col(hash_col).alias("h"), *([F.col(group).alias("g")] if group else []))
-    near = _near_hashes(members.select("h").distinct(), threshold, bits)
+    if wide:
+        rows = rows.where((F.size(hash_col) == bits // 64) & ~F.exists(hash_col, lambda x: x.isNull()))
+    members = written(rows.select(F.col(key).alias("key"), F.col(hash_col).alias("h"), *([F.col(group).alias("g")] if group else [])), "hashes")
+    near = _near_hashes(members.select("h").distinct(), threshold, bits, wide)
     left = members.select(F.col("key").alias("k1"), F.col("h").alias("x"), *([F.col("g").alias("g1")] if group else []))
     right = members.select(F.col("key").alias("k2"), F.col("h").alias("y"), *([F.col("g").alias("g2")] if group else []))
     pairs = near.join(left, "x").join(right, "y").where((F.col("x") < F.col("y")) | (F.col("k1") < F.col("k2")))
@@ -46,79 +57,140 @@ def hamming_pairs(df: DataFrame, key: str, hash_col: str, threshold: int, group:
     if group:
         first = F.col("k1") < F.col("k2")
         kept += [F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("group_a"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("group_b")]
-    return pairs.select(*kept, hamming(F.col("x"), F.col("y")).cast("int").alias("distance"))
+    return pairs.select(*kept, _bits_apart("x", "y", wide).cast("int").alias("distance"))
 
 
-def _near_hashes(hashes: DataFrame, threshold: int, bits: int) -> DataFrame:
+def _bits_apart(x: str, y: str, wide: bool) -> Column:
+    return hamming_words(F.col(x), F.col(y)) if wide else hamming(F.col(x), F.col(y))
+
+
+def bands(threshold: int, bits: int) -> tuple[int, int] | None:
+    """``m, radius`` of the least radius whose bands have at least ``NARROWEST`` bits, or none."""
+    for radius in range(RADIUS + 1):
+        m = threshold // (radius + 1) + 1
+        if bits // m >= NARROWEST:
+            return m, radius
+    return None
+
+
+def _near_hashes(hashes: DataFrame, threshold: int, bits: int, wide: bool) -> DataFrame:
     """``x, y`` with ``x <= y`` of the distinct hashes ``h`` at most ``threshold`` bits apart."""
     same = hashes.select(F.col("h").alias("x"), F.col("h").alias("y"))
-    close = (F.col("x") <= F.col("y")) & (hamming(F.col("x"), F.col("y")) <= threshold)
     if threshold == 0:
         return same
-    if threshold <= TURNED:
-        signed = [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(bits)]
+    if threshold <= TURNED and not wide:
+        close = (F.col("x") <= F.col("y")) & (hamming(F.col("x"), F.col("y")) <= threshold)
+        signed = [_signed(1 << b) for b in range(bits)]
         turned = lambda name: hashes.select(F.col("h").alias(name), F.explode(F.array(F.col("h"), *(F.col("h").bitwiseXOR(F.lit(b)) for b in signed))).alias("near"))
         other = turned("y") if threshold == 2 else hashes.select(F.col("h").alias("y"), F.col("h").alias("near"))
         return turned("x").join(other, "near").where(close).select("x", "y").distinct()
-    width = bits // (threshold + 1)
-    if width >= NARROWEST:
-        band = lambda k: F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", k * width).bitwiseAND((1 << (width if k < threshold else bits - threshold * width)) - 1 if k < threshold or bits - threshold * width < 63 else -1).alias("part"))
-        banded = hashes.select("h", F.explode(F.array(*map(band, range(threshold + 1)))).alias("b")).select("h", "b.band", "b.part")
-        return banded.withColumnRenamed("h", "x").join(banded.withColumnRenamed("h", "y"), ["band", "part"]).where(close).select("x", "y").distinct()
-
-    def compare(a: pa.StructArray, b: pa.StructArray | None) -> pa.RecordBatch:
-        x = a.field("h").to_numpy()
-        y = x if b is None else b.field("h").to_numpy()
-        found = []
-        for low in range(0, len(x), 256):  # 16 MB at once
-            i, j = np.nonzero(np.bitwise_count(x[low : low + 256, None].view(np.uint64) ^ y[None, :].view(np.uint64)) <= threshold)
-            found.append((x[low + i], y[j]))
-        p, q = (np.concatenate(z) for z in zip(*found, strict=True))
-        if b is None:
-            p, q = p[p < q], q[p < q]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["x", "y"])
-
-    pairs = block_pairs(hashes.select("h"), F.bit_count("h"), threshold, HASHES, "h")
-    return map_blocks(pairs, compare, "x long, y long").unionByName(same)
-
-
-def cosine_pairs(df: DataFrame, key: str, vector: str, above: float) -> DataFrame:
-    """``a, b, similarity`` for each pair of rows, ``a < b``, whose vectors have a cosine over ``above``.
-
-    Blocks of about ``TILE`` vectors are multiplied in pairs, each in one task, which returns the pairs over the threshold
-    only. Vectors are ordered by their angle to one of them, and two angles that differ by more than the threshold's own
-    tell blocks apart, which spares most products where the threshold is high. Null and zero vectors are in no pair.
+    if found := bands(threshold, bits):
+        return _banded(hashes, threshold, bits, wide, *found).unionByName(same)
+    return _paired(hashes, threshold, wide).unionByName(same)
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >= 1 << 63 else word
+
+
+def _parts(h: Column, low: int, high: int, wide: bool) -> list[Column]:
+    """The bits from ``low`` to ``high`` of a hash, as a column for each of its words that has some of them."""
+    out = []
+    for w in range(low // 64, -(-high // 64)):
+        a, b = max(low, 64 * w) - 64 * w, min(high, 64 * w + 64) - 64 * w
+        out.append((F.get(h, w) if wide else h).bitwiseAND(F.lit(_signed(((1 << (b - a)) - 1) << a)).cast("long")))
+    return out
+
+
+def _banded(hashes: DataFrame, threshold: int, bits: int, wide: bool, m: int, radius: int) -> DataFrame:
+    """``x, y``, ``x < y``, found by bands: those of few hashes by a join, those of many block by block."""
+    bounds = [bits * k // m for k in range(m + 1)]
+    cut = F.array(*(F.struct(F.lit(k).alias("band"), F.array(*_parts(F.col("h"), low, high, wide)).alias("parts"), F.lit(low).alias("low"), F.lit(high).alias("high")) for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))))
+    banded = hashes.select("h", F.explode(cut).alias("b")).select("h", "b.*")
+    part = lambda parts: F.xxhash64("band", parts).alias("part")  # noqa: E731  # bits that collide are told apart when pairs are verified
+    own = banded.select("h", "band", part("parts"))
+    reached = own
+    if radius:
+        turn = F.transform("parts", lambda p, i: F.when(F.expr("bit div 64 - low div 64") == i, p.bitwiseXOR(F.expr("shiftleft(1L, bit % 64)"))).otherwise(p))
+        reached = own.unionByName(banded.select("*", F.explode(F.sequence("low", F.col("high") - 1)).alias("bit")).select("h", "band", part(turn)))
+    counts = own.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    crowded = written(counts.where(F.col("n") > CROWD).select("band", "part"), "crowded")
+    close = (F.col("x") != F.col("y")) & (_bits_apart("x", "y", wide) <= threshold)
+    # either hash of a pair turns bits to reach the other, so a pair is left only if the bands of both are crowded
+    thin = own.withColumnRenamed("h", "y").join(crowded, ["band", "part"], "left_anti")
+    pairs = reached.withColumnRenamed("h", "x").join(thin, ["band", "part"]).where(close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    if crowded.isEmpty():
+        return pairs.distinct()
+    many = own.join(crowded, ["band", "part"], "left_semi").select("h").distinct()
+    return pairs.unionByName(_paired(many, threshold, wide)).distinct()
+
+
+def _paired(hashes: DataFrame, threshold: int, wide: bool) -> DataFrame:
+    """``x, y``, ``x < y``, of distinct hashes, block by block."""
+
+    def items(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        flat = _flat(column).to_numpy(zero_copy_only=False) if wide else np.asarray(column)
+        return np.ascontiguousarray(flat.reshape(len(column), -1)).view(np.uint64)
+
+    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(y)), np.float32)
+        for w in range(x.shape[1]):
+            out += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+        return out
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        if x.shape[1] > 1:  # what differs too much in the first word needs no other
+            i, j = np.nonzero(distances(x[:, :1], y[:, :1]) <= threshold)
+            far = np.bitwise_count(x[i] ^ y[j]).sum(1)
+            return i[far <= threshold], j[far <= threshold], far[far <= threshold], len(i)
+        far = distances(x, y)
+        i, j = np.nonzero(far <= threshold)
+        return i, j, far[i, j], far.size
+
+    space = Space(items, distances, near, threshold)
+    if not wide:
+        return near_pairs(hashes.select(F.col("h").alias("key"), F.col("h").alias("item")), space).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    named = hashes.select(F.array_join(F.transform("h", lambda x: F.hex(x)), ",").alias("key"), F.col("h").alias("item"))
+    hash_of = lambda c: F.transform(F.split(c, ","), lambda x: F.conv(x, 16, -10).cast("long"))
+    found = near_pairs(named, space).select(hash_of("a").alias("a"), hash_of("b").alias("b"))
+    return found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten()
+
+
+def cosine_pairs(df: DataFrame, key: str, vector: str, above: float, count: bool = False) -> DataFrame:
+    """``a, b, similarity`` for each pair of rows, ``a < b``, whose vectors have a cosine over ``above``; keys are distinct.
+
+    Vectors are points of the sphere, their angles a metric, and blocks of them are multiplied in pairs; pivots tell apart
+    what is too far (see ``near_pairs``); so does the product of a quarter or a half of two vectors, with the lengths of the rest. Null and zero vectors are in no pair. With ``count``, ``compared`` for each pair of
+    blocks instead.
     """
     v = doubles(vector)
-    rows = df.where(F.col(key).isNotNull() & (norm(v) > 0) & (norm(v) < float("inf"))).select(F.col(key).alias("key"), v.alias("v"))
-    pivot = rows.agg(F.min(F.struct("key", "v")).alias("p")).first()["p"]
-    kind = rows.schema["key"].dataType
-    schema = f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double"
-    if pivot is None:
-        return df.sparkSession.createDataFrame([], schema)
-    arrow = to_arrow_type(kind)
-    p = F.array(*map(F.lit, pivot["v"])).cast("array<double>")
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(F.col("v"), p), norm(F.col("v")) * norm(p)))))
-
-    def unit(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        x = block.field("v")
-        x = x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()].reshape(len(block), -1)
-        return np.array(block.field("key")), x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def compare(a: pa.StructArray, b: pa.StructArray | None) -> pa.RecordBatch:
-        k1, x = unit(a)
-        k2, y = (k1, x) if b is None else unit(b)
-        similar = x @ y.T
+    rows = df.where(F.col(key).isNotNull() & (norm(v) > 0) & (norm(v) < float("inf"))).select(F.col(key).alias("key"), v.alias("item"))
+
+    def items(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        x = _flat(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        size = x.shape[1]
+        similar = np.zeros((len(x), len(y)))
+        for low, high in ((0, size // 4), (size // 4, size // 2), (size // 2, size)):
+            similar += x[:, low:high] @ y[:, low:high].T
+            if high < size:  # what is left of two vectors adds the product of its lengths at most
+                i, j = np.nonzero(similar > above - 1e-9 - np.outer(np.linalg.norm(x[:, high:], axis=1), np.linalg.norm(y[:, high:], axis=1)))
+                if len(i) * FEW < similar.size:
+                    s = similar[i, j] + np.einsum("ij,ij->i", x[i, high:], y[j, high:])
+                    return i[s > above], j[s > above], s[s > above], len(i)
         i, j = np.nonzero(similar > above)
-        p, q, s = k1[i], k2[j], similar[i, j]
-        if b is None:
-            keep = p < q
-            p, q, s = p[keep], q[keep], s[keep]
-        less = p < q
-        return pa.RecordBatch.from_arrays([pa.array(np.where(less, p, q), arrow), pa.array(np.where(less, q, p), arrow), pa.array(s)], names=["a", "b", "similarity"])
-
-    width = math.acos(max(-1.0, min(1.0, above))) + 1e-6
-    return map_blocks(block_pairs(rows, angle, width, TILE, "key"), compare, schema)
+        return i, j, similar[i, j], similar.size
+
+    space = Space(items, lambda x, y: np.arccos(np.clip(x @ y.T, -1.0, 1.0)), near, math.acos(max(-1.0, min(1.0, above))) + 1e-6)
+    found = near_pairs(rows, space, count)
+    return found if count else found.withColumnRenamed("value", "similarity")
 
 
 def verified_pairs(pairs: DataFrame, features: DataFrame, key: str, histogram: str, gray: str, channels: int = 1, least_histogram: float = 0.80, most_difference: float = 10.0, pixel_difference: float = 15.0, most_pixels: float = 0.005) -> DataFrame:

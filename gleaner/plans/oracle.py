@@ -17,6 +17,23 @@ _CROSS = f"""{_HASHES}, pairs AS (
         FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE bit_count(xor(a.hash, b.hash)) <= 18
     )"""
 
+_GRIDS = r"""
+    words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS word FROM documents),
+    cells AS (SELECT doc_id, ((unicode(word) * 31 + length(word) * 7) % 272)::INTEGER AS cell, count(*)::BIGINT AS n FROM words GROUP BY ALL),
+    maps AS (SELECT doc_id, map_from_entries(list((cell, n))) AS m FROM cells GROUP BY doc_id),
+    grids AS (SELECT doc_id, list_transform(range(0, 272), lambda i: coalesce(m[i::INTEGER], 0)) AS g FROM maps),
+    wide AS (
+        SELECT doc_id, list_transform(range(0, 256), lambda k: CASE WHEN g[(k // 16) * 17 + k % 16 + 2] > g[(k // 16) * 17 + k % 16 + 1] THEN 1 ELSE 0 END) AS bits FROM grids
+    ), hashed AS (
+        SELECT doc_id, list_transform(range(0, 4), lambda w: array_to_string(bits[w * 64 + 1 : w * 64 + 64], '')::BIT) AS words FROM wide
+    )"""
+
+
+def _near_grids(words: int, threshold: int) -> str:
+    apart = " + ".join(f"bit_count(xor(a.words[{w}], b.words[{w}]))" for w in range(1, words + 1))
+    return f"WITH {_GRIDS} SELECT a.doc_id AS a, b.doc_id AS b, ({apart})::INTEGER AS distance FROM hashed a JOIN hashed b ON a.doc_id < b.doc_id WHERE {apart} <= {threshold}"
+
+
 _COSINE = """
     alike AS (
         SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity
@@ -125,6 +142,10 @@ ORACLE: dict[str, str] = {
         WITH {_RANKED}, sizes AS (SELECT hash, count(*) AS n, sum(bytes) FILTER (WHERE rank > 1) AS b FROM ranked GROUP BY hash HAVING count(*) > 1)
         SELECT count(*)::BIGINT AS n_groups, coalesce(sum(n - 1), 0)::BIGINT AS n_redundant, coalesce(sum(b), 0)::BIGINT AS redundant_bytes FROM sizes""",
     "dhash_vectors": f"WITH {_HASHES} SELECT vec_id, hash FROM hashes",
+    "hamming_wide": _near_grids(4, 10),
+    "hamming_wide_close": _near_grids(4, 2),
+    "hamming_wide_turned": _near_grids(4, 20),
+    "hamming_pairs_indexed": _near_grids(1, 6),
     "hamming_pairs": f"""
         WITH {_HASHES} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.hash, b.hash))::INTEGER AS distance
         FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 14""",

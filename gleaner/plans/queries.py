@@ -70,6 +70,41 @@ def hamming_pairs_banded(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.hamming_pairs(hashes, "c_custkey", "hash", 1)
 
 
+def _grids(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's words counted in 272 cells by first letter and length, as a grid of 16 rows, and its hash of 256 bits."""
+    docs = table(spark, folder, "documents")
+    words = docs.select("doc_id", F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("word"))
+    cell = ((F.ascii("word") * 31 + F.length("word") * 7) % 272).cast("int")
+    counts = words.groupBy("doc_id", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    grids = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("n"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(271)), lambda i: F.coalesce(F.element_at("n", i), F.lit(0)))
+    return grids.select("doc_id", F.element_at(F.transform(F.array(grid), lambda g: vectors.grid_hash(g, 16)), 1).alias("hash"))
+
+
+@query
+def hamming_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """256-bit hashes at most 10 bits apart: 11 bands, equal in one."""
+    return similarity.hamming_pairs(_grids(spark, folder), "doc_id", "hash", 10, bits=256)
+
+
+@query
+def hamming_wide_close(spark: SparkSession, folder: str) -> DataFrame:
+    """256-bit hashes at most 2 bits apart: three bands, each over more than one word."""
+    return similarity.hamming_pairs(_grids(spark, folder), "doc_id", "hash", 2, bits=256)
+
+
+@query
+def hamming_wide_turned(spark: SparkSession, folder: str) -> DataFrame:
+    """256-bit hashes at most 20 bits apart: 11 bands, one bit apart in one."""
+    return similarity.hamming_pairs(_grids(spark, folder), "doc_id", "hash", 20, bits=256)
+
+
+@query
+def hamming_pairs_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """64-bit hashes at most 6 bits apart: four bands of 16 bits, one bit apart in one."""
+    return similarity.hamming_pairs(_grids(spark, folder).select("doc_id", F.get("hash", 0).alias("hash")), "doc_id", "hash", 6)
+
+
 @query
 def hamming_pairs_cross_group(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.hamming_pairs(_hashes(spark, folder), "vec_id", "hash", 18, group="label").select("a", "b", "distance")

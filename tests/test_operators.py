@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import images, media, text, vectors
 from gleaner.functions.ranges import range_of
-from gleaner.operators import classify, membership, quality, ranking, similarity
+from gleaner.operators import blocks, classify, membership, quality, ranking, similarity
 from gleaner.operators.cluster import cluster_complete_linkage, cosine_components
 from gleaner.operators.graph import connected_components
 from gleaner.operators.phrases import phrase_rank, phrase_report
@@ -41,7 +41,42 @@ def test_components(spark, edges):
         assert {r.node: r.component for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("threshold", [0, 1, 2, 4, 14])
+@pytest.mark.parametrize(("threshold", "crowd"), [(0, 2048), (2, 2048), (2, 3), (10, 4), (20, 2048), (20, 5), (40, 2048)])
+def test_wide_hashes_are_all_paired(spark, monkeypatch, threshold, crowd):
+    """256 bits: bands within and across words, with a bit turned over, of crowds, and none at all."""
+    monkeypatch.setattr(similarity, "CROWD", crowd)
+    r = random.Random(threshold)
+    base = [r.getrandbits(256) for _ in range(12)] + [r.getrandbits(64) << 192, 1 << 255]
+    hashes = [h ^ sum(1 << b for b in r.sample(range(256), r.randrange(0, 24))) for h in base for _ in range(9)] + base + base[:3]
+    words = lambda h: [(lambda w: w - (1 << 64) if w >> 63 else w)(h >> 64 * k & (1 << 64) - 1) for k in range(4)]
+    want = {(i, j): (hashes[i] ^ hashes[j]).bit_count() for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (hashes[i] ^ hashes[j]).bit_count() <= threshold}
+    df = spark.createDataFrame([*((k, words(h)) for k, h in enumerate(hashes)), (900, None), (901, [1, None, 2, 3]), (902, [1])], "k long, h array<long>")
+    got = [((p.a, p.b), p.distance) for p in similarity.hamming_pairs(df, "k", "h", threshold, bits=256).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_bands_hold_the_pigeonhole_rule():
+    for bits in (64, 256):
+        for t in range(1, 60):
+            found = similarity.bands(t, bits)
+            assert found is None or found[0] * (found[1] + 1) > t and bits // found[0] >= similarity.NARROWEST
+    assert similarity.bands(2, 256) == (3, 0) and similarity.bands(10, 256) == (11, 0) and similarity.bands(20, 256) == (11, 1) and similarity.bands(6, 64) == (4, 1) and similarity.bands(14, 64) is None
+
+
+def test_fewer_pairs_are_compared_at_higher_thresholds(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    n = e.count()
+    shares = [similarity.cosine_pairs(e, "vec_id", "embedding", t, count=True).agg(F.sum("compared")).first()[0] / (n * (n - 1) / 2) for t in (0.4, 0.8, 0.95)]
+    assert shares[0] > 0.9 and shares[1] < 0.05 and shares[2] < 0.05
+
+
+def test_blocks_are_as_few_as_their_rows_need(spark):
+    """2000 vectors of 64 doubles are one block, so one pair of blocks."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert similarity.cosine_pairs(e, "vec_id", "embedding", 0.4, count=True).count() == 1
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 2, 4, 7, 14])
 def test_banded_pairs_are_all_pairs(spark, threshold):
     r = random.Random(threshold)
     base = [r.getrandbits(64) for _ in range(30)]
@@ -299,8 +334,8 @@ def test_ranks_in_groups_of_any_size(spark):
 
 
 def test_blocks_hold_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "TILE", 16)
-    monkeypatch.setattr(similarity, "HASHES", 16)
+    monkeypatch.setattr(blocks, "TILE", 16)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 100)
     r = random.Random(2)
     vectors_ = [[r.gauss(0, 1) for _ in range(4)] for _ in range(150)]
     rows = [(k, v) for k, v in enumerate([*vectors_, *[vectors_[0]] * 40])] + [(900, [0.0] * 4), (901, None)]
