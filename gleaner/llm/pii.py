@@ -34,14 +34,14 @@ _NUMBERS = re.compile(r"\+?\(?[0-9](?:[\x20().+-]{0,3}[0-9])*+")
 _AT = re.compile(r"@|\(at\)|\[at\]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 #: Long runs of letters and digits, which may be secrets if they hold both; such stretches are cut into whole words.
-_RUN = re.compile(r"[A-Za-z0-9]{12,128}+(?![A-Za-z0-9])")
+_RUN = re.compile(r"[A-Za-z0-9]{12,}+")
 _WORD = re.compile(r"[A-Za-z0-9]+|.", re.S)
 _JOINED = frozenset("_-/+=.")
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|bearer|credential)[\w-]*[\x20\"']*[=:\x20]*[\x20\"']*$")
 #: Tokens of one entity at most; the dynamic program looks back no further.
 LONGEST = 24
 REACH = 64
-#: Characters of a secret at most, and in front of it that are looked at.
+#: Characters of a secret of several words at most (one word may have any length), and in front of it that are looked at.
 SECRET, BEFORE = 128, 24
 
 
@@ -110,18 +110,19 @@ def regions(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _secret_regions(text: str) -> list[tuple[int, int]]:
+    """Runs of letters and digits with all that is joined to them, each looked at once."""
     out: list[tuple[int, int]] = []
+    belongs = lambda c: c in _JOINED or c.isascii() and c.isalnum()
     for m in _RUN.finditer(text):
-        if _mixed(m.group()) and not (m.start() and text[m.start() - 1].isalnum()):
-            low, high = m.start(), m.end()
-            while low > 0 and m.start() - low < SECRET and (text[low - 1] in _JOINED or text[low - 1].isascii() and text[low - 1].isalnum()):
-                low -= 1
-            while high < len(text) and high - m.end() < SECRET and (text[high] in _JOINED or text[high].isascii() and text[high].isalnum()):
-                high += 1
-            if out and low < out[-1][1]:
-                out[-1] = (out[-1][0], max(high, out[-1][1]))
-            else:
-                out.append((low, high))
+        known = out[-1][1] if out else 0
+        if m.end() <= known or not _mixed(m.group()) or m.start() and text[m.start() - 1].isalnum():
+            continue
+        low, high = m.start(), m.end()
+        while low > known and belongs(text[low - 1]):
+            low -= 1
+        while high < len(text) and belongs(text[high]):
+            high += 1
+        out.append((low, high))
     return out
 
 
@@ -197,7 +198,7 @@ def _secret_lattice(text: str, low: int, high: int) -> tuple[list[tuple[int, int
                 if text[a] in _JOINED:
                     continue
                 break
-            if b - a > SECRET:
+            if b - a > SECRET and i < j - 1:
                 break
             if b - a >= 12 and _mixed(re.sub("[^A-Za-z0-9]", "", text[a:b])):
                 ends.setdefault(j, []).append((i, _look_secret(text, a, b)))
