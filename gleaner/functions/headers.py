@@ -50,20 +50,30 @@ def header_size(data: bytes | None) -> tuple[int, int] | None:
     return None
 
 
+def _exif(data: bytes) -> bytes:
+    """The EXIF block of a JPEG or PNG, from its TIFF header on; empty where there is none."""
+    if data[:2] == b"\xff\xd8":
+        return next((body[6:] for marker, body in _segments(data) if marker == 0xE1 and body[:6] == b"Exif\0\0"), b"")
+    at = 8
+    while data[:8] == b"\x89PNG\r\n\x1a\n" and at + 8 <= len(data):
+        size, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if name == b"eXIf":
+            return data[at + 8 : at + 8 + size]
+        at += 12 + size
+    return b""
+
+
 def orientation(data: bytes | None) -> int:
-    """The EXIF orientation of a JPEG, 1 to 8; 1 where there is none."""
-    if not data or data[:2] != b"\xff\xd8":
-        return 1
-    for marker, body in _segments(data):
-        if marker == 0xE1 and body[:6] == b"Exif\0\0" and len(body) >= 14:
-            tiff, order = body[6:], ">" if body[6:8] == b"MM" else "<"
-            try:
-                (at,) = struct.unpack(order + "I", tiff[4:8])
-                (n,) = struct.unpack(order + "H", tiff[at : at + 2])
-                for k in range(n):
-                    tag, _, _, value = struct.unpack(order + "HHIH", tiff[at + 2 + 12 * k : at + 12 + 12 * k])
-                    if tag == ORIENTATION and 1 <= value <= 8:
-                        return value
-            except struct.error:
-                return 1
+    """The EXIF orientation of a JPEG or PNG, 1 to 8; 1 where there is none."""
+    tiff = _exif(data) if data else b""
+    order = ">" if tiff[:2] == b"MM" else "<"
+    try:
+        (at,) = struct.unpack(order + "I", tiff[4:8])
+        (n,) = struct.unpack(order + "H", tiff[at : at + 2])
+        for k in range(n):
+            tag, _, _, value = struct.unpack(order + "HHIH", tiff[at + 2 + 12 * k : at + 12 + 12 * k])
+            if tag == ORIENTATION and 1 <= value <= 8:
+                return value
+    except struct.error:
+        pass
     return 1

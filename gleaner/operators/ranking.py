@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import folded
 from gleaner.operators.graph import cut, written
 
+#: Rows of a group that a window ranks in one task; larger groups are ranked in ranges.
+HOT = 1_000_000
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """``df`` with its 1-based rank in a total order.
@@ -24,13 +27,29 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return sorted_.join(F.broadcast(offsets), "part__").withColumn(name, inner + F.col("offset__")).drop("part__", "offset__")
 
 
-def group_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """``df`` with its 1-based rank within its group, which may be of any size.
+def group_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", hot: int = HOT) -> DataFrame:
+    """``df`` with its 1-based rank within its group, which may be of any size. ``order`` should end with a unique column.
 
-    The rows are range partitioned by group and order and written once. A partition ranks its own rows; only its first group can have
-    begun in partitions before it, and how far comes in a table of at most a row for each partition. ``order`` should end
-    with a unique column.
+    Groups of up to ``hot`` rows are ranked by a window, which shuffles the rows once and writes nothing. Larger ones, found by a
+    count of the group columns alone, are ranked in ranges, so that no task gets more than a range of them.
     """
+    window = Window.partitionBy(*(F.col(f"`{g}`") for g in group)).orderBy(*order)
+    names = [f"key{i}__" for i in range(len(group))]
+    keys = [F.col(f"`{g}`").alias(k) for g, k in zip(group, names, strict=True)]
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__")).where(F.col("n__") > hot).select(*names)
+    if large.isEmpty():
+        return df.withColumn(name, F.row_number().over(window))
+    large = written(large, "large")
+    same = F.lit(True)
+    for g, k in zip(group, names, strict=True):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(k))
+    small = df.join(large, same, "left_anti").withColumn(name, F.row_number().over(window))
+    return small.unionByName(_ranked_in_ranges(df.join(large, same, "left_semi"), group, order, name))
+
+
+def _ranked_in_ranges(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """The rows are range partitioned by group and order and written once. A partition ranks its own rows; only its first group can
+    have begun in partitions before it, and how far comes in a table of at most a row for each partition."""
     ranged = written(df.repartitionByRange(*(F.col(f"`{g}`").asc() for g in group), *order).withColumn("part__", F.spark_partition_id()), "ranged")
     keys = [F.col(f"`{g}`").alias(f"key{i}__") for i, g in enumerate(group)]
     names = [f"key{i}__" for i in range(len(group))]

@@ -284,13 +284,14 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT label::VARCHAR FROM (SELECT group_a AS label FROM pairs UNION SELECT group_b FROM pairs)
         UNION ALL SELECT array_to_string(list_sort([group_a::VARCHAR, group_b::VARCHAR]), ' <-> ') || ': ' || count(*) FROM pairs GROUP BY list_sort([group_a::VARCHAR, group_b::VARCHAR])""",
     "prediction_report": f"""
-        WITH {_PREDICTED} SELECT '"v/' || printf('%06d', vec_id) || '.png",' || predicted || ',' || printf('%.4f', CASE WHEN predicted = 0 THEN p ELSE 1 - p END) || ',' || printf('%.4f', sim_positive) || ',' || printf('%.4f', sim_negative) AS value FROM judged""",
+        WITH {_PREDICTED} SELECT 'filepath,predicted_label,confidence,similarity_illust,similarity_photo' AS value UNION ALL SELECT '"v/' || printf('%06d', vec_id) || '.png",' || predicted || ',' || printf('%.4f', CASE WHEN predicted = 0 THEN p ELSE 1 - p END) || ',' || printf('%.4f', sim_positive) || ',' || printf('%.4f', sim_negative) AS value FROM judged""",
     "scan_images_recursive": f"WITH {_DRAWN} SELECT filename, lower(ext) AS ext, vec_id FROM drawn WHERE ext <> '.txt'",
     "scan_images_flat": f"""
         WITH {_DRAWN}, flat AS (SELECT filename FROM drawn WHERE ext <> '.txt' AND label = 0)
         SELECT filename, 'folder' AS given FROM flat UNION ALL SELECT min(filename), 'file' FROM flat""",
     "scan_by_folder": f"WITH {_DRAWN} SELECT filename, sub AS top_folder, sub AS own_folder FROM drawn WHERE ext <> '.txt' AND label > 1",
     "image_header_sizes": f"WITH {_DRAWN} SELECT vec_id, CASE WHEN NOT broken THEN 9 END::INTEGER AS width, CASE WHEN NOT broken THEN 8 END::INTEGER AS height, CASE WHEN NOT broken THEN 1 END::INTEGER AS orientation FROM drawn",
+    "converted_images": f"WITH {_DRAWN} SELECT vec_id, NOT broken AS converted, CASE WHEN NOT broken THEN 9 END::INTEGER AS width, CASE WHEN NOT broken THEN 8 END::INTEGER AS height, CASE WHEN NOT broken THEN true END AS alike, NOT broken AS gone FROM drawn WHERE lower(ext) = '.png'",
     "image_features": f"""
         WITH {_DRAWN} SELECT vec_id, 9::INTEGER AS width, 8::INTEGER AS height,
             list_sum(list_transform(range(0, 64), lambda i: CASE WHEN s[i // 8 * 9 + i % 8 + 2] > s[i // 8 * 9 + i % 8 + 1] THEN CASE WHEN i = 0 THEN -9223372036854775808 ELSE 1::BIGINT << (63 - i) END ELSE 0 END))::BIGINT AS hash,
@@ -301,7 +302,7 @@ ORACLE: dict[str, str] = {
         SELECT CASE WHEN k = 1 THEN 'move' ELSE 'error' END AS action, (count(*) FILTER (k = 1))::BIGINT AS processed, (count(*) FILTER (k > 1))::BIGINT AS skipped, 0::BIGINT AS failed FROM named GROUP BY k = 1""",
     "csv_report": r"""
         SELECT chr(65279) || 's_suppkey,name,nation' AS value
-        UNION ALL SELECT s_suppkey || ',"a, \"' || s_name || '",' || CASE WHEN s_nationkey > 3 THEN s_nationkey::VARCHAR ELSE '' END FROM supplier""",
+        UNION ALL SELECT s_suppkey || ',"say ""a"", ' || CASE WHEN s_suppkey % 3 = 0 THEN chr(10) ELSE '' END || s_name || '",' || CASE WHEN s_nationkey > 3 THEN s_nationkey::VARCHAR ELSE '' END FROM supplier""",
     "saved_model": f"""
         WITH {_PREDICTED.replace('p.label = 0', 'p.label = 2').replace('n.label = 1', 'n.label = 3').replace('THEN 0 ELSE 1 END', 'THEN 2 ELSE 3 END')}
         SELECT vec_id, predicted::INTEGER AS predicted, round(CASE WHEN predicted = 2 THEN p ELSE 1 - p END, 6) AS confidence FROM judged""",

@@ -12,7 +12,7 @@ from gleaner.functions import media, text, vectors
 from gleaner.functions.images import apply_layers, with_features
 from gleaner.operators import classify, membership, phrases, quality, ranking, similarity
 from gleaner.operators.cluster import cluster_complete_linkage, cosine_components, equal_links, first_of_equal
-from gleaner.operators.graph import connected_components, cut, shared_folder
+from gleaner.operators.graph import connected_components, cut, shared_folder, written
 from gleaner.sinks import actions, reports
 from gleaner.sinks.images import encoded, local_path, write_files
 from gleaner.sources import pages as html
@@ -529,10 +529,31 @@ def moved_images(spark: SparkSession, folder: str) -> DataFrame:
     return actions.outcome_counts(cut(actions.carry_out(plan)))
 
 
+@query
+def converted_images(spark: SparkSession, folder: str) -> DataFrame:
+    """PNG files are converted to JPEG and read again: their size, whether no sample is far from the original's, and whether the
+    source is gone. What cannot be decoded stays and is an error."""
+    root, files = _drawn(spark, folder)
+    failed = write_files(files).where("error is not null").first()
+    if failed is not None:
+        raise OSError(failed["error"])
+    own = scan_files(spark, root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    plan = actions.convert_plan(own).where("action = 'convert'")
+    before = written(scan_images(spark, root))
+    done, _ = actions.carried_out(plan, before)
+    old = before.select(_number().alias("vec_id"), "channels", F.col("data").alias("old"))
+    now = scan_images(spark, root).where(F.endswith("path", F.lit(".jpg"))).select(_number().alias("vec_id"), "width", "height", F.col("data").alias("new"))
+    at = lambda data, i: F.conv(F.substr(F.hex(data), (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    over = F.when(F.col("channels") == 4, F.floor(at("old", F.lit(0)) * at("old", F.lit(3)) / 255 + 255 - at("old", F.lit(3)) + 0.5)).otherwise(at("old", F.lit(0)))
+    both = done.select(_number("src").alias("vec_id"), F.col("error").isNull().alias("converted")).join(old, "vec_id").join(now, "vec_id", "left")
+    left = scan_files(spark, root).where("ext = '.png'").select(_number().alias("vec_id"), F.lit(False).alias("gone"))
+    return both.join(left, "vec_id", "left").select("vec_id", "converted", F.when(F.col("converted"), F.col("width")).alias("width"), F.when(F.col("converted"), F.col("height")).alias("height"), F.when(F.col("converted"), F.abs(at("new", F.lit(0)) - over) <= 24).alias("alike"), F.coalesce("gone", F.lit(True)).alias("gone"))
+
+
 @query
 def csv_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of a CSV file with a byte order mark."""
-    return reports.csv_lines(table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit("a, \""), "s_name").alias("name"), F.when(F.col("s_nationkey") > 3, F.col("s_nationkey")).alias("nation")))
+    """Lines of a CSV file with a byte order mark; names hold quotes and commas, some of them line breaks."""
+    return reports.csv_lines(table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit("say \"a\", "), F.when(F.col("s_suppkey") % 3 == 0, F.lit("\n")).otherwise(F.lit("")), "s_name").alias("name"), F.when(F.col("s_nationkey") > 3, F.col("s_nationkey")).alias("nation")))
 
 
 @query

@@ -7,15 +7,20 @@ import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gleaner.functions.images import oriented, to_rgb
+from gleaner.functions.jpeg import jpeg
 from gleaner.functions.text import base_name, with_extension
 from gleaner.operators.graph import written
 from gleaner.operators.ranking import group_rank
+from gleaner.sinks.images import write_file
 from gleaner.sources.files import convert_action
 
 POLICIES = ("suffix", "overwrite", "error")
+#: Actions that leave files as they are.
+IDLE = ("error", "keep", "dryrun")
 
 
 def plan(files: DataFrame, target_dir: str | Column, action: str | Column, name: Column | None = None) -> DataFrame:
@@ -69,10 +74,16 @@ def convert_plan(files: DataFrame) -> DataFrame:
     return without_collisions(todo, files.select(path.alias("dst")), "error")
 
 
-def carry_out(planned: DataFrame) -> DataFrame:
-    """Copies, moves and deletes local or mounted files, a row each; returns ``src, dst, action, error``.
+def carry_out(planned: DataFrame, images: DataFrame | None = None, orientations: DataFrame | None = None, quality: int = 85) -> DataFrame:
+    """Does what ``planned`` (``src, dst, action``) says with local or mounted files, a row each; returns ``src, dst, action, error``.
 
-    A file that is gone because an earlier attempt of the task moved it is no error, so a lost task can run again.
+    ``move``, ``rename``, ``copy`` and ``delete`` are done in the tasks. ``convert`` takes the decoded image of ``src`` from ``images``
+    (``scan_images``), turns it by ``orientations`` (``path, orientation``, as ``header_sizes`` finds it), lays it over white,
+    writes it as JPEG and then removes the source; a target that exists, or an image that cannot be read, is an error of that
+    row and its source stays. ``error``, ``keep`` and ``dryrun`` do nothing, any other action is an error.
+
+    The plan is written down first. A file that is gone because an earlier attempt of the task moved it is no error, so a lost
+    task can run again.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +91,34 @@ def carry_out(planned: DataFrame) -> DataFrame:
             errors = [_do(*row.values()) for row in batch.select(["src", "dst", "action"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(errors, pa.string())], names=["src", "dst", "action", "error"])
 
-    return planned.select("src", "dst", "action").mapInArrow(task, "src string, dst string, action string, error string")
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one image at a time
+                r = batch.slice(k, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_pydict({"src": [r["src"]], "dst": [r["dst"]], "action": ["convert"], "error": pa.array([_convert(**r, quality=quality)], pa.string())})
+
+    schema = "src string, dst string, action string, error string"
+    todo = written(planned.select("src", "dst", "action"), "todo")  # a plan made from a scan cannot be made again once files are gone
+    if images is None:
+        return todo.mapInArrow(task, schema)
+    local = F.regexp_replace("path", "^file:/+", "/")
+    decoded = images.select(local.alias("src"), "width", "height", "channels", "data")
+    turned = orientations.select(local.alias("src"), "orientation") if orientations is not None else decoded.select("src", F.lit(1).alias("orientation")).limit(0)
+    rows = todo.where("action = 'convert'").drop("action").join(decoded, "src", "left").join(turned, "src", "left").select("src", "dst", "width", "height", "channels", "data", "orientation")
+    return todo.where("action is null or action <> 'convert'").mapInArrow(task, schema).unionByName(rows.mapInArrow(convert, schema))
+
+
+def carried_out(planned: DataFrame, images: DataFrame | None = None, orientations: DataFrame | None = None, quality: int = 85) -> tuple[DataFrame, dict[str, int]]:
+    """What ``carry_out`` returns, done and written, and how many rows were ``processed``, ``skipped`` and ``failed``, counted while
+    they were done."""
+    seen, skipped = Observation("outcome"), F.col("action").isin(*IDLE)
+    done = carry_out(planned, images, orientations, quality).observe(seen, F.count_if(~skipped & F.col("error").isNull()).alias("processed"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & F.col("error").isNotNull()).alias("failed"))
+    return written(done, "done"), seen.get
 
 
 def outcome_counts(done: DataFrame) -> DataFrame:
-    """``action, processed, skipped, failed`` of what ``carry_out`` returned: ``error`` rows of a plan were skipped."""
-    skipped = F.col("action") == "error"
+    """``action, processed, skipped, failed`` of what ``carry_out`` returned: rows of a plan that do nothing were skipped."""
+    skipped = F.col("action").isin(*IDLE)
     return done.groupBy("action").agg(F.count_if(~skipped & F.col("error").isNull()).alias("processed"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & F.col("error").isNotNull()).alias("failed"))
 
 
@@ -96,11 +129,30 @@ def _do(src: str, dst: str, action: str) -> str | None:
                 return None
             os.makedirs(os.path.dirname(dst), exist_ok=True)
             (shutil.copy2 if action == "copy" else shutil.move)(src, dst)
-        elif action == "delete" and os.path.exists(src):
-            os.remove(src)
+        elif action == "delete":
+            if os.path.exists(src):
+                os.remove(src)
+        elif action == "convert":
+            return "images are needed to convert"
+        elif action not in IDLE:
+            return f"unknown action {action}"
     except OSError as e:
         return str(e)
     return None
 
 
-
+def _convert(src: str, dst: str, width: int | None, height: int | None, channels: int | None, data: bytes | None, orientation: int | None, quality: int) -> str | None:
+    try:
+        if not os.path.exists(src) and os.path.exists(dst):
+            return None
+        if os.path.exists(dst):
+            return f"{dst} exists"
+        if data is None:
+            return "not a readable image"
+        content = jpeg(oriented(to_rgb(data, height, width, channels), orientation or 1), quality)
+        if error := write_file(dst, content):
+            return error
+        os.remove(src)
+    except (OSError, ValueError) as e:
+        return str(e)
+    return None

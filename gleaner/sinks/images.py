@@ -7,9 +7,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gleaner.functions.jpeg import jpeg
+
 # PNG's colour types for gray, RGB and RGBA.
 COLOUR_TYPES = {1: 0, 3: 2, 4: 6}
 
@@ -42,13 +45,13 @@ def write_files(files: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            errors = [_write(local_path(p), c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            errors = [write_file(local_path(p), c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.string())], names=["path", "error"])
 
     return files.select("path", "content").mapInArrow(task, "path string, error string")
 
 
-def _write(path: str, content: bytes) -> str | None:
+def write_file(path: str, content: bytes) -> str | None:
     try:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         part = f"{path}.{os.getpid()}.part"
@@ -60,12 +63,22 @@ def _write(path: str, content: bytes) -> str | None:
     return None
 
 
-def encoded(rasters: DataFrame) -> DataFrame:
-    """``path, content``: rasters (path, width, height, channels, data) as PNG files."""
+def encoded(rasters: DataFrame, by_name: bool = False, quality: int = 85) -> DataFrame:
+    """``path, content``: rasters (path, width, height, channels, data in the order gray, RGB or RGBA) as PNG files.
+
+    With ``by_name``, as JPEG files where the path ends in .jpg or .jpeg; those have no alpha, and gray is as three equal colours.
+    """
+
+    def one(path: str, width: int, height: int, channels: int, data: bytes) -> bytes:
+        if by_name and path.lower().endswith((".jpg", ".jpeg")):
+            x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+            return jpeg(np.repeat(x, 3, 2) if channels == 1 else x[..., :3], quality)
+        return png(width, height, channels, data)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([png(r["width"], r["height"], r["channels"], r["data"]) for r in rows], pa.binary())], names=["path", "content"])
+            for k in range(batch.num_rows):  # one image at a time
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([one(**row.to_pylist()[0])], pa.binary())], names=["path", "content"])
 
     return rasters.select("path", "width", "height", "channels", "data").mapInArrow(task, "path string, content binary")

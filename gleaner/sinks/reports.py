@@ -9,23 +9,40 @@ from gleaner.functions.text import folded
 from gleaner.operators.ranking import global_rank
 
 
+# The first line of a file of predictions.
+PREDICTION_HEADER = "filepath,predicted_label,confidence,similarity_illust,similarity_photo"
+
+
 def prediction_lines(scored: DataFrame, path: str, label: str, confidence: str, positive: str, negative: str) -> DataFrame:
-    """One CSV line each: the path always in quotes, numbers with four decimals."""
+    """A header line, and a CSV line for each row: the path always in quotes, numbers with four decimals."""
     quoted = F.concat(F.lit('"'), F.col(path), F.lit('"'))
     number = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
-    return scored.select(F.concat_ws(",", quoted, F.col(label).cast("string"), number(confidence), number(positive), number(negative)).alias("value"))
+    return _headed(PREDICTION_HEADER, scored.select(F.concat_ws(",", quoted, F.col(label).cast("string"), number(confidence), number(positive), number(negative)).alias("value")))
+
+
+def _headed(header: str, lines: DataFrame) -> DataFrame:
+    return lines.sparkSession.range(1, numPartitions=1).select(F.lit(header).alias("value")).unionByName(lines)
+
+
+def _field(column: Column, alone: bool) -> Column:
+    """A value as RFC 4180 has it: in quotes, with its own quotes doubled, where it holds a quote, a comma or a line break; a null is
+    empty. An empty value that is ``alone`` in its line is quoted too, since an empty line is no row."""
+    text = F.coalesce(column.cast("string"), F.lit(""))
+    odd = text.rlike('[",\r\n]')
+    return F.when((odd | (text == "")) if alone else odd, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
 def csv_lines(df: DataFrame, bom: bool = True) -> DataFrame:
-    """A header line, with a byte order mark in front, and a line for each row; nulls are empty. Written as text, the parts in
-    order of their names make one file."""
-    names = df.sparkSession.range(1, numPartitions=1).select(F.lit(("\ufeff" if bom else "") + ",".join(df.columns)).alias("value"))
-    return names.unionByName(df.select(F.to_csv(F.struct("*"), {"nullValue": "", "emptyValue": ""}).alias("value")))
+    """A header line, with a byte order mark in front, and a line for each row, quoted where needed. Written as text, the parts
+    in order of their names make one file."""
+    line = lambda fields: F.concat_ws(",", *(_field(f, len(df.columns) == 1) for f in fields))
+    header = df.sparkSession.range(1, numPartitions=1).select(F.concat(F.lit("\ufeff" if bom else ""), line([F.lit(c) for c in df.columns])).alias("value"))
+    return header.unionByName(df.select(line([F.col(f"`{c}`") for c in df.columns]).alias("value")))
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    """A folder of CSV parts with headers; nulls are empty."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(folder)
+    """A folder of CSV parts with headers; nulls are empty, quotes are doubled."""
+    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("escape", '"').csv(folder)
 
 
 def write_text(df: DataFrame, folder: str) -> None:

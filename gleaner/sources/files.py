@@ -62,8 +62,9 @@ def outside(files: DataFrame, folder: str) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Decoded images: ``path, width, height, channels, data`` (BGR order), null where a file is no readable image."""
-    image = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false").load(path)
+    """Decoded images: ``path, width, height, channels, data`` (BGR order), null where a file is no readable image. Files that
+    go between listing and reading are passed over."""
+    image = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false").option("ignoreMissingFiles", "true").load(path)
     good = F.col("image.height") > 0
     return image.select(F.col("image.origin").alias("path"), *(F.when(good, F.col(f"image.{c}")).alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))))
 

@@ -280,6 +280,77 @@ def test_moves(spark, tmp_path):
     assert actions.carry_out(todo.limit(1)).first().error is None  # again, as after a lost task
 
 
+def test_unknown_actions_are_errors_and_are_counted_while_done(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / n).write_text(n)
+    todo = [(str(tmp_path / "a"), str(tmp_path / "o/a"), "move"), (str(tmp_path / "b"), str(tmp_path / "o/b"), "shrink"), (str(tmp_path / "c"), str(tmp_path / "o/c"), "convert"), (str(tmp_path / "c"), str(tmp_path / "o/d"), "error"), (str(tmp_path / "gone"), str(tmp_path / "o/e"), "copy")]
+    done, counts = actions.carried_out(spark.createDataFrame(todo, "src string, dst string, action string"))
+    assert counts == {"processed": 1, "skipped": 1, "failed": 3} and done.where("error is null").count() == 2
+    assert "unknown" in done.where("action = 'shrink'").first().error and "images" in done.where("action = 'convert'").first().error
+    assert sorted((r.action, r.processed, r.skipped, r.failed) for r in actions.outcome_counts(done).collect()) == [("convert", 0, 0, 1), ("copy", 0, 0, 1), ("error", 0, 1, 0), ("move", 1, 0, 0), ("shrink", 0, 0, 1)]
+
+
+def test_conversion_turns_images_lays_them_over_white_and_removes_the_source(spark, tmp_path):
+    import numpy as np
+
+    from gleaner.sinks.images import png
+
+    y, x = np.mgrid[0:40, 0:24]
+    rgb = np.stack([x * 8 % 256, y * 5 % 256, (x + y) * 3 % 256], 2).astype(np.uint8)
+    alpha = np.where(x < 12, 255, 0).astype(np.uint8)
+    exif = b"MM\0\x2a\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
+    chunk = struct.pack(">I", len(exif)) + b"eXIf" + exif + struct.pack(">I", zlib.crc32(b"eXIf" + exif))
+    plain = png(24, 40, 3, rgb.tobytes())
+    for name, content in (("plain.png", plain), ("turned.png", plain[:33] + chunk + plain[33:]), ("clear.png", png(24, 40, 4, np.dstack([rgb, alpha]).tobytes())), ("taken.png", plain), ("taken.jpg", b"old"), ("broken.png", b"no image"), ("old.jpeg", b"x")):
+        (tmp_path / name).write_bytes(content)
+    scanned = files.scan_files(spark, str(tmp_path), suffixes=None, content=True)
+    decoded = files.scan_images(spark, str(tmp_path)).cache()
+    plan = actions.convert_plan(scanned.select(F.regexp_replace("path", "^file:/+", "/").alias("path")))
+    again = spark.createDataFrame(plan.collect(), plan.schema)
+    done, counts = actions.carried_out(plan, decoded, files.header_sizes(scanned), quality=95)
+    assert counts == {"processed": 4, "skipped": 1, "failed": 1}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["broken.png", "clear.jpg", "old.jpg", "plain.jpg", "taken.jpg", "taken.png", "turned.jpg"]
+    decoded.unpersist()  # else it would be found again
+    got = {r.path.rsplit("/", 1)[1]: images.to_rgb(bytes(r.data), r.height, r.width, r.channels).astype(int) for r in files.scan_images(spark, str(tmp_path)).where("data is not null").collect()}
+    apart = lambda name, want: np.abs(got[name] - want).mean()
+    assert apart("plain.jpg", rgb) < 4 and apart("turned.jpg", np.rot90(rgb, -1)) < 4
+    assert apart("clear.jpg", np.where(alpha[..., None] > 0, rgb, 255)) < 6
+    assert actions.carry_out(again.where("action = 'convert'"), files.scan_images(spark, str(tmp_path))).where("error is not null").count() == 1  # again, as after a lost task: broken.png only
+
+
+@pytest.mark.parametrize(("height", "width", "quality"), [(1, 1, 85), (7, 9, 85), (33, 17, 100), (64, 200, 30), (8, 8, 1)])
+def test_jpeg_is_read_by_the_image_reader(spark, tmp_path, height, width, quality):
+    import numpy as np
+
+    from gleaner.functions.jpeg import jpeg
+
+    y, x = np.mgrid[0:height, 0:width]
+    rgb = np.stack([128 + 100 * np.sin(x / 9), 128 + 100 * np.cos(y / 7), (x * 3 + y * 2) % 256 * 0.3 + 60], 2).astype(np.uint8)
+    (tmp_path / "a.jpg").write_bytes(jpeg(rgb, quality))
+    r = files.scan_images(spark, str(tmp_path)).first()
+    assert (r.height, r.width) == (height, width)
+    assert np.abs(images.to_rgb(bytes(r.data), r.height, r.width, r.channels).astype(int) - rgb).mean() < {100: 1, 85: 2.5, 30: 5, 1: 40}[quality]
+    noise = np.random.default_rng(1).integers(0, 256, (31, 50, 3)).astype(np.uint8)
+    assert np.abs(images.oriented(noise, 6).astype(int) - np.rot90(noise, -1)).max() == 0
+    with pytest.raises(ValueError, match="quality"):
+        jpeg(rgb, 0)
+
+
+def test_csv_is_read_back(spark, tmp_path):
+    import csv
+
+    from gleaner.sinks import reports
+
+    rows = [("plain", 1), ('say "hi", x', 2), ("two\nlines", None), ("", 4), (None, 5), ("cr\rlf\r\n", 6), ("\\ back", 7), ('"', 8)]
+    df = spark.createDataFrame(rows, '`a name, "odd"` string, n int').coalesce(1)
+    reports.write_text(reports.csv_lines(df), str(tmp_path / "csv"))
+    whole = "".join(p.read_bytes().decode("utf-8") for p in sorted((tmp_path / "csv").glob("part-*")))
+    got = list(csv.reader(whole.removeprefix("\ufeff").splitlines(keepends=True)))
+    assert whole.startswith("\ufeff") and got == [['a name, "odd"', "n"], *([a or "", "" if n is None else str(n)] for a, n in rows)]
+    single = reports.csv_lines(spark.createDataFrame([("",), (None,), ("x",)], "a string"), bom=False)
+    assert [r.value for r in single.collect()] == ["a", '""', '""', "x"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("u", 1, "a"), ("v", 2, "b"), ("u", 3, "c"), ("w", 4, "d"), ("v", 5, "e")]
     schema = "url string, n long, who string"
@@ -315,14 +386,26 @@ def test_ranges_of_bounds(spark):
         assert all(r.k == sum(b <= r.id for b in bounds) for r in got)
 
 
-def test_ranks_in_groups_of_any_size(spark):
+def test_ranks_of_ordinary_groups_write_nothing(spark):
+    import os
+
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.conf.get("spark.checkpoint.dir")
+    held = lambda: {d for top in (spark.conf.get("spark.checkpoint.dir"), folder.removeprefix("file:")) if os.path.isdir(top) for d in os.listdir(top)}
+    before = held()
+    df = spark.createDataFrame([(k % 5, k, k, k, k) for k in range(40)], "g int, w int, h int, s int, n int")
+    assert ranking.best_of_group(df, "g", "w", "h", "s", "n").where("kept").count() == 5
+    assert held() == before
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 60, 1])
+def test_ranks_in_groups_of_any_size(spark, hot):
     r = random.Random(4)
     rows = [(r.choice([None, 1, 1, 1, 1, 2, 3]), r.randrange(20), k) for k in range(300)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = ranking.group_rank(spark.createDataFrame(rows, "g int, v int, k int"), ["g"], [F.desc("v"), F.asc("k")]).collect()
+        got = ranking.group_rank(spark.createDataFrame(rows, "g int, v int, k int"), ["g"], [F.desc("v"), F.asc("k")], hot=hot).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
