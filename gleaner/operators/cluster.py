@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import norm
-from gleaner.operators.graph import connected_components, cut
+from gleaner.operators.graph import connected_components, cut, drop_written, written
 from gleaner.operators.similarity import cosine_pairs
 
 
-def link_complete(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers of normalised vectors: the two clusters of the least complete distance merge while it is below the
-    threshold. Of equal distances the pair of the smallest members goes first."""
-    n = len(vectors)
-    far = 1 - vectors @ vectors.T
-    np.fill_diagonal(far, np.inf)
-    number = np.arange(n)
-    alive = np.ones(n, bool)
-    nearest = far.argmin(1) if n > 1 else np.zeros(n, int)
-    while alive.sum() > 1:
-        own = far[np.arange(n), nearest]
-        own[~alive] = np.inf
-        a = int(own.argmin())
-        if own[a] >= threshold:
-            break
-        a, b = sorted((a, int(nearest[a])))
-        far[a] = far[:, a] = np.maximum(far[a], far[b])
-        far[b] = far[:, b] = far[a, a] = np.inf
-        alive[b] = False
-        number[number == b] = a
-        for k in np.flatnonzero(alive & ((nearest == a) | (nearest == b) | (np.arange(n) == a))):
-            nearest[k] = far[k].argmin()
-    return number
+def complete_merges(pairs: DataFrame) -> DataFrame:
+    """``a, b`` for each merge of complete linkage over ``pairs`` (``a < b``, ``distance``), in which pairs that are missing are too far
+    apart to be in one cluster; clusters stand under their smallest member.
+
+    In each round all clusters that are each other's nearest merge at once. Complete linkage allows that: no merge
+    brings a third cluster nearer, so what is mutually nearest stays so whatever merges elsewhere. Of equal distances the pair of
+    the smallest members counts as nearer. Then the table of distances is contracted: between two clusters it has the largest, and
+    only if all distances between their parts were there. The nearest of all pairs always merges, so rounds end when
+    no distance is left. A round is two groupings and joins over the sparse table; nothing but whether merges are left
+    comes to the driver.
+    """
+    far = written(pairs.select("a", "b", "distance"), "far")
+    found = None
+    while not far.isEmpty():
+        ends = far.select("a", "b", "distance", F.explode(F.array("a", "b")).alias("x"))
+        nearest = ends.groupBy("x").agg(F.min(F.struct("distance", "a", "b")).alias("pair"))
+        merges = written(nearest.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("pair.a", "pair.b"), "merges")
+        found = merges if found is None else found.unionByName(merges)
+        into = merges.select(F.col("b").alias("x"), F.col("a").alias("top")).unionByName(merges.select(F.col("a").alias("x"), F.col("a").alias("top")))
+        left, right = into.select(F.col("x").alias("a"), F.col("top").alias("p")), into.select(F.col("x").alias("b"), F.col("top").alias("q"))
+        named = far.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("p", "a").alias("x"), F.coalesce("q", "b").alias("y"), "distance", (F.when(F.col("p").isNull(), 1).otherwise(2) * F.when(F.col("q").isNull(), 1).otherwise(2)).alias("parts"))
+        between = named.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("distance").alias("distance"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
+        old, far = far, written(between.where("n = parts").select("a", "b", "distance"), "far")
+        drop_written(old)
+    drop_written(far)
+    return pairs.select("a", "b").limit(0) if found is None else found
 
 
 def first_of_equal(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -62,27 +63,14 @@ def cluster_complete_linkage(df: DataFrame, key: str, vector: str, threshold: fl
     """``key, cluster`` where a cluster is named by its smallest key; null and zero vectors are clusters of their own.
 
     Equal vectors are one cluster at any threshold above 0, so only the first of them by key is clustered and the rest take
-    its cluster. Members of a cluster are all within the threshold of each other, so no cluster reaches beyond a component of the
-    graph of pairs within the threshold. Those components are found first and each is clustered in one task, which takes
-    8 bytes for each pair of a component's distinct vectors: 3.2 GB for 20,000 of them. A threshold that joins more than
-    that into one component needs larger tasks.
+    its cluster. Members of a cluster are all within the threshold of each other, so the pairs below it are all that is
+    needed; they are merged in rounds over the whole table (see ``complete_merges``), and no task gets a whole component.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     if threshold <= 0:
         return rows.select(F.col("key").alias(key), F.col("key").alias("cluster"))
     firsts = cut(first_of_equal(rows, "key", "v"))
-    pairs = cosine_pairs(firsts, "key", "v", 1 - threshold)
-    blocks = connected_components(pairs, "a", "b").withColumnRenamed("node", "key")
-    kind = rows.schema["key"].dataType.simpleString()
-
-    def task(table: pa.Table) -> pa.Table:
-        keys = np.array(table.column("key"))
-        by = np.argsort(keys, kind="stable")
-        v = np.array(table.column("v").to_pylist(), float)[by]
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        return pa.table({"v": table.column("v").take(pa.array(by)), "cluster": keys[by][link_complete(v, threshold)]})
-
-    joined = cut(firsts.join(blocks, "key", "left"))
-    found = joined.where("component is not null").groupBy("component").applyInArrow(task, f"v array<double>, cluster {kind}")
-    found = found.unionByName(joined.where("component is null").select("v", F.col("key").alias("cluster")))
+    pairs = cosine_pairs(firsts, "key", "v", 1 - threshold).select("a", "b", (1 - F.col("similarity")).alias("distance"))
+    tops = connected_components(complete_merges(pairs), "a", "b")
+    found = firsts.join(tops.withColumnRenamed("node", "key"), "key", "left").select("v", F.coalesce("component", "key").alias("cluster"))
     return rows.join(found, "v", "left").select(F.col("key").alias(key), F.coalesce("cluster", "key").alias("cluster"))
