@@ -313,6 +313,10 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
         f AS (SELECT vec_id, unnest(list_transform([2, 12], lambda k: CASE WHEN v[k + 7] > 0 THEN list_sum(list_transform(range(0, 3), lambda i: abs(abs(v[k + 6] - v[k + i - 1]) - abs(v[k + i + 2] - v[k + 6])))) / 3 / v[k + 7] END)) AS a FROM d)
         SELECT vec_id, round(max(a), 6) AS asymmetry FROM f GROUP BY vec_id""",
+    "page_outlines": r"""
+        WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, html FROM pages)
+        SELECT page_id, replace(title, '&amp;', '&') AS title, replace(heading, '&amp;', '&') AS heading, len(regexp_extract_all(html, '<a href="'))::INTEGER AS n_links,
+            len(regexp_extract_all(html, '<p>'))::INTEGER AS n_paragraphs, len(regexp_extract_all(html, '<article>'))::INTEGER AS n_articles FROM p""",
     "page_posts": """
         SELECT page_id, 'https://i.example/' || page_id AS image, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END::INTEGER AS n_videos,
             CASE WHEN page_id % 4 > 0 THEN '/u/status/' || page_id ELSE 'https://v.example/' || page_id END AS video_key, 'user' || page_id % 9 AS username

@@ -326,7 +326,7 @@ def url_filename(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def link_extract_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     """Each link with the page and position that had it first."""
-    rows = table(spark, folder, "pages").select("page_id", F.posexplode(html.links(F.col("html"))).alias("position", "link"))
+    rows = html.page_links(table(spark, folder, "pages"), "page_id", "html")
     return membership.first_seen(rows, "link", ["page_id", "position"]).select("link", "page_id", F.col("position").cast("int").alias("position"))
 
 
@@ -582,6 +582,12 @@ def worst_face(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", F.round(vectors.worst_asymmetry(F.array(face(1), face(11))), 6).alias("asymmetry"))
 
 
+@query
+def page_outlines(spark: SparkSession, folder: str) -> DataFrame:
+    """Title, heading, links and paragraphs of raw pages."""
+    return html.outlines(table(spark, folder, "pages"), "page_id", "html")
+
+
 @query
 def page_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Posts with a video, from pages made of pages' numbers."""

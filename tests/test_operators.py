@@ -224,6 +224,22 @@ def test_pages_and_sessions(spark):
     assert [r.value for r in pages.cookie_lines(spark, session).collect()] == [".d\tTRUE\t/\tTRUE\t7\tn\tv", "e\tFALSE\t/\tFALSE\t0\t\t"]
 
 
+def test_pages_are_read_as_a_browser_does(spark):
+    html = """<!DOCTYPE html><A HREF="y">1</a><a href='x'>2</a><a href = "z">3</a><a href=bare class=k>4</a><a data-href="no">5</a><!-- <a href="gone"> --><a title="a > b" href="q?a=1&amp;b=2">6</a>
+    <script>var t = '<a href="script">';</script><a href>7</a><p>one<p>two</div><a href="last" href="second">"""
+    rows = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<a href='unclosed"), (5, "a < b <3 <a href=c>")], "k long, h string")
+    got = pages.page_links(rows, "k", "h").orderBy("k", "position").collect()
+    assert [(r.k, r.link) for r in got] == [(1, x) for x in ("y", "x", "z", "bare", "q?a=1&b=2", "", "last")] + [(5, "c")] and [r.position for r in got] == [*range(7), 0]
+    nested = '''<article id=a><div data-testid="User-Name"><span>Ann</span><span> @ann<b>42</b> </span></div><a href="/ann/status/7"><time>now</time></a>
+    <article><img src='inner'><div aria-label="Embedded Video"></div></article><img SRC=after><span>@other</span></article><article>@no <a href="/x/status/9">l</a></article>'''
+    outer, inner, last = pages.posts(spark.createDataFrame([(1, nested)], "k long, h string"), "k", "h").orderBy("position").collect()
+    assert (outer.image_urls, outer.post_url, outer.username, outer.has_video_element) == (["inner", "after"], "/ann/status/7", "ann42", True)
+    assert (inner.image_urls, inner.post_url, inner.username, inner.has_video_element) == (["inner"], None, None, True)
+    assert (last.image_urls, last.post_url, last.username, last.has_video_element) == ([], "/x/status/9", None, False)
+    outline = pages.outlines(rows, "k", "h").orderBy("k").collect()
+    assert (outline[0].n_links, outline[0].n_paragraphs, outline[0].title) == (7, 2, None) and outline[1].n_links == 0
+
+
 def test_membership(spark):
     ids = spark.createDataFrame([("12",), ("99",), (None,), ("x" * 70,)], "part string")
     names = spark.createDataFrame([("@u_123.mp4",), ("a" + "x" * 71,)], "name string")
