@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gleaner.functions.resample import luma, resize
 
 # The weights of red, green and blue in luminance.
 LUMINANCE = np.array([0.299, 0.587, 0.114])
@@ -39,22 +42,9 @@ def gray(rgb: np.ndarray) -> np.ndarray:
     return np.floor(rgb.astype(float) @ LUMINANCE + 0.5)
 
 
-def shrink(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over equal boxes, parts of pixels by their share."""
-    return _boxes(x.shape[0], height) @ x @ _boxes(x.shape[1], width).T
-
-
-def _boxes(n: int, m: int) -> np.ndarray:
-    edge = np.linspace(0, n, m + 1)
-    low, high = edge[:-1, None], edge[1:, None]
-    at = np.arange(n)[None, :]
-    share = np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None)
-    return share / share.sum(1, keepdims=True)
-
-
 def dhash(rgb: np.ndarray, size: int) -> list[int]:
-    """Difference hash: words of 64 bits, signed, row by row, highest bit first."""
-    small = np.floor(shrink(gray(rgb), size, size + 1) + 0.5)
+    """Difference hash of a Lanczos thumbnail: words of 64 bits, signed, row by row, highest bit first."""
+    small = resize(luma(rgb), size, size + 1, "lanczos")
     bits = (small[:, 1:] > small[:, :-1]).ravel()
     bits = np.pad(bits, (0, -len(bits) % 64))
     return np.packbits(bits.reshape(-1, 64), axis=1).view(">i8").ravel().tolist()
@@ -66,7 +56,8 @@ def histogram(rgb: np.ndarray) -> list[float]:
 
 
 def thumbnail(rgb: np.ndarray, size: int = 128) -> list[int]:
-    return np.floor(shrink(gray(rgb), size, size) + 0.5).astype(int).ravel().tolist()
+    """Luminance of a bicubic thumbnail."""
+    return resize(luma(rgb), size, size, "bicubic").astype(int).ravel().tolist()
 
 
 def mean_saturation(rgb: np.ndarray) -> float:
@@ -114,24 +105,27 @@ KERNELS: dict[str, tuple[str, Callable[[np.ndarray], object]]] = {
 }
 
 
-def with_features(images: DataFrame, kernels: list[str]) -> DataFrame:
+def with_features(images: DataFrame, kernels: list[str], orientations: DataFrame | None = None) -> DataFrame:
     """``path, width, height`` and the named kernels of ``scan_images`` rows; null for images that cannot be read.
 
-    An image is decoded once for all of its kernels.
+    An image is decoded once for all of its kernels, and no more than one at a time is held as an array. With
+    ``orientations`` (``path, orientation``, as ``header_sizes`` finds it) images are turned first, and so are their sizes.
     """
     kinds = [KERNELS[k][0] for k in kernels]
 
+    def one(r: dict) -> dict:
+        rgb = oriented(to_rgb(r["data"], r["height"], r["width"], r["channels"]), r["orientation"] or 1) if r["data"] else None
+        size = {"width": r["width"], "height": r["height"]} if rgb is None else {"width": rgb.shape[1], "height": rgb.shape[0]}
+        return {"path": r["path"]} | size | {k: None if rgb is None else KERNELS[k][1](rgb) for k in kernels}
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                rgb = to_rgb(r["data"], r["height"], r["width"], r["channels"]) if r["data"] else None
-                rows.append({"path": r["path"], "width": r["width"], "height": r["height"]} | {k: None if rgb is None else KERNELS[k][1](rgb) for k in kernels})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist([one(batch.slice(k, 1).to_pylist()[0]) for k in range(batch.num_rows)], schema)
 
     arrow = {"array<long>": pa.list_(pa.int64()), "long": pa.int64(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "double": pa.float64()}
     schema = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), *((k, arrow[t]) for k, t in zip(kernels, kinds, strict=True))])
-    return images.select("path", "width", "height", "channels", "data").mapInArrow(task, ", ".join(["path string, width int, height int", *(f"{k} {t}" for k, t in zip(kernels, kinds, strict=True))]))
+    turned = images.withColumn("orientation", F.lit(1)) if orientations is None else images.join(orientations.select("path", "orientation"), "path", "left")
+    return turned.select("path", "width", "height", "channels", "data", "orientation").mapInArrow(task, ", ".join(["path string, width int, height int", *(f"{k} {t}" for k, t in zip(kernels, kinds, strict=True))]))
 
 
 def apply_layers(df: DataFrame, key: str, vector: str, layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:

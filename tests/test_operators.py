@@ -334,6 +334,60 @@ def test_conversion_turns_images_lays_them_over_white_and_removes_the_source(spa
     assert actions.carry_out(again.where("action = 'convert'"), files.scan_images(spark, str(tmp_path))).where("error is not null").count() == 1  # again, as after a lost task: broken.png only
 
 
+@pytest.mark.parametrize("kernel", ["lanczos", "bicubic"])
+def test_resampling_is_that_of_a_plain_second_implementation(kernel):
+    import math
+
+    import numpy as np
+
+    from gleaner.functions import resample
+
+    def shape(x):
+        x = abs(x)
+        if kernel == "lanczos":
+            sinc = lambda t: 1.0 if t == 0 else math.sin(math.pi * t) / (math.pi * t)
+            return sinc(x) * sinc(x / 3) if x < 3 else 0.0
+        return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+    def line(samples, m):
+        n, out = len(samples), []
+        wide, reach = max(1.0, n / m), 3 if kernel == "lanczos" else 2
+        for k in range(m):
+            c = (k + 0.5) * n / m
+            at = range(max(0, int(c - reach * wide + 0.5)), min(n, int(c + reach * wide + 0.5)))
+            w = [shape((i + 0.5 - c) / wide) for i in at]
+            whole = [int(x / sum(w) * 2**22 + (0.5 if x / sum(w) >= 0 else -0.5)) for x in w]
+            out.append(min(255, max(0, sum(samples[i] * x for i, x in zip(at, whole, strict=True)) + 2**21 >> 22)))
+        return out
+
+    rng = np.random.default_rng(3)
+    for (h, w), (m, n) in (((40, 31), (8, 9)), ((7, 5), (16, 17)), ((8, 9), (8, 9)), ((1, 50), (8, 9)), ((100, 3), (64, 64))):
+        x = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        rows = [line(r, n) for r in x.tolist()] if n != w else x.tolist()
+        columns = [line(c, m) for c in zip(*rows, strict=True)] if m != h else [list(c) for c in zip(*rows, strict=True)]
+        assert resample.resize(x, m, n, kernel).tolist() == [list(r) for r in zip(*columns, strict=True)]
+    assert (resample.luma(np.array([[[255, 255, 255], [0, 0, 0], [10, 200, 30]]])) == [[255, 0, 124]]).all()
+
+
+def test_features_of_turned_and_coloured_images(spark, tmp_path):
+    import numpy as np
+
+    from gleaner.functions import resample
+    from gleaner.sinks.images import png
+
+    y, x = np.mgrid[0:50, 0:70]
+    rgb = np.stack([x * 3, y * 5 % 256, (x * y) % 256], 2).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(png(70, 50, 3, rgb.tobytes()))
+    decoded = files.scan_images(spark, str(tmp_path))
+    for turn in (1, 3, 6, 8):
+        r = images.with_features(decoded, ["dhash64", "dhash256", "thumbnail", "saturation"], decoded.select("path", F.lit(turn).alias("orientation"))).first()
+        seen = images.oriented(rgb, turn)
+        assert (r.height, r.width) == seen.shape[:2] and r.thumbnail == resample.resize(resample.luma(seen), 128, 128, "bicubic").astype(int).ravel().tolist()
+        small = resample.resize(resample.luma(seen), 8, 9, "lanczos").astype(int)
+        bits = "".join("1" if b > a else "0" for row in small.tolist() for a, b in zip(row, row[1:]))
+        assert r.dhash64 & (1 << 64) - 1 == int(bits, 2) and len(r.dhash256) == 4 and r.saturation > 50
+
+
 @pytest.mark.parametrize(("height", "width", "quality"), [(1, 1, 85), (7, 9, 85), (33, 17, 100), (64, 200, 30), (8, 8, 1)])
 def test_jpeg_is_read_by_the_image_reader(spark, tmp_path, height, width, quality):
     import numpy as np
