@@ -51,8 +51,9 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each conversation, and one for conversation -1. Null texts and roles are empty; a null id is a conversation of
-    its own; turns of one number go by role and text; an empty table gives conversation -1 alone."""
+    """A row for each conversation, and one for conversation -1. Null texts and roles are empty; all rows of a null id are one
+    conversation, and those that already have the id -1 are one with the added two; turns of one number go by role and text;
+    an empty table gives conversation -1 alone."""
     return chat_digest(load(spark, sf_dir, "conversations"))
 
 

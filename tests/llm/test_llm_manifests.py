@@ -211,3 +211,42 @@ def test_mix_odd(spark):
     assert [(r.size, r.target, r.taken) for r in mixing.mixing_digest(frame(spark, [(1, None, None, None), (2, "", "a", "b")])).collect()] == [(0, 0.0, 0)] * 2
     with pytest.raises(ValueError, match="share"):
         mixing.mixing_digest(frame(spark, ODD)) and mixing.mix_plan(frame(spark, ODD), share=3.0)
+
+
+# toxicity
+
+@pytest.mark.parametrize("n_grades", [2, 3])
+def test_ordinal_fit_is_the_best_of_a_plain_optimiser(n_grades):
+    """The likelihood of the fitted model against coordinate steps on a small dense problem, from where the fit ended and from nothing."""
+    import numpy as np
+
+    from gleaner.llm import toxicity
+
+    rng = np.random.default_rng(n_grades)
+    n, size = 120, 4
+    has = rng.random((n, size)) < 0.4
+    lean = has @ np.array([1.5, -1.0, 0.7, 0.0]) + rng.logistic(size=n)
+    grade = np.digitize(lean, [0.5, 2.0][: n_grades - 1])
+    row, at = np.nonzero(has)
+    w, cuts = toxicity._ascend(at, row, grade, size, n_grades)
+
+    def value(w, cuts):
+        s = 1 / (1 + np.exp(-((has @ w)[:, None] - cuts[None, :])))
+        edges = np.hstack((np.ones((n, 1)), s, np.zeros((n, 1))))
+        return np.log(np.maximum(edges[np.arange(n), grade] - edges[np.arange(n), grade + 1], 1e-12)).mean() - toxicity.RIDGE / 2 * (w**2).sum()
+
+    def climbed(x, rounds):
+        best, step = value(x[:size], x[size:]), 1.0
+        for _ in range(rounds):
+            moved = False
+            for k in range(len(x)):
+                for d in (step, -step):
+                    y = x.copy()
+                    y[k] += d
+                    if (np.diff(y[size:]) > 0).all() and (v := value(y[:size], y[size:])) > best + 1e-12:
+                        x, best, moved = y, v, True
+            step = step if moved else step / 2
+        return best
+
+    plain = climbed(np.concatenate((np.zeros(size), np.arange(n_grades - 1, dtype=float))), 200)
+    assert value(w, cuts) >= plain - 1e-3 and climbed(np.concatenate((w, cuts)), 60) <= value(w, cuts) + 1e-3
