@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from typing import BinaryIO
 
 # JPEG's start-of-frame markers, and the number of EXIF's orientation tag.
 FRAMES = (0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF)
@@ -50,6 +51,39 @@ def header_size(data: bytes | None) -> tuple[int, int] | None:
     return None
 
 
+def head(f: BinaryIO, first: int = 64) -> bytes:
+    """What ``header_size`` and ``orientation`` need of an open file: its first bytes, and of a JPEG or PNG the EXIF block and the
+    frame, between which it goes from segment to segment without reading what they hold."""
+    data = f.read(first)
+    if data[:2] == b"\xff\xd8":
+        out, at = data[:2], 2
+        while True:
+            f.seek(at)
+            start = f.read(4)
+            if len(start) < 4 or start[0] != 0xFF or start[1] == 0xDA:
+                return out
+            size = int.from_bytes(start[2:], "big")
+            if start[1] in FRAMES or start[1] == 0xE1:
+                body = f.read(max(0, size - 2) if start[1] == 0xE1 else 15)
+                out += start if start[1] == 0xE1 else start[:2] + struct.pack(">H", len(body) + 2)
+                out += body
+            if start[1] in FRAMES:
+                return out
+            at += 2 + size
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        out, at = data[:33], 33
+        while True:
+            f.seek(at)
+            start = f.read(8)
+            size, name = int.from_bytes(start[:4], "big"), start[4:8]
+            if len(start) < 8 or name == b"IDAT":
+                return out
+            if name == b"eXIf":
+                return out + start + f.read(size)
+            at += 12 + size
+    return data
+
+
 def _exif(data: bytes) -> bytes:
     """The EXIF block of a JPEG or PNG, from its TIFF header on; empty where there is none."""
     if data[:2] == b"\xff\xd8":

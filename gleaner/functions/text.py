@@ -101,3 +101,12 @@ def handle(text: Column) -> Column:
 
 def flag(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit(False)), F.lit("TRUE")).otherwise(F.lit("FALSE"))
+
+
+def local_path(path: str) -> str:
+    """A path that Python can open; the folder has to be on a disk that driver and tasks share."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path} is not on a local or mounted folder")
+    return path

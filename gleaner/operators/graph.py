@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edges that one task may link, about 20 MB; more are contracted by rounds of joins until so few are left.
+#: Edges that one task may link, some 230 MB of Python objects; more are contracted by rounds of joins until so few are left,
+#: with the same result.
 FEW_EDGES = 200_000
 
 

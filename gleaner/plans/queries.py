@@ -14,7 +14,7 @@ from gleaner.operators import classify, membership, phrases, quality, ranking, s
 from gleaner.operators.cluster import cluster_complete_linkage, cosine_components, equal_links, first_of_equal
 from gleaner.operators.graph import connected_components, cut, shared_folder, written
 from gleaner.sinks import actions, reports
-from gleaner.sinks.images import encoded, local_path, write_files
+from gleaner.sinks.images import encoded, write_files
 from gleaner.sources import pages as html
 from gleaner.sources.files import convert_action, decodable, header_sizes, outside, scan_files, scan_images, with_folder, with_parent
 from gleaner.streaming.first_seen import first_seen_stream
@@ -445,7 +445,7 @@ def prediction_report(spark: SparkSession, folder: str) -> DataFrame:
 def _drawn(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     """A new folder, and what is to be written there: each vector as a gray image of 9 by 8, some of them under other names,
     transparent or broken. Vectors of label 0 lie in the folder itself, others in one for each label."""
-    root = local_path(shared_folder(spark, "images"))
+    root = text.local_path(shared_folder(spark, "images"))
     v = F.transform(vectors.doubles("embedding"), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255))).cast("int"))
     ext = F.element_at(F.array(*map(F.lit, (".PNG", ".png", ".jpg", ".txt", ".webp"))), (F.col("vec_id") % 5 + 1).cast("int"))
     own = F.when(F.col("label") == 0, F.lit("")).otherwise(F.format_string("%02d/", "label"))
@@ -498,7 +498,7 @@ def scan_by_folder(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def image_header_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Width and height of all files, whatever their names, from their headers."""
-    files = scan_files(spark, _written_images(spark, folder), suffixes=None, content=True)
+    files = scan_files(spark, _written_images(spark, folder), suffixes=None)
     return header_sizes(files).select(_number().alias("vec_id"), "width", "height", "orientation")
 
 

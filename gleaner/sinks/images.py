@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleaner.functions.jpeg import jpeg
+from gleaner.functions.text import local_path
 
 # PNG's colour types for gray, RGB and RGBA.
 COLOUR_TYPES = {1: 0, 3: 2, 4: 6}
@@ -28,15 +29,6 @@ def png(width: int, height: int, channels: int, data: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def local_path(path: str) -> str:
-    """A path that Python can open; the folder has to be on a disk that driver and tasks share."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    if "://" in path:
-        raise ValueError(f"{path} is not on a local or mounted folder")
-    return path
-
-
 def write_files(files: DataFrame) -> DataFrame:
     """Writes ``content`` to ``path``, a file for each row; returns ``path, error``.
 

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.headers import header_size, orientation
-from gleaner.functions.text import base_name, extension, first_segment, parent
+from gleaner.functions.headers import head, header_size, orientation
+from gleaner.functions.text import base_name, extension, first_segment, local_path, parent
 
 # The suffixes that each scan takes.
 IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
@@ -32,18 +32,31 @@ def scan_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None
 
 
 def header_sizes(files: DataFrame) -> DataFrame:
-    """``path, width, height, orientation`` of scanned files with ``content``, read from their headers; null where a file is no
-    image of a known kind. Nothing is decoded."""
+    """``path, width, height, orientation`` of scanned files, from their headers; null where a file is no image of a known kind,
+    or cut off before its size. Nothing is decoded.
+
+    Files without ``content`` lie in a local or mounted folder; a task opens them and reads a few bytes and the EXIF block of
+    each. With ``content``, from wherever Spark has read it, that is looked at instead.
+    """
+    whole = "content" in files.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = batch.column(1).to_pylist()
-            sizes = [header_size(c) or (None, None) for c in contents]
-            turned = [orientation(c) if s[0] is not None else None for c, s in zip(contents, sizes, strict=True)]
+            heads = [x.as_py() for x in batch.column(1)] if whole else [_head(x.as_py()) for x in batch.column(0)]
+            sizes = [header_size(c) or (None, None) for c in heads]
+            turned = [orientation(c) if s[0] is not None else None for c, s in zip(heads, sizes, strict=True)]
             columns = [pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(turned, pa.int32())], names=["path", "width", "height", "orientation"])
 
-    return files.select("path", "content").mapInArrow(task, "path string, width int, height int, orientation int")
+    return files.select("path", *(["content"] if whole else [])).mapInArrow(task, "path string, width int, height int, orientation int")
+
+
+def _head(path: str) -> bytes | None:
+    try:
+        with open(local_path(path), "rb", buffering=0) as f:
+            return head(f)
+    except OSError:
+        return None
 
 
 def with_folder(files: DataFrame, root: str) -> DataFrame:

@@ -6,7 +6,7 @@ import functools
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -15,8 +15,8 @@ from gleaner.operators.membership import first_seen
 
 #: Polls without anything new, and polls in all, after which a stream is stopped; seconds between polls.
 EMPTY_POLLS, POLLS, WAIT = 6, 1000, 1.5
-#: Batches whose keys are put together.
-EVERY = 16
+#: Runs of keys that are merged into one of the next level, and parts of a run by a hash of the key.
+EVERY, BUCKETS = 16, 64
 
 
 def landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -40,9 +40,12 @@ def start_first_seen(stream: DataFrame, keys: list[str], order: list[str], table
     """Appends to the parquet folder ``table`` the first row by ``order`` of each key that is not there yet.
 
     Each batch is reduced to its own first rows and joined against the keys of earlier batches. A batch writes a folder
-    of its own number and replaces it if it is run again, so a restart neither loses nor repeats a row. After ``every``
-    batches their keys are put together in one folder with those before, so a batch reads the keys of one such folder and of fewer than
-    ``every`` batches, and nothing but keys.
+    of its own number and replaces it if it is run again, so a restart neither loses nor repeats a row.
+
+    Keys are kept in levels: ``every`` batches make a run of keys, ``every`` such runs one of the next level, and so on; what has
+    been merged is removed. A key is thus written again once for each level, however many keys there are, which is
+    a logarithm of the number of batches. Runs are bucketed by a hash of the key, and a batch reads the buckets
+    that its own keys fall into. Only runs of batches before the current one are merged, so it can be run again.
 
     ``act`` does something with the new rows, such as fetching a file under a name that the key reserves, and returns those
     rows where it succeeded. Only they are recorded: a key whose action failed is free again, and its next row is tried.
@@ -52,34 +55,83 @@ def start_first_seen(stream: DataFrame, keys: list[str], order: list[str], table
         rest = [c for c in batch.columns if c not in (*keys, *order)]
         first = batch.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("first")).select(*keys, *(F.col("first")[c].alias(c) for c in (*order, *rest)))
         spark = batch.sparkSession
-        known = _known_keys(spark, table, keys, number)
-        if known is not None:
-            first = first.join(known, keys, "left_anti")
-        (act(first) if act else first).write.mode("overwrite").parquet(f"{table}/batch={number}")
-        if (number + 1) % every == 0:
-            _known_keys(spark, table, keys, number + 1).write.mode("overwrite").parquet(f"{table}/keys={number}")
+        _merge_keys(spark, table, keys, number, every)
+        first = first.withColumn("bucket__", _bucket(keys)).persist()
+        try:
+            touched = [r["bucket__"] for r in first.select("bucket__").distinct().collect()]  # BUCKETS at most
+            known = _known_keys(spark, table, keys, number, touched)
+            new = first.drop("bucket__")
+            if known is not None:
+                new = new.join(known, keys, "left_anti")
+            (act(new) if act else new).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        finally:
+            first.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _known_keys(spark: SparkSession, table: str, keys: list[str], number: int) -> DataFrame | None:
-    """The keys of all batches before ``number``."""
-    together = max((k for k in _batches(spark, table, "keys") if k < number), default=-1)
-    paths = [f"{table}/batch={k}" for k in _batches(spark, table) if together < k < number]
-    parts = [spark.read.parquet(f"{table}/keys={together}")] if together >= 0 else []
-    parts += [spark.read.parquet(*paths).select(*keys)] if paths else []
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _known_keys(spark: SparkSession, table: str, keys: list[str], number: int, buckets: list[int] | None = None) -> DataFrame | None:
+    """The keys of all batches before ``number``, of some buckets if they are given."""
+    runs = key_runs(spark, table, number)
+    covered = max((high for _, high in runs), default=-1)
+    parts = [spark.read.parquet(f"{table}/keys={low}-{high}") for low, high in runs]
+    if buckets is not None:
+        parts = [p.where(F.col("bucket__").isin(buckets)) for p in parts]
+    paths = [f"{table}/batch={k}" for k in _batches(spark, table) if covered < k < number]
+    parts = [p.select(*keys) for p in parts] + ([spark.read.parquet(*paths).select(*keys)] if paths else [])
     return functools.reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def _batches(spark: SparkSession, table: str, kind: str = "batch") -> list[int]:
-    """Numbers of the batches that are complete, by the file system that holds the table."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(table)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
+def key_runs(spark: SparkSession, table: str, number: int) -> list[tuple[int, int]]:
+    """First and last batch of the runs of keys before batch ``number``, without those that a larger one holds."""
+    found = sorted(((int(low), int(high)) for low, high in (n.split("-") for n in _complete(spark, table, "keys")) if int(high) < number), key=lambda r: (r[0], -r[1]))
+    return [r for k, r in enumerate(found) if not any(r[1] <= o[1] for o in found[:k])]
+
+
+def _merge_keys(spark: SparkSession, table: str, keys: list[str], number: int, every: int) -> None:
+    """Before batch ``number``: the last ``every`` batches or runs become one, if so many are there."""
+    span = 1
+    while number and number % (span * every) == 0:
+        span *= every
+    low, high = number - span, number - 1
+    if span == 1 or (low, high) in key_runs(spark, table, number):
+        return
+    inside = [r for r in key_runs(spark, table, number) if r[0] >= low]
+    covered = max((h for _, h in inside), default=low - 1)
+    parts = [spark.read.parquet(f"{table}/keys={a}-{b}").select(*keys) for a, b in inside]
+    paths = [f"{table}/batch={k}" for k in _batches(spark, table) if covered < k <= high]
+    if paths:
+        parts.append(spark.read.parquet(*paths).select(*keys))
+    if not parts:
+        return
+    merged = functools.reduce(DataFrame.unionByName, parts).withColumn("bucket__", _bucket(keys))
+    merged.repartition("bucket__").write.mode("overwrite").partitionBy("bucket__").parquet(f"{table}/keys={low}-{high}")
+    fs, path = _files(spark, table)
+    for a, b in inside:
+        fs.delete(path(f"keys={a}-{b}"), True)
+
+
+def _files(spark: SparkSession, table: str):
+    """The file system that holds the table, and paths in it."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(table).getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: make(f"{table}/{name}")
+
+
+def _complete(spark: SparkSession, table: str, kind: str) -> list[str]:
+    """What follows ``kind=`` in the names of the folders that are complete."""
+    fs, path = _files(spark, table)
+    if not fs.exists(path("")):
         return []
-    found = [x.getPath().getName() for x in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{kind}="))
+    names = [x.getPath().getName() for x in fs.listStatus(path(""))]
+    return [n.split("=", 1)[1] for n in names if n.startswith(f"{kind}=") and fs.exists(path(f"{n}/_SUCCESS"))]
+
+
+def _batches(spark: SparkSession, table: str) -> list[int]:
+    return sorted(map(int, _complete(spark, table, "batch")))
 
 
 def stop_when_quiet(query: StreamingQuery, empty_polls: int = EMPTY_POLLS, polls: int = POLLS, wait: float = WAIT) -> int:

@@ -334,6 +334,41 @@ def test_conversion_turns_images_lays_them_over_white_and_removes_the_source(spa
     assert actions.carry_out(again.where("action = 'convert'"), files.scan_images(spark, str(tmp_path))).where("error is not null").count() == 1  # again, as after a lost task: broken.png only
 
 
+def test_headers_are_read_without_the_rest(spark, tmp_path):
+    import io
+
+    import numpy as np
+
+    from gleaner.functions import headers
+    from gleaner.functions.jpeg import jpeg
+    from gleaner.sinks.images import png
+
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            got = super().read(size)
+            self.n += len(got)
+            return got
+
+    tiff = b"MM\0\x2a\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
+    segment = lambda marker, body: b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
+    plain = jpeg(np.random.default_rng(2).integers(0, 256, (40, 70, 3)).astype(np.uint8))
+    noise = np.random.default_rng(2).integers(0, 256, (300, 200, 3)).astype(np.uint8).tobytes()
+    far = plain[:2] + segment(0xE1, b"Exif\0\0" + tiff) + segment(0xE2, b"x" * 60_000) * 3 + plain[2:]
+    flat = png(200, 300, 3, noise)
+    chunk = struct.pack(">I", len(tiff)) + b"eXIf" + tiff + struct.pack(">I", zlib.crc32(b"eXIf" + tiff))
+    for name, content, want in (("plain.jpg", plain, (70, 40, 1)), ("far.jpg", far, (70, 40, 6)), ("flat.png", flat, (200, 300, 1)), ("turned.png", flat[:33] + chunk + flat[33:], (200, 300, 6)), ("cut.jpg", far[:100_000], None), ("cut.png", flat[:20], None), ("none.jpg", b"", None), ("text.gif", b"hello", None)):
+        (tmp_path / name).write_bytes(content)
+        f = Counted(content)
+        got = headers.head(f)
+        assert f.n < 300 and headers.header_size(got) == (want[:2] if want else None) and (not want or headers.orientation(got) == want[2]), name
+    scanned = files.header_sizes(files.scan_files(spark, str(tmp_path), suffixes=None)).collect()
+    assert {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.orientation) for r in scanned} == {"plain.jpg": (70, 40, 1), "far.jpg": (70, 40, 6), "flat.png": (200, 300, 1), "turned.png": (200, 300, 6)} | dict.fromkeys(("cut.jpg", "cut.png", "text.gif"), (None, None, None))  # Spark lists no empty files
+    by_content = files.header_sizes(files.scan_files(spark, str(tmp_path), suffixes=None, content=True)).collect()
+    assert {tuple(r) for r in by_content} == {tuple(r) for r in scanned}
+
+
 @pytest.mark.parametrize("kernel", ["lanczos", "bicubic"])
 def test_resampling_is_that_of_a_plain_second_implementation(kernel):
     import math
@@ -513,7 +548,28 @@ def test_stream_retries_what_failed(spark, tmp_path):
     stream.start_first_seen(source, ["url"], ["n"], table, str(tmp_path / "check"), act=fails_at_first, every=2).awaitTermination()
     got = spark.read.parquet(*(f"{table}/batch={k}" for k in stream._batches(spark, table)))
     assert sorted((r.url, r.n) for r in got.collect()) == [("u", 1), ("v", 4), ("w", 8), ("x", 9)]
-    assert stream._batches(spark, table, "keys") == [k for k in stream._batches(spark, table) if k % 2]
+    n = len(stream._batches(spark, table))
+    runs = stream.key_runs(spark, table, n)
+    assert sorted(stream._complete(spark, table, "keys")) == sorted(f"{a}-{b}" for a, b in runs)  # what was merged is gone
+    assert runs[0][0] == 0 and all(b + 1 == c for (_, b), (c, _) in zip(runs, runs[1:], strict=False)) and {b - a + 1 for a, b in runs} <= {2, 4, 8}
+
+
+def test_keys_are_written_again_once_a_level(spark, tmp_path):
+    """16 batches in levels of two: each key is in one run at the end, and each level has rewritten it once."""
+    table, written_rows = str(tmp_path / "table"), []
+    for k in range(17):
+        before = set(stream._complete(spark, table, "keys"))
+        stream._merge_keys(spark, table, ["url"], k, 2)
+        fresh = set(stream._complete(spark, table, "keys")) - before
+        written_rows += [spark.read.parquet(f"{table}/keys={n}").count() for n in fresh]
+        spark.createDataFrame([(f"u{k}-{i}", i) for i in range(5)], "url string, n int").write.parquet(f"{table}/batch={k}")
+    assert stream.key_runs(spark, table, 17) == [(0, 15)] and sum(written_rows) <= 16 * 5 * 4
+    assert stream._complete(spark, table, "keys") == ["0-15"]
+    known = stream._known_keys(spark, table, ["url"], 17)
+    assert known.count() == known.distinct().count() == 85
+    one = spark.createDataFrame([("u3-1",)], "url string").select(stream._bucket(["url"]).alias("b")).first()["b"]
+    part = stream._known_keys(spark, table, ["url"], 16, [one])
+    assert part.where("url = 'u3-1'").count() == 1 and part.count() < 80
 
 
 def test_headers_and_orientation(spark, tmp_path):
