@@ -69,6 +69,7 @@ def test_mlp_is_a_stack_of_products(spark):
 
 def test_prediction_lines(spark):
     lines = [r.value for r in QUERIES["prediction_report"](spark, SF).collect()]
+    assert lines.pop(0) == "filepath,predicted_label,confidence,similarity_illust,similarity_photo"
     assert len(lines) == 500 and all(x.startswith('"v/') and len(x.split(",")) == 5 for x in lines)
 
 
