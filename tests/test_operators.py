@@ -600,7 +600,7 @@ def test_reports_models_and_counts(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "n int, s string")
     reports.write_text(reports.csv_lines(df), str(tmp_path / "csv"))
     parts = sorted((tmp_path / "csv").glob("part-*"))
-    assert "".join(p.read_text("utf-8") for p in parts).splitlines() == ["﻿n,s", '1,"a \\"b\\", c"', "2,"]
+    assert "".join(p.read_text("utf-8") for p in parts).splitlines() == ["﻿n,s", '1,"a ""b"", c"', "2,"]
     with pytest.raises(FileNotFoundError):
         classify.load_model(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
