@@ -283,6 +283,18 @@ ORACLE: dict[str, str] = {
         WITH {_CROSS} SELECT row_number() OVER (ORDER BY distance, a, b) || '. ' || a || ' <-> ' || b || ' (' || distance || ')' AS value FROM pairs
         UNION ALL SELECT label::VARCHAR FROM (SELECT group_a AS label FROM pairs UNION SELECT group_b FROM pairs)
         UNION ALL SELECT array_to_string(list_sort([group_a::VARCHAR, group_b::VARCHAR]), ' <-> ') || ': ' || count(*) FROM pairs GROUP BY list_sort([group_a::VARCHAR, group_b::VARCHAR])""",
+    "similar_images_report": f"""
+        WITH {_CROSS}, named AS (
+            SELECT a, b, distance, printf('folder %02d', group_a::INTEGER) AS fa, printf('folder %02d', group_b::INTEGER) AS fb, printf('v%06d.png', a) AS na, printf('v%06d.png', b) AS nb, row_number() OVER (ORDER BY a, b) AS k FROM pairs
+        ), counts AS (SELECT array_to_string(list_sort([fa, fb]), ' <-> ') AS two, count(*) AS n FROM named GROUP BY 1),
+        lines AS (
+            SELECT 0 AS s, 0 AS k, '' AS key, unnest([repeat('=', 60), count(*) || ' 件の類似画像ペアが見つかりました。', repeat('=', 60), '']) AS value, unnest(range(4)) AS part FROM named
+            UNION ALL SELECT 1, k, '', unnest(['ペア ' || k || ': ハミング距離 ' || distance || '  |  フォルダ間: ' || array_to_string(list_sort([fa, fb]), ' <-> '), '  [' || fa || '] ' || na, '  [' || fb || '] ' || nb, '']), unnest(range(4)) FROM named
+            UNION ALL SELECT 2, 0, '', unnest([repeat('-', 60), '類似画像が見つかったフォルダ間:']), unnest(range(2))
+            UNION ALL SELECT 2, 1, two, '  ' || two || ': ' || n || ' 件', 0 FROM counts
+            UNION ALL SELECT 3, 0, '', unnest(['', repeat('-', 60), '類似画像がある親フォルダ名:', '  images: ' || (SELECT string_agg(f, ', ' ORDER BY f) FROM (SELECT fa AS f FROM named UNION SELECT fb FROM named))]), unnest(range(4))
+        )
+        SELECT row_number() OVER (ORDER BY s, k, key, part) AS line, value FROM lines""",
     "prediction_report": f"""
         WITH {_PREDICTED} SELECT 'filepath,predicted_label,confidence,similarity_illust,similarity_photo' AS value UNION ALL SELECT '"v/' || printf('%06d', vec_id) || '.png",' || predicted || ',' || printf('%.4f', CASE WHEN predicted = 0 THEN p ELSE 1 - p END) || ',' || printf('%.4f', sim_positive) || ',' || printf('%.4f', sim_negative) AS value FROM judged""",
     "scan_images_recursive": f"WITH {_DRAWN} SELECT filename, lower(ext) AS ext, vec_id FROM drawn WHERE ext <> '.txt'",

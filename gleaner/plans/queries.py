@@ -435,6 +435,16 @@ def pair_report(spark: SparkSession, folder: str) -> DataFrame:
     return reports.numbered_pair_lines(pairs, "a", "b", "distance").unionByName(reports.count_lines(similarity.group_pair_counts(pairs), "groups", "n")).unionByName(groups)
 
 
+@query
+def similar_images_report(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines of the report on similar images of different folders, in order."""
+    pairs = similarity.hamming_pairs(_hashes(spark, folder), "vec_id", "hash", 18, group="label")
+    name = lambda c: F.format_string("v%06d.png", c)
+    own = lambda c: F.format_string("folder %02d", F.col(c).cast("int"))
+    named = pairs.select("a", "b", "distance", own("group_a").alias("folder_a"), own("group_b").alias("folder_b"), name("a").alias("name_a"), name("b").alias("name_b"))
+    return reports.similar_report(named, [F.col("a"), F.col("b")], "images").select(F.col("line").cast("long").alias("line"), "value")
+
+
 @query
 def prediction_report(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")

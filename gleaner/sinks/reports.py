@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import folded
+from gleaner.operators.graph import written
 from gleaner.operators.ranking import global_rank
 
 
@@ -65,6 +68,39 @@ def numbered_pair_lines(pairs: DataFrame, a: str, b: str, distance: str) -> Data
     return ranked.select(F.format_string("%d. %s <-> %s (%d)", F.col("ordinal"), F.col(a).cast("string"), F.col(b).cast("string"), F.col(distance)).alias("value"))
 
 
+# The texts of the report on similar images.
+NOTHING_FOUND = "類似画像は見つかりませんでした。"
+FOUND = "%d 件の類似画像ペアが見つかりました。"
+PAIR, MEMBER = "ペア %d: ハミング距離 %d  |  フォルダ間: %s", "  [%s] %s"
+BETWEEN, BETWEEN_COUNT = "類似画像が見つかったフォルダ間:", "  %s: %d 件"
+FOLDERS, FOLDER_NAMES = "類似画像がある親フォルダ名:", "  %s: %s"
+WIDTH = 60
+
+
+def similar_report(pairs: DataFrame, order: list[Column], root: str) -> DataFrame:
+    """``line, value``: the whole report on ``pairs`` (``folder_a, name_a, folder_b, name_b, distance``) in the order of its lines.
+
+    How many pairs there are; each pair with its number by ``order``, which should be total, and its files; how many pairs each two
+    folders share; and the folders. Without pairs, the one line that says so. The folders are one line, as the report has it;
+    all others are rows of their own, however many.
+    """
+    between = F.array_join(F.array_sort(F.array("folder_a", "folder_b")), " <-> ")
+    kept = written(pairs.select("folder_a", "name_a", "folder_b", "name_b", "distance", between.alias("between"), F.struct(*order).alias("order")), "pairs")
+    many, lines = kept.agg(F.count(F.lit(1)).alias("n")), []
+    row = lambda section, number, key: [F.lit(section).alias("section"), number.cast("long").alias("number"), key.alias("key")]
+    text = lambda *values: F.posexplode(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values))).alias("part", "value")
+    nothing, none = F.lit(0), F.lit("")
+    lines.append(many.where("n = 0").select(*row(0, nothing, none), text(NOTHING_FOUND)))
+    lines.append(many.where("n > 0").select(*row(0, nothing, none), text("=" * WIDTH, F.format_string(FOUND, "n"), "=" * WIDTH, "")))
+    ranked = global_rank(kept, [F.asc("order")], "k")
+    lines.append(ranked.select(*row(1, F.col("k"), none), text(F.format_string(PAIR, F.col("k"), F.col("distance"), F.col("between")), F.format_string(MEMBER, "folder_a", "name_a"), F.format_string(MEMBER, "folder_b", "name_b"), "")))
+    lines.append(many.where("n > 0").select(*row(2, nothing, none), text("-" * WIDTH, BETWEEN)))
+    lines.append(kept.groupBy("between").agg(F.count(F.lit(1)).alias("n")).select(*row(2, F.lit(1), F.col("between")), text(F.format_string(BETWEEN_COUNT, "between", "n"))))
+    names = kept.select(F.explode(F.array("folder_a", "folder_b")).alias("folder")).agg(F.array_join(F.array_sort(F.collect_set("folder")), ", ").alias("names"), F.count(F.lit(1)).alias("n"))
+    lines.append(names.where("n > 0").select(*row(3, nothing, none), text("", "-" * WIDTH, FOLDERS, F.format_string(FOLDER_NAMES, F.lit(root), F.col("names")))))
+    return global_rank(functools.reduce(DataFrame.unionByName, lines), [F.asc(c) for c in ("section", "number", "key", "part")], "line").select("line", "value")
+
+
 def count_lines(counts: DataFrame, name: str, n: str) -> DataFrame:
     return counts.select(F.format_string("%s: %d", F.col(name), F.col(n)).alias("value"))
 

@@ -441,6 +441,16 @@ def test_jpeg_is_read_by_the_image_reader(spark, tmp_path, height, width, qualit
         jpeg(rgb, 0)
 
 
+def test_report_of_no_pairs(spark):
+    from gleaner.sinks import reports
+
+    none = spark.createDataFrame([], "folder_a string, name_a string, folder_b string, name_b string, distance int")
+    assert [tuple(r) for r in reports.similar_report(none, [F.col("name_a")], "r").collect()] == [(1, reports.NOTHING_FOUND)]
+    one_ = spark.createDataFrame([("b", "x", "a", "y", 3)], none.schema)
+    got = [r.value for r in reports.similar_report(one_, [F.col("name_a")], "r").orderBy("line").collect()]
+    assert got == ["=" * 60, reports.FOUND % 1, "=" * 60, "", reports.PAIR % (1, 3, "a <-> b"), "  [b] x", "  [a] y", "", "-" * 60, reports.BETWEEN, "  a <-> b: 1 件", "", "-" * 60, reports.FOLDERS, "  r: a, b"]
+
+
 def test_csv_is_read_back(spark, tmp_path):
     import csv
 
