@@ -84,6 +84,8 @@ def blur_score(rgb: np.ndarray) -> float:
 
 def content_box(rgb: np.ndarray, tolerance: int = 10, padding: int = 0) -> list[int] | None:
     """Box of what differs from the most frequent corner in any channel; None if nothing does."""
+    if not 0 <= tolerance <= 255 or padding < 0:
+        raise ValueError("tolerance must lie between 0 and 255, padding must not be negative")
     corners = [tuple(rgb[r, c].tolist()) for r, c in ((0, 0), (0, -1), (-1, 0), (-1, -1))]
     back = max(corners, key=lambda c: (corners.count(c), -corners.index(c)))
     rows, cols = np.nonzero((np.abs(rgb.astype(int) - back) > tolerance).any(2))

@@ -77,6 +77,8 @@ def laplacian_variance(v: Column, width: int, height: int) -> Column:
 
 def modal_share(v: Column, scale: float, tolerance: int) -> Column:
     """Share of values whose bucket lies within ``tolerance`` of the most frequent bucket (of ties the smallest)."""
+    if tolerance < 0 or scale <= 0:
+        raise ValueError("tolerance must not be negative, scale must be above 0")
     buckets = F.transform(v, lambda x: F.floor(x * scale).cast("int"))
     count = lambda b, x: F.size(F.filter(b, lambda y: y == x))
     top = lambda b: F.array_max(F.transform(F.array_distinct(b), lambda x: F.struct(count(b, x).alias("n"), (-x).alias("x"))))["x"] * -1
@@ -89,6 +91,8 @@ def trim_box(v: Column, width: int, height: int, tolerance: float, padding: int
     The background is the most frequent corner, of ties the first in the order top left, top right, bottom left, bottom
     right. The box grows by ``padding`` and stays within the matrix; it is null where nothing differs.
     """
+    if tolerance < 0 or padding < 0 or width < 1 or height < 1:
+        raise ValueError("tolerance and padding must not be negative, sides must be 1 at least")
     corners = F.array(*(F.get(v, F.lit(i)) for i in (0, width - 1, width * (height - 1), width * height - 1)))
     often = lambda c: F.element_at(F.filter(c, lambda x: F.size(F.filter(c, lambda y: y == x)) == F.array_max(F.transform(c, lambda z: F.size(F.filter(c, lambda y: y == z))))), 1)
     cells = F.sequence(F.lit(0), F.lit(width * height - 1))
@@ -105,6 +109,8 @@ def trim_box(v: Column, width: int, height: int, tolerance: float, padding: int
 
 def crop_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, margin: float = 0.0) -> Column:
     """A detector's box widened by a share of its own size and clamped; whole numbers are cut towards zero."""
+    if margin < 0:
+        raise ValueError("margin must not be negative")
     dx, dy = (x2 - x1) * margin, (y2 - y1) * margin
     whole = lambda c: c.cast("int")
     return F.struct(

@@ -441,6 +441,15 @@ def test_jpeg_is_read_by_the_image_reader(spark, tmp_path, height, width, qualit
         jpeg(rgb, 0)
 
 
+def test_arguments_have_bounds(spark):
+    import numpy as np
+
+    v = F.array(F.lit(1.0))
+    for wrong in (lambda: vectors.trim_box(v, 1, 1, -1.0), lambda: vectors.trim_box(v, 1, 1, 0.0, -1), lambda: vectors.modal_share(v, 1.0, -1), lambda: vectors.crop_box(v, v, v, v, v, v, -0.1), lambda: images.content_box(np.zeros((2, 2, 3), np.uint8), 256), lambda: ranking.top_fraction(spark.range(3), [F.asc("id")], 1.5), lambda: similarity.hamming_pairs(spark.range(3), "id", "id", 65)):
+        with pytest.raises(ValueError, match="must"):
+            wrong()
+
+
 def test_report_of_no_pairs(spark):
     from gleaner.sinks import reports
 
