@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_sample, cut, numbered_columns
+from gleaner.llm.common import cut, numbered_columns, written
+from gleaner.operators.graph import drop_written
+from gleaner.operators.ranking import global_rank
 
 ORDER = 4
 #: n-grams rarer than this share of their language's symbols are left to the lower order: none, so the model grows with
 #: the distinct n-grams of the corpus.
 MIN_SHARE = 0.0
-#: Texts fall into FOLDS by a hash. CALIBRATION_ROWS of them, the first by a hash of their text, calibrate, each by a model of
-#: the other folds; the model that is used has learned all.
-CALIBRATION_ROWS, FOLDS = 2000, 2
+#: Texts fall into FOLDS by a hash. All of them calibrate, each by a model of the other folds; the model that is used has learned
+#: all.
+FOLDS = 2
 ALL = "all"
 #: A text is rejected where its cross-entropy has gone a calibrated part of the way from that of own texts to that of foreign
 #: ones, and is more than NOISE standard deviations from the former. The part lies LEAN of the way from where OWN of the own
@@ -269,59 +272,87 @@ def _learn(counts: DataFrame, min_share: float) -> dict[str, Model]:
 
 
 def calibrate(model: Model, parts: dict[str, Model], labelled: DataFrame) -> Model:
-    """Temperature of the score by likelihood, each language's usual cross-entropy, and where to reject, on a bounded sample.
+    """Temperature of the score by likelihood, each language's usual cross-entropy, and where to reject, from all labelled texts.
 
-    Each text of the sample is looked at by the model of the folds that it is not in, at any number of texts. A text whose language that model
-    has not learned tells nothing of its own, and a language that it has not learned is farther than all others.
+    Each text is looked at by the model of the folds that it is not in, at any number of texts; equal texts of one label count once. A text whose
+    language that model has not learned tells nothing of its own, and a language that it has not learned is farther than all others. Means and
+    quantiles are Spark's, and exact: the driver receives a row for each language and four ranked values.
     """
-    sample = cut(bounded_sample(labelled.select("text", "lang"), CALIBRATION_ROWS).withColumn("fold", _fold()))
-    rows, found = [], []
-    for k, part in sorted(parts.items()):
-        if part.langs:
-            own = [r for r in _entropy_rows(sample.where(F.col("fold") == int(k)), part).toPandas().itertuples(index=False) if r.size > 0 and r.lang in part.langs]
-            rows += own
-            for r in own:
-                h, square = np.full(len(model.langs), np.log(model.n_symbols)), np.zeros(len(model.langs))
-                at = [model.langs.index(x) for x in part.langs]
-                h[at], square[at] = r.entropy, r.square
-                found.append((h, square))
-    h = np.array([x for x, _ in found]).reshape(len(rows), len(model.langs))
-    square = np.array([x for _, x in found]).reshape(len(rows), len(model.langs))
-    own = np.array([model.langs.index(r.lang) for r in rows], int)
-    every = np.arange(len(rows))
-    best: tuple[float, float] | None = None
-    for t in 2.0 ** np.arange(0, 9):
-        z = -t * h
-        z -= z.max(1, keepdims=True) if len(z) else 0
-        loss = float(np.mean(np.log(np.exp(z).sum(1)) - z[every, own])) if len(z) else 0.0
-        if best is None or loss < best[0]:
-            best = loss, float(t)
-    model.temperature = best[1]
-    mine, noise = h[every, own], square[every, own] - h[every, own] ** 2
-    pick = lambda x, k, f, default: f(x[own == k]) if (own == k).sum() > 1 else default
-    n = range(len(model.langs))
-    model.mean = np.array([pick(mine, k, np.mean, mine.mean() if len(mine) else 0.0) for k in n])
-    model.spread = np.array([pick(mine, k, np.var, mine.var() if len(mine) else 1.0) for k in n])
-    other = [h[own != k, k] for k in n]
-    model.foreign = np.array([x.mean() if len(x) else np.log(model.n_symbols) for x in other])
-    model.noise = np.array([pick(noise, k, np.mean, noise.mean() if len(noise) else 1.0) for k in n])
-    if len(model.langs) > 1 and len(rows):
-        others = h.copy()
-        others[every, own] = np.inf  # each text as if its own language were not known
-        near, far = np.quantile(model.way(h.min(1), h.argmin(1)), OWN), np.quantile(model.way(others.min(1), others.argmin(1)), FOREIGN)
-        model.reject_at = float(near + LEAN * (far - near)) if far > near else REJECT_AT
+    judged = reduce(DataFrame.unionByName, (_judged(labelled, int(k), part, model) for k, part in sorted(parts.items())))
+    rows = written(judged.dropDuplicates(["one", "two", "own"]), "judged")
+    n = len(model.langs)
+    mine, low = F.col("entropy")[F.col("own")], F.array_min("entropy")
+    warm = 2.0 ** np.arange(0, 9)
+
+    def loss_at(t: float) -> Column:
+        return F.log(F.aggregate("entropy", F.lit(0.0), lambda a, x: a + F.exp(t * (low - x)))) + t * (mine - low)
+
+    told = rows.groupBy("own").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(mine).alias("mean"), F.var_pop(mine).alias("spread"), F.avg(F.col("square") - mine * mine).alias("noise"),
+        F.array(*(F.sum(F.col("entropy")[k]) for k in range(n))).alias("sums"), F.array(*(F.sum(loss_at(t)) for t in warm.tolist())).alias("losses"),
+    ).collect()  # a row a language
+    size, mean, spread, noise = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    sums, loss = np.zeros((n, n)), np.zeros(len(warm))
+    for r in sorted(told, key=lambda r: r.own):
+        size[r.own], mean[r.own], spread[r.own], noise[r.own], sums[r.own] = r["n"], r["mean"], r.spread, r.noise, r.sums
+        loss += r.losses
+    every = int(size.sum())
+    model.temperature = float(warm[loss.argmin()])
+    usual = size @ mean / every if every else 0.0
+    model.mean = np.where(size > 1, mean, usual)
+    model.spread = np.where(size > 1, spread, size @ (spread + (mean - usual) ** 2) / every if every else 1.0)
+    model.noise = np.where(size > 1, noise, size @ noise / every if every else 1.0)
+    other = every - size  # texts of other languages
+    model.foreign = np.where(other > 0, (sums.sum(0) - sums.diagonal()) / np.maximum(other, 1), np.log(model.n_symbols))
+    if n > 1 and every:
+        others = F.transform("entropy", lambda x, k: F.when(k == F.col("own"), F.lit(float("inf"))).otherwise(x))  # each text as if its own language were not known
+        ways = F.array(*(F.struct(F.lit(k).alias("kind"), _way(model, h).alias("way")) for k, h in enumerate((F.col("entropy"), others))))
+        near, far = _quantiles(rows.select("one", "two", "own", F.inline(ways)), every, [OWN, FOREIGN])
+        model.reject_at = near + LEAN * (far - near) if far > near else REJECT_AT
+    drop_written(rows)
     return model
 
 
-def _entropy_rows(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _judged(labelled: DataFrame, fold: int, part: Model, model: Model) -> DataFrame:
+    """``one, two, own, square, entropy`` of each text of ``fold`` with a letter, in a language of ``part``, by ``part``: two hashes of the
+    text, the place of its language in ``model``, mean squared log-probability in it, and cross-entropy in each language of ``model``."""
+    shared = labelled.sparkSession.sparkContext.broadcast(part)
+    n, farthest, at = len(model.langs), float(np.log(model.n_symbols)), [model.langs.index(x) for x in part.langs]
+    place = dict(zip(part.langs, at, strict=True))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            h, square, size = shared.value.entropies(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(h), pa.list_(pa.float64())), pa.array(list(square), pa.list_(pa.float64())), pa.array(size, pa.int64())], names=["lang", "entropy", "square", "size"])
-
-    return rows.mapInArrow(task, "lang string, entropy array<double>, square array<double>, size long")
+            texts, langs = batch.column(2).to_pylist(), np.array([place.get(x, -1) for x in batch.column(3).to_pylist()], np.int32)
+            for some in _chunks(texts):
+                found, squares, size = shared.value.entropies(texts[some])
+                h, square, own = np.full((len(size), n), farthest), np.zeros((len(size), n)), langs[some]
+                h[:, at], square[:, at] = found, squares
+                kept = np.flatnonzero((size > 0) & (own >= 0))
+                own = own[kept]
+                lists = pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * n, h[kept].ravel())
+                keys = [batch.column(k).slice(some.start, some.stop - some.start).take(pa.array(kept)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(own), pa.array(square[kept, own]), lists], names=["one", "two", "own", "square", "entropy"])
+
+    keyed = labelled.where(_fold() == fold).select(F.xxhash64("text").alias("one"), F.xxhash64(F.lit(12), "text").alias("two"), "text", "lang")
+    return keyed.mapInArrow(task, "one long, two long, own int, square double, entropy array<double>")
+
+
+def _way(model: Model, h: Column) -> Column:
+    """``Model.way`` of the lowest of the cross-entropies ``h``."""
+    lowest = F.array_min(h)
+    best = F.array_position(h, lowest).cast("int")
+    mean, way = F.array(*map(F.lit, model.mean.tolist())), F.array(*map(F.lit, np.maximum(model.foreign - model.mean, 1e-9).tolist()))
+    return (lowest - F.element_at(mean, best)) / F.element_at(way, best)
+
+
+def _quantiles(ways: DataFrame, n: int, parts: list[float]) -> list[float]:
+    """The quantile ``parts[kind]`` of ``way`` of the ``n`` rows of each ``kind`` of ``ways``, between the two ranks about it as in numpy."""
+    at = [k * n + q * (n - 1) for k, q in enumerate(parts)]
+    ranks = sorted({int(f(x)) + 1 for x in at for f in (np.floor, np.ceil)})
+    ranked = global_rank(ways, [F.col("kind"), F.col("way"), F.col("one"), F.col("two"), F.col("own")])
+    found = {r["rank"]: r.way for r in ranked.where(F.col("rank").isin(ranks)).select("rank", "way").collect()}  # four rows at most
+    low, high = ([found[int(f(x)) + 1] for x in at] for f in (np.floor, np.ceil))
+    return [float(a + (b - a) * (x - np.floor(x))) for a, b, x in zip(low, high, at, strict=True)]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", reject_at: float | None = None) -> DataFrame:

@@ -241,6 +241,40 @@ def test_languages_are_calibrated_alike_at_any_number_of_texts(spark, n):
     assert [x.lang_pred for x in got[:2]] == ["en", "de"] and not got[0].rejected and not got[1].rejected and got[2].rejected
 
 
+def test_languages_are_calibrated_on_all_texts(spark):
+    """Against plain numpy over every text, by the same models of the folds."""
+    r = random.Random(5)
+    words = {"en": "the cat and dog went to house with some old friends".split(), "de": "der hund und die katze gehen nach hause mit alten freunden".split(), "fr": "le chat et chien vont avec vieux amis".split()}
+    rows = [(" ".join(r.choice(words[g]) for _ in range(r.randint(3, 9))), g) for g in words for _ in range(1200)]
+    rows += [("zyxq", "en")] + rows[:300] + [("une phrase", "it"), ("12 34", "en"), (None, "de"), ("x", None), (rows[0][0], "de")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(df)
+    parts = language_id._learn(language_id.count_ngrams(df), language_id.MIN_SHARE)
+    parts.pop(language_id.ALL)
+    fold = {x.text: x.fold for x in df.where("text is not null").select("text", language_id._fold().alias("fold")).distinct().collect()}
+    h, noise, own = [], [], []
+    for text, lang in sorted({(t, g) for t, g in rows if t and g}):
+        part = parts[str(fold[text])]
+        found, square, size = part.entropies([text])
+        if size[0] and lang in part.langs:
+            h.append(np.full(len(model.langs), np.log(model.n_symbols)))
+            h[-1][[model.langs.index(x) for x in part.langs]] = found[0]
+            own.append(model.langs.index(lang))
+            noise.append(square[0, part.langs.index(lang)] - found[0, part.langs.index(lang)] ** 2)
+    h, noise, own = np.array(h), np.array(noise), np.array(own)
+    every = np.arange(len(own))
+    assert len(own) > 3000
+    for k in set(own.tolist()):
+        want = h[own == k, k].mean(), h[own == k, k].var(), noise[own == k].mean(), h[own != k, k].mean()
+        assert np.allclose([model.mean[k], model.spread[k], model.noise[k], model.foreign[k]], want, rtol=1e-9, atol=0)
+    loss = [np.logaddexp.reduce(-t * (h - h[every, own][:, None]), 1).mean() for t in 2.0 ** np.arange(9)]
+    assert model.temperature == 2.0 ** np.argmin(loss)
+    others = h.copy()
+    others[every, own] = np.inf
+    near, far = (np.quantile(model.way(x.min(1), x.argmin(1)), q) for x, q in ((h, language_id.OWN), (others, language_id.FOREIGN)))
+    assert far > near and np.isclose(model.reject_at, near + language_id.LEAN * (far - near), rtol=1e-9)
+
+
 def test_language_probabilities_add_up(spark):
     model = language_id.fit(spark.createDataFrame([("abab abba baab cab", "x")], "text string, lang string"), min_share=0.0)
     symbols = [ord(c) for c in " abc"]
