@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +77,12 @@ def posts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInArrow(task, f"key {kind}, position int, image_urls array<string>, video_urls array<string>, has_video_element boolean, post_url string, username string").withColumnRenamed("key", key)
 
 
-def outlines(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """``key, title, heading, n_links, n_paragraphs, n_articles`` of each page: the first title's and main heading's text, or null."""
+def outlines(pages: DataFrame, key: str, html: str, decoded: Callable[[str], str] = unescape) -> DataFrame:
+    """``key, title, heading, n_links, n_paragraphs, n_articles`` of each page: the first title's and main heading's text, or null.
+    Character references in them are ``decoded``."""
 
     def one(source: str | None) -> dict:
-        page = markup.parse(source)
+        page = markup.parse(source, decoded)
         names = [e.name for e in page.elements]
         first = lambda name: markup.text_of(page, names.index(name)) if name in names else None
         return {"title": first("title"), "heading": first("h1"), "n_links": sum("href" in e.attributes for e in page.elements), "n_paragraphs": names.count("p"), "n_articles": names.count("article")}
