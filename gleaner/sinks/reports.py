@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import folded
-from gleaner.operators.graph import written
+from gleaner.operators.graph import drop_written, written
 from gleaner.operators.ranking import global_rank
 
 
@@ -82,23 +82,34 @@ def similar_report(pairs: DataFrame, order: list[Column], root: str) -> DataFram
 
     How many pairs there are; each pair with its number by ``order``, which should be total, and its files; how many pairs each two
     folders share; and the folders. Without pairs, the one line that says so. The folders are one line, as the report has it;
-    all others are rows of their own, however many.
+    all others are rows of their own, however many. Pairs are sorted once; where a line stands follows from its pair's number, and what
+    comes after the pairs is made from the counts of two folders each.
     """
+    spark = pairs.sparkSession
     between = F.array_join(F.array_sort(F.array("folder_a", "folder_b")), " <-> ")
-    kept = written(pairs.select("folder_a", "name_a", "folder_b", "name_b", "distance", between.alias("between"), F.struct(*order).alias("order")), "pairs")
-    many, lines = kept.agg(F.count(F.lit(1)).alias("n")), []
-    row = lambda section, number, key: [F.lit(section).alias("section"), number.cast("long").alias("number"), key.alias("key")]
+    kept = written(pairs.select("folder_a", "name_a", "folder_b", "name_b", "distance", F.struct(*order).alias("order")), "pairs")
+    n = kept.count()
     text = lambda *values: F.posexplode(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values))).alias("part", "value")
-    nothing, none = F.lit(0), F.lit("")
-    lines.append(many.where("n = 0").select(*row(0, nothing, none), text(NOTHING_FOUND)))
-    lines.append(many.where("n > 0").select(*row(0, nothing, none), text("=" * WIDTH, F.format_string(FOUND, "n"), "=" * WIDTH, "")))
-    ranked = global_rank(kept, [F.asc("order")], "k")
-    lines.append(ranked.select(*row(1, F.col("k"), none), text(F.format_string(PAIR, F.col("k"), F.col("distance"), F.col("between")), F.format_string(MEMBER, "folder_a", "name_a"), F.format_string(MEMBER, "folder_b", "name_b"), "")))
-    lines.append(many.where("n > 0").select(*row(2, nothing, none), text("-" * WIDTH, BETWEEN)))
-    lines.append(kept.groupBy("between").agg(F.count(F.lit(1)).alias("n")).select(*row(2, F.lit(1), F.col("between")), text(F.format_string(BETWEEN_COUNT, "between", "n"))))
-    names = kept.select(F.explode(F.array("folder_a", "folder_b")).alias("folder")).agg(F.array_join(F.array_sort(F.collect_set("folder")), ", ").alias("names"), F.count(F.lit(1)).alias("n"))
-    lines.append(names.where("n > 0").select(*row(3, nothing, none), text("", "-" * WIDTH, FOLDERS, F.format_string(FOLDER_NAMES, F.lit(root), F.col("names")))))
-    return global_rank(functools.reduce(DataFrame.unionByName, lines), [F.asc(c) for c in ("section", "number", "key", "part")], "line").select("line", "value")
+    numbered = lambda df, before: df.select((F.lit(before).cast("long") + F.col("part") + 1).alias("line"), "value")
+    alone = lambda before, *values: numbered(spark.range(1, numPartitions=1).select(text(*values)), before)
+    if not n:
+        return alone(0, NOTHING_FOUND)
+    head = ("=" * WIDTH, FOUND % n, "=" * WIDTH, "")
+    member = lambda side: F.format_string(MEMBER, f"folder_{side}", f"name_{side}")
+    ranked = global_rank(kept, [F.asc("order")], "k").select("k", text(F.format_string(PAIR, F.col("k"), F.col("distance"), between), member("a"), member("b"), ""))
+    counts = written(kept.groupBy("folder_a", "folder_b").agg(F.count(F.lit(1)).alias("n")), "counts")
+    shared = global_rank(counts.groupBy(between.alias("between")).agg(F.sum("n").alias("n")), [F.asc("between")], "k")
+    after = len(head) * (n + 1)  # a pair has as many lines as the head
+    drop_written(kept)
+    folders = counts.select(F.explode(F.array("folder_a", "folder_b")).alias("folder")).agg(F.array_join(F.array_sort(F.collect_set("folder")), ", ").alias("names"))
+    lines = [
+        alone(0, *head),
+        ranked.select((F.col("k") * len(head) + F.col("part") + 1).alias("line"), "value"),
+        alone(after, "-" * WIDTH, BETWEEN),
+        shared.select((F.lit(after + 2).cast("long") + F.col("k")).alias("line"), F.format_string(BETWEEN_COUNT, "between", "n").alias("value")),
+        numbered(folders.select(text("", "-" * WIDTH, FOLDERS, F.format_string(FOLDER_NAMES, F.lit(root), F.col("names")))), after + 2 + shared.count()),
+    ]
+    return functools.reduce(DataFrame.unionByName, lines)
 
 
 def count_lines(counts: DataFrame, name: str, n: str) -> DataFrame:
